@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import exact_dedup
+from lumenfold.llm import decontam, exact_dedup, langid, packing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
+    "op7_decontamination": decontam.op7,
+    "op9_language_id": langid.op9,
+    "op10_packing": packing.op10,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op7_decontamination": decontam.ORACLE,
 }
