@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import decontam, exact_dedup, langid, packing, substring_dedup, suffix_dedup
+from lumenfold.llm import decontam, exact_dedup, langid, minhash, packing, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
     "op3_suffix_dedup": suffix_dedup.op3,
     "op6_substring_dedup": substring_dedup.op6,
     "op7_decontamination": decontam.op7,
+    "op8_minhash_dedup": minhash.op8,
     "op9_language_id": langid.op9,
     "op10_packing": packing.op10,
 }
