@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import decontam, exact_dedup, langid, minhash, packing, substring_dedup, suffix_dedup
+from lumenfold.llm import decontam, exact_dedup, langid, minhash, packing, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
     "op3_suffix_dedup": suffix_dedup.op3,
+    "op4_token_counts": token_counts.op4,
+    "op5_warc": warc.op5,
     "op6_substring_dedup": substring_dedup.op6,
     "op7_decontamination": decontam.op7,
     "op8_minhash_dedup": minhash.op8,

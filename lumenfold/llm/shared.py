@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)  # a path without scheme belongs to the default file system
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{root.rstrip('/')}/lumenfold-{uuid.uuid4().hex}"
 
 
