@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import decontam, exact_dedup, langid, minhash, packing, substring_dedup, suffix_dedup, token_counts, warc
+import corpus_pipeline
+from lumenfold.llm import cotrain, decontam, exact_dedup, langid, minhash, packing, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
+    "op2_quality": cotrain.op2,
     "op3_suffix_dedup": suffix_dedup.op3,
     "op4_token_counts": token_counts.op4,
     "op5_warc": warc.op5,
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_minhash_dedup": minhash.op8,
     "op9_language_id": langid.op9,
     "op10_packing": packing.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
