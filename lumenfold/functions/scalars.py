@@ -48,11 +48,13 @@ def hamming(a: Column | str, b: Column | str) -> Column:
 
 
 def median_bits(v: Column | str) -> Column:
-    """One character for each element: 1 where it exceeds the median of all."""
+    """One character for each element: 1 where it exceeds the median of all.  (An element exceeds the median if it
+    exceeds the mean of the middle two; the sort is done once, outside of the lambda, by binding it in an array.)"""
     s = F.array_sort(doubles(v))
-    n = F.size(s)
-    mid = (F.element_at(s, F.greatest(F.lit(1), F.floor((n + 1) / 2).cast("int"))) + F.element_at(s, F.greatest(F.lit(1), F.floor(n / 2).cast("int") + 1))) / 2
-    return F.when(n > 0, F.array_join(F.transform(doubles(v), lambda x: F.when(x > mid, F.lit("1")).otherwise(F.lit("0"))), ""))
+    n = F.size(_col(v))
+    bound = F.transform(F.array(s), lambda o: (F.element_at(o, F.greatest(F.lit(1), F.floor((n + 1) / 2).cast("int"))) + F.element_at(o, F.least(n, F.floor(n / 2).cast("int") + 1))) / 2)
+    bits = F.transform(bound, lambda mid: F.array_join(F.transform(doubles(v), lambda x: F.when(x > mid, F.lit("1")).otherwise(F.lit("0"))), ""))
+    return F.when(n > 0, F.element_at(bits, 1))
 
 
 def bits_to_long(bits: Column | str) -> Column:
@@ -62,12 +64,11 @@ def bits_to_long(bits: Column | str) -> Column:
 
 def histogram_correlation(a: Column | str, b: Column | str) -> Column:
     """Pearson's r of two histograms; null where one is constant."""
-    x, y = doubles(a), doubles(b)
-    n = F.size(x).cast("double")
-    mx, my = total(x) / n, total(y) / n
-    up = total(F.zip_with(x, y, lambda p, q: (p - mx) * (q - my)))
-    down = F.sqrt(total(F.transform(x, lambda p: (p - mx) * (p - mx))) * total(F.transform(y, lambda q: (q - my) * (q - my))))
-    return F.when(down > 0, up / down)
+    n = F.size(_col(a)).cast("double")
+    sa, sb = total(doubles(a)), total(doubles(b))
+    va, vb = dot(a, a) - sa * sa / n, dot(b, b) - sb * sb / n
+    varies = (va > dot(a, a) * 1e-12) & (vb > dot(b, b) * 1e-12)
+    return F.when(varies, (dot(a, b) - sa * sb / n) / F.sqrt(va * vb))
 
 
 def histogram_chi_square(a: Column | str, b: Column | str) -> Column:

@@ -1,5 +1,103 @@
-"""Queries over images that Spark derives from the driver's tables."""
+"""Queries over images that Spark derives from the driver's tables: a vector is an 8x8 picture, a text is a picture
+of its bytes.  There is no SQL for pixel kernels; tests hold them against closed forms."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lumenfold.functions import kernels as K
+from lumenfold.operators import detect, frames, ordered
+from lumenfold.sources import images as I
+from lumenfold.sources.config import DuplicateSettings
+
 REGISTERED: dict[str, tuple] = {}
+
+
+def register(query):
+    REGISTERED[query.__name__] = (query, None)
+    return query
+
+
+def text_pictures(spark, sf_dir: str, width: int = 32) -> DataFrame:
+    """(id, size, image): documents' bytes as gray pictures of `width` columns."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.octet_length("text") >= width)
+    data = F.encode("text", "utf-8")
+    rows = F.floor(F.octet_length(data) / width).cast("int")
+    image = F.struct(rows.alias("height"), F.lit(width).alias("width"), F.lit(1).alias("nChannels"), F.substring(data, F.lit(1), rows * width).alias("data"))
+    return docs.select(F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("size"), image.alias("image"))
+
+
+def vector_pictures(spark, sf_dir: str) -> DataFrame:
+    """(id, label, image): vectors as 8x8 gray pictures, 128 for 0."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.size("embedding") == 64)
+    level = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round(x * 255 + 128).cast("int"))))
+    data = F.unhex(F.array_join(F.transform(level, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
+    return v.select(F.col("vec_id").alias("id"), "label", image.alias("image"))
+
+
+@register
+def image_hashes(spark, sf_dir):
+    """Perceptual, difference and wavelet hashes."""
+    return I.hashes(text_pictures(spark, sf_dir)).select("id", "phash", "dhash", "whash")
+
+
+@register
+def image_sharpness(spark, sf_dir):
+    """Blur score, brightness and contrast."""
+    return I.sharpness(vector_pictures(spark, sf_dir)).select("id", "blur_score", "brightness", "contrast", "is_blurry")
+
+
+@register
+def image_features(spark, sf_dir):
+    """Feature vectors by method, in long form."""
+    pictures = vector_pictures(spark, sf_dir).select(F.col("id").cast("string").alias("path"), "image")
+    return I.extract_features(pictures, ("embedding", "hash", "keypoint"))
+
+
+@register
+def image_ssim_pairs(spark, sf_dir):
+    """Structural similarity of neighbouring pictures."""
+    p = vector_pictures(spark, sf_dir)
+    other = p.select((F.col("id") - 1).alias("id"), F.col("image").alias("next"))
+    score = I.pair_column(lambda a, b: K.ssim(a, b, None), "double")
+    return p.join(other, "id").select("id", score(F.col("image"), F.col("next")).alias("ssim"))
+
+
+@register
+def image_variations(spark, sf_dir):
+    """How neighbouring pictures differ."""
+    p = vector_pictures(spark, sf_dir).select("id", F.col("image").alias("first"))
+    other = p.select((F.col("id") - 1).alias("id"), F.col("first").alias("second"))
+    return I.variations(p.join(other, "id")).drop("first", "second")
+
+
+@register
+def image_duplicates_by_size(spark, sf_dir):
+    """Duplicates by size bucket and perceptual hash."""
+    return detect.by_size(text_pictures(spark, sf_dir), 5)
+
+
+@register
+def image_duplicates_staged(spark, sf_dir):
+    """Duplicates by the staged cascade: hash, then embedding."""
+    return detect.staged(text_pictures(spark, sf_dir).select("id", "image"), DuplicateSettings(enable_ssim=False))
+
+
+@register
+def frame_scene_keyframes(spark, sf_dir):
+    """Pictures whose histogram differs from that of the one before."""
+    hist = I.pixel_column(lambda x: [float(v) for v in K.histogram(x.repeat(3, axis=2), hsv=False)], "array<double>")
+    rows = vector_pictures(spark, sf_dir).select("label", "id", hist(F.col("image")).alias("hist"))
+    return frames.scene_keyframes(rows, ["label"], ["id"], F.floor(F.col("id") / 1000)).select("label", "id")
+
+
+@register
+def frame_motion_keyframes(spark, sf_dir):
+    """Pictures that moved against the one before."""
+    rows = vector_pictures(spark, sf_dir)
+    moved = ordered.with_previous(rows, ["label"], ["id"], "image", F.floor(F.col("id") / 1000), "before")
+    motion = I.pair_column(lambda a, b: K.motion(a, b, block=4, reach=2), "double")
+    scored = moved.withColumn("motion", motion(F.col("before"), F.col("image")))
+    return scored.where(F.col("before").isNull() | (F.col("motion") > 1.0)).select("label", "id", "motion")
