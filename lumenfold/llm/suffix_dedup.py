@@ -32,13 +32,29 @@ from lumenfold.llm.textnp import mix, prefix_hash, range_hash, ranges, text_chun
 
 #: Bytes of an anchor; distinct snippets of one anchor that a batch sends on and that a slice compares by transform.
 GRAM, HOT_BATCH, HOT_SLICE = 16, 32, 4096
-#: Bytes that are merged at once, and of one shard of them.
-PACK, SHARD = 1 << 21, 1 << 18
+#: Bytes that are merged at once - up to 2**16 positions have 16-bit ranks, which sort in linear time - and of a shard.
+PACK, SHARD = 1 << 16, 1 << 14
+#: Symbols that a pass of the interleave refinement looks at.
+STEP = 8
 RESULT = ("n_bytes", "n_removed", "removed_spans", "kept_bytes")
 SNIPPETS = "slice int, key long, id long, start int, windows int, data binary"
 _ARROW = pa.schema([("slice", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("data", pa.binary())])
 
 
+def gram_hash(data: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n bytes from each position on."""
+    load, have = data.astype(np.uint64), 1
+    while have < 8 and 2 * have <= n:  # numbers of 1, 2, 4, 8 bytes
+        load = load[:-have] | (load[have:] << np.uint64(8 * have))
+        have *= 2
+    count = len(data) - n + 1
+    out = mix(load[:count])
+    for at in range(have, n, have):
+        at = min(at, n - have)
+        out = mix(out + load[at : at + count])
+    return out
+
+
 def snippets(data: np.ndarray, offsets: np.ndarray, length: int):
     """For the snippets of some texts: text number, first window (in its text), number of windows, anchor hash, and
     a hash of all their bytes and the anchor's offset."""
@@ -46,9 +62,8 @@ def snippets(data: np.ndarray, offsets: np.ndarray, length: int):
     if len(data) < length:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     gram = min(GRAM, length)
-    prefix = prefix_hash(data, 3)
+    hashes = gram_hash(data, gram)
     at = np.arange(len(data) - gram + 1)
-    hashes = range_hash(prefix, at, at + gram)
     low = (hashes & ~np.uint64(0xFFFFFFFF)) | at.astype(np.uint64)
     span, have = length - gram + 1, 1
     while have < span:  # minimum over `have` positions, doubled
@@ -148,38 +163,53 @@ def cut_snippets(batches, length: int, n_slices: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
 
-def rotation_order(data: np.ndarray, base: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
-    """Rotations of the strings in data (each position's string is base to end - 1) sorted by `length` bytes at least:
-    eight bytes at first, then by doubling."""
-    at = np.arange(len(data))
+def dense_rank(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The rank of each value among the distinct ones, given an order that sorts them."""
+    new = np.concatenate(([False], x[order][1:] != x[order][:-1]))
+    number = np.cumsum(new, dtype=np.int32)
+    rank = np.empty(len(x), np.uint16 if number[-1] < 1 << 16 else np.uint32)
+    rank[order] = number
+    return rank
 
-    def ahead(n: int) -> np.ndarray:
-        to = at + n
-        return np.where(to >= end, base + (to - base) % (end - base), to)
 
-    rank, have = np.zeros(len(data), np.uint64), 1
-    rank[:] = data
-    for _ in range(3):
-        rank = (rank << np.uint64(8 * have)) | rank[ahead(have)]
-        have *= 2
-    order = np.argsort(rank, kind="stable")
+def moved(at: np.ndarray, base: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Positions n further (or back, if negative) in the same string, going round."""
+    to = at + n
+    out = to >= end if n > 0 else to < base
+    to[out] = base[out] + (to[out] - base[out]) % (end[out] - base[out])
+    return to
+
+
+def leading(data: np.ndarray, base: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """The n <= 8 bytes of each rotation's beginning as one number."""
+    out, have, at = data.astype(np.uint64), 1, np.arange(len(data))
+    while have < n:
+        step = min(have, n - have)
+        ahead = out[moved(at, base, end, have)] >> np.uint64(8 * (have - step))
+        out = (out << np.uint64(8 * step)) | ahead
+        have += step
+    return out
+
+
+def rotation_order(rank: np.ndarray, have: int, base: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """Rotations of the strings in a shard, sorted by `length` bytes at least; rank sorts them by `have` bytes."""
+    at = np.arange(len(rank))
     while True:
-        sorted_rank = rank[order]
-        number = np.cumsum(np.concatenate(([0], sorted_rank[1:] != sorted_rank[:-1])))
-        if have >= length or number[-1] == len(data) - 1:
+        order = np.argsort(rank, kind="stable")
+        if have >= length or rank[order[-1]] == len(rank) - 1:
             return order
-        rank = np.empty(len(data), np.uint64)
-        rank[order] = number.astype(np.uint64)
-        rank = (rank << np.uint64(32)) | rank[ahead(have)]
+        ahead = rank[moved(at, base, end, have)]
+        order = np.argsort(ahead, kind="stable")
+        order = order[np.argsort(rank[order], kind="stable")]
+        rank = dense_rank((rank.astype(np.uint64) << np.uint64(32)) | ahead, order)
         have *= 2
-        order = np.argsort(rank, kind="stable")
 
 
 def merged_blocks(data: np.ndarray, lengths: np.ndarray, length: int, shard: int = SHARD) -> np.ndarray:
     """For each byte of the strings in data the number of its block: rotations with the same first `length` bytes.
 
-    Every shard has its sorted rotations and, as its transform, the two symbols in front of each.  The interleave
-    begins in shard order with one block.  A pass deals its elements by their two symbols, in the order in which they
+    Every shard has its sorted rotations and, as its transform, the STEP symbols in front of each.  The interleave
+    begins in shard order with one block.  A pass deals its elements by those symbols, in the order in which they
     stand; elements that come from one block with the same symbols form a block of the new interleave.
     """
     ends = np.cumsum(lengths)
@@ -188,29 +218,31 @@ def merged_blocks(data: np.ndarray, lengths: np.ndarray, length: int, shard: int
     for e in ends.tolist():
         if e - cuts[-1] >= shard or e == len(data):
             cuts.append(e)
-    orders = [a + rotation_order(data[a:b], base[a:b] - a, end[a:b] - a, length) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    suffix = np.concatenate(orders)  # shard by shard
-    back1 = np.where(suffix == base[suffix], end[suffix], suffix) - 1
-    back2 = np.where(back1 == base[suffix], end[suffix], back1) - 1
-    symbols = (data[back2].astype(np.uint16) << 8) | data[back1]
-    single = data[back1].astype(np.uint16)
-    shard_of = np.repeat(np.arange(len(cuts) - 1, dtype=np.uint8 if len(cuts) < 257 else np.uint16), np.diff(cuts))
-    interleave, block = shard_of.copy(), np.zeros(len(data), np.int32)
-    done = 0
+    step = min(STEP, length, int(lengths.min()))
+    ranks = {}
+    for n in {step, length % step or step}:
+        lead = leading(data, base, end, n)
+        ranks[n] = dense_rank(lead, np.argsort(lead))
+    suffix = np.empty(len(data), np.int64)  # shard by shard, each sorted
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = ranks[step][a:b]
+        suffix[a:b] = a + rotation_order(dense_rank(own, np.argsort(own, kind="stable")), step, base[a:b] - a, end[a:b] - a, length)
+    transform = {n: rank[moved(suffix, base[suffix], end[suffix], -n)] for n, rank in ranks.items()}
+    shards = len(cuts) - 1
+    interleave = np.repeat(np.arange(shards, dtype=np.uint8 if shards < 257 else np.uint32), np.diff(cuts))
+    block, done = np.zeros(len(data), np.int32), 0
     while done < length:
-        step = min(2, length - done)
-        # which element of its shard stands at each place: shards keep their own order
-        by_shard = np.argsort(interleave, kind="stable")
-        here = np.empty(len(data), np.uint16)
-        here[by_shard] = symbols if step == 2 else single
+        n = length % step or step if not done else step
+        here = np.empty(len(data), transform[n].dtype)
+        here[np.argsort(interleave, kind="stable")] = transform[n]  # shards keep their own order
         order = np.argsort(here, kind="stable")
         interleave, block, here = interleave[order], block[order], here[order]
         new = (here[1:] != here[:-1]) | (block[1:] != block[:-1])
-        block = np.concatenate(([0], np.cumsum(new, dtype=np.int32)))
-        done += step
-    by_shard = np.argsort(interleave, kind="stable")
+        block[0] = 0
+        np.cumsum(new, out=block[1:])
+        done += n
     out = np.empty(len(data), np.int32)
-    out[suffix] = block[by_shard]
+    out[suffix] = block[np.argsort(interleave, kind="stable")]
     return out
 
 
