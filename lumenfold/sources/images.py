@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import kernels as K
@@ -17,18 +17,23 @@ PRESETS = {"all": S.IMAGE_EXTENSIONS, "duplicates": ("jpg", "jpeg", "png", "bmp"
 MAX_PIXELS = 500_000_000
 
 
+def canonical(path: Column | str) -> Column:
+    """One spelling of local paths, which the file and image sources write differently."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def scan(spark: SparkSession, folder: str, *, recursive: bool = True, extensions: tuple[str, ...] = PRESETS["all"], with_content: bool = False) -> DataFrame:
     """(path, modified, size[, content]) of image files, by extension in any case.  An empty folder gives no rows."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     rows = rows.where(S.is_image_path("path", tuple(extensions)))
-    out = rows.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), *(["content"] if with_content else []))
+    out = rows.select(canonical("path").alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), *(["content"] if with_content else []))
     return out
 
 
 def load(spark: SparkSession, folder: str, *, recursive: bool = True, max_pixels: int = MAX_PIXELS) -> DataFrame:
     """(path, image) of the files that can be decoded and are not larger than max_pixels."""
     rows = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return rows.where(F.col("image.height").cast("long") * F.col("image.width") <= max_pixels).select(F.col("image.origin").alias("path"), "image")
+    return rows.where(F.col("image.height").cast("long") * F.col("image.width") <= max_pixels).select(canonical("image.origin").alias("path"), "image")
 
 
 def unreadable(scanned: DataFrame, images: DataFrame) -> DataFrame:

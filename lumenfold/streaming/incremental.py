@@ -35,7 +35,7 @@ def index_stream(spark: SparkSession, catalog: Catalog, folder: str, checkpoint:
     source = spark.readStream.format("image").schema(IMAGE_STREAM).option("recursiveFileLookup", "true").load(folder)
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        update(catalog, batch.select(F.col("image.origin").alias("path"), "image"), methods)
+        update(catalog, batch.select(images.canonical("image.origin").alias("path"), "image"), methods)
         if after:
             after(batch, number)
 
