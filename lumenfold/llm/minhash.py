@@ -4,9 +4,10 @@ A document's set is its distinct word shingles.  Documents with equal sets fall
 on one representative of each set.
 
 1. Trees.  At the root of every tree, and at each node with more than `small` members, members branch: the node names
-   one minhash position, or two with probability 1 / threshold - 1, and members with the same minwise token there
-   share a child.  A pair at the threshold keeps one common child on average; other pairs part.  Several trees
-   make up for pairs that part by chance: `trees` is set by the target recall.
+   minhash positions, and members with the same minwise tokens there share a child.  One position makes 1 / threshold
+   children on average, so that a pair at the threshold keeps one common child; other pairs part.  A large node takes
+   several such steps at once: m positions for each of (1 / threshold) ** m children.  Independent trees make up
+   for pairs that part by chance; their number follows from the target recall.
 2. Small nodes are compared exhaustively by sketch; members that look alike form clusters, and a cluster found in
    several trees counts once.
 3. Clusters are compared exactly, on full sets; links that reach the threshold join components.
@@ -19,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.shared import release, shared_dir, small_side, stash
@@ -28,8 +29,11 @@ from lumenfold.llm.textnp import byte_codes, lower, mix, prefix_hash, range_hash
 
 #: Minhash positions, and how many must agree for an exact comparison (five deviations below 85 %).
 POSITIONS, AGREE = 64, 40
-#: Chance that a pair at the threshold stays together down to a small node of one tree (measured, deep nodes).
-TREE_RECALL = 0.6
+#: Least chance that a pair at the threshold stays together down to a small node of one tree: the chance that one of
+#: (1 / t) ** m children keeps it is 1 - (1 - t ** m) ** (t ** -m) > 1 - 1 / e for each step; most pairs take one step.
+TREE_RECALL = 0.63
+#: Steps that a node takes at once, at most.
+MAX_STEPS = 12
 RESULT = ("n_shingles", "component_id", "kept")
 SIGNATURE = "id long, n_shingles long, s1 long, s2 long, mh array<int>"
 _MULTIPLY = byte_codes(11)[:POSITIONS] | np.uint64(1)
@@ -188,37 +192,40 @@ def exact_links(batches, percent: int):
 
 def components(links: DataFrame, folder: str) -> DataFrame:
     """(id, component): the smallest id that each linked id can reach, by alternating large and small stars."""
-    spark = links.sparkSession
     edges = stash(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), folder, "star0")
-    print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    last, k = print_of(edges), 0
-    while True:
+    k = 0
+    while not all_stars(edges):
         k += 1
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = stash(large, folder, f"large{k}")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
         edges = stash(small, folder, f"star{k}")
-        now = print_of(edges)
-        if now == last:
-            release(spark)
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        last = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def children(node: Column, threshold: float) -> Column:
-    """The positions at which a node branches: one, or two with probability 1 / threshold - 1."""
-    position = lambda salt: F.pmod(F.xxhash64(node, F.lit(salt)), F.lit(POSITIONS)).cast("int")
-    second = F.pmod(F.xxhash64(node, F.lit(99)), F.lit(10_000)) < F.lit(round(10_000 * (1 / threshold - 1)))
-    return F.when(second, F.array_distinct(F.array(position(1), position(2)))).otherwise(F.array(position(1)))
+def all_stars(edges: DataFrame) -> bool:
+    """Whether every id has one centre, and no centre has one itself: then all components are found."""
+    seen = edges.select(F.col("u").alias("x"), F.lit(1).alias("ends"), F.lit(0).alias("centre")).union(edges.select("v", F.lit(0), F.lit(1)))
+    bad = seen.groupBy("x").agg(F.sum("ends").alias("ends"), F.max("centre").alias("centre")).where("ends > 1 or ends > 0 and centre > 0")
+    return bad.isEmpty()
 
 
 def branch(rows: DataFrame, threshold: float) -> DataFrame:
-    """(node, id, mh) to the children (node, id)."""
-    at = rows.select("node", "id", "mh", F.explode(children(F.col("node"), threshold)).alias("p"))
-    return at.select(F.xxhash64("node", "p", F.element_at("mh", F.col("p") + 1)).alias("node"), "id").distinct()
+    """(node, id, mh, steps) to the children (node, id).
+
+    A node has floor((1 / threshold) ** steps) children, and one more with the probability of what is left; each child
+    has its own `steps` positions.  All members of a node choose alike, by hashes of the node's name.
+    """
+    mean = F.pow(F.lit(1 / threshold), F.col("steps"))
+    chance = F.pmod(F.xxhash64("node", F.lit(99)), F.lit(1_000_000)) / 1_000_000
+    n = (F.floor(mean) + F.when(chance < mean - F.floor(mean), 1).otherwise(0)).cast("int")
+    child = rows.select("node", "id", "mh", "steps", F.explode(F.sequence(F.lit(1), n)).alias("c"))
+    token = lambda k: F.element_at("mh", F.pmod(F.xxhash64("node", "c", k), F.lit(POSITIONS)).cast("int") + 1)
+    tokens = F.transform(F.sequence(F.lit(1), F.col("steps")), token)
+    return child.select(F.xxhash64("node", "c", tokens).alias("node"), "id")
 
 
 def tree_count(recall: float) -> int:
@@ -227,7 +234,7 @@ def tree_count(recall: float) -> int:
 
 def find_clusters(reps: DataFrame, folder: str, threshold: float, trees: int, small: int, max_depth: int, agree: int) -> DataFrame:
     """(cluster, id): groups of representatives that look alike and are to be compared exactly."""
-    rows = reps.select("id", "mh", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("node"))
+    rows = reps.select("id", "mh", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("node")).withColumn("steps", F.lit(1))
     nodes = branch(rows, threshold)
     found = None
     for depth in range(1, max_depth + 1):
@@ -238,7 +245,8 @@ def find_clusters(reps: DataFrame, folder: str, threshold: float, trees: int, sm
         large = sized.where(F.col("n") > small)
         if large.isEmpty():
             break
-        nodes = branch(large.join(reps, "id").select("node", "id", "mh"), threshold)
+        steps = F.least(F.lit(MAX_STEPS), F.ceil(F.log2(F.col("n") / small)) + 4).cast("int")
+        nodes = branch(large.join(reps, "id").select("node", "id", "mh", steps.alias("steps")), threshold)
     else:  # blocks of a quarter of `small`, each pair of them a node
         blocks = F.ceil(F.col("n") * 4 / small)
         own = F.pmod(F.xxhash64("id"), blocks)
@@ -249,7 +257,7 @@ def find_clusters(reps: DataFrame, folder: str, threshold: float, trees: int, sm
     return stash(clusters.distinct(), folder, "clusters")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, recall: float = 0.9999, small: int = 256, max_depth: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, recall: float = 0.9999, small: int = 1024, max_depth: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs plus n_shingles, component_id (the smallest id reachable by links, itself included) and kept.
 
     Sets link if 100 * intersection >= percent * union.  Null texts and texts without words have no shingles and link
