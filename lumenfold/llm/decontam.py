@@ -19,6 +19,12 @@ BROADCAST_WINDOWS = 1_000_000
 RESULT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
 
 
+def window_key(words: Column, first: Column, size: int) -> Column:
+    """Hash of every third word of a window: enough to select, as windows that meet are compared word by word."""
+    at = sorted({*range(0, size, 3), size - 1})
+    return F.xxhash64(F.lit(size), *[F.element_at(words, first + k + 1) for k in at])
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
@@ -29,7 +35,9 @@ def benchmark_windows(benchmark: DataFrame, n: int, item_col: str, text_col: str
     items = items.withColumn("size", F.least(F.size("words"), F.lit(n)))
     at = items.select("item", "words", "size", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)).alias("at"))
     windows = at.select("item", "size", F.slice("words", F.col("at"), F.col("size")).alias("window"))
-    return windows.groupBy("size", "window").agg(F.collect_set("item").alias("items")).withColumn("key", F.xxhash64("size", "window"))
+    windows = windows.groupBy("size", "window").agg(F.collect_set("item").alias("items"))
+    keys = [F.when(F.col("size") == s, window_key(F.col("window"), F.lit(0), s)) for s in range(1, n + 1)]
+    return windows.withColumn("key", F.coalesce(*keys))
 
 
 def find_hits(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, broadcast_windows: int) -> DataFrame:
@@ -42,11 +50,11 @@ def find_hits(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, b
     part = lambda size: F.slice("words", F.col("first") + 1, size)
     fits = lambda size: F.col("first") + size <= F.size("words")
     if len(sizes) == 1:
-        keyed = at.withColumn("size", F.lit(sizes[0])).where(fits(sizes[0])).withColumn("key", F.xxhash64("size", part(F.lit(sizes[0]))))
+        keyed = at.withColumn("size", F.lit(sizes[0])).where(fits(sizes[0])).withColumn("key", window_key(F.col("words"), F.col("first"), sizes[0]))
     else:
-        keys = F.array(*[F.struct(F.lit(s).alias("size"), F.when(fits(s), F.xxhash64(F.lit(s), part(F.lit(s)))).alias("key")) for s in sizes])
+        keys = F.array(*[F.struct(F.lit(s).alias("size"), F.when(fits(s), window_key(F.col("words"), F.col("first"), s)).alias("key")) for s in sizes])
         keyed = at.select("*", F.explode(keys).alias("w")).select("id", "fp", "words", "first", "w.size", "w.key").where("key is not null")
-    small = windows.limit(broadcast_windows + 1).count() <= broadcast_windows
+    small = windows.count() <= broadcast_windows
     if small:
         found = keyed.join(F.broadcast(windows.withColumnRenamed("size", "wsize")), "key").where((F.col("wsize") == F.col("size")) & (part(F.col("size")) == F.col("window")))
     else:  # only the window itself travels, not its document
