@@ -49,6 +49,8 @@ def by_doc(doc: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes]:
 
 def deal(batch: int, n_slices: int, key: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, key_type: str, more: np.ndarray | None = None, size: np.ndarray | None = None) -> Iterator[tuple]:
     """Rows of one batch: entries go to the slice that the upper half of their key names."""
+    if not len(key):
+        return
     to = ((key >> np.uint64(32)) % np.uint64(n_slices)).astype(np.int32)
     order = np.argsort(to, kind="stable")
     bounds = np.flatnonzero(np.diff(to[order], prepend=-1))

@@ -48,7 +48,7 @@ def release(spark: SparkSession) -> None:
 
 def small_side(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of keys only if they have at most `rows` rows; beyond that Spark joins by shuffling."""
-    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+    return F.broadcast(keys) if keys.count() <= rows else keys
 
 
 def slices(spark: SparkSession) -> int:
