@@ -3,15 +3,17 @@
 A document's set is its distinct word shingles.  Documents with equal sets fall together first; what follows works
 on one representative of each set.
 
-1. Trees.  At the root of every tree, and at each node with more than `small` members, members branch: the node names
-   minhash positions, and members with the same minwise tokens there share a child.  One position makes 1 / threshold
-   children on average, so that a pair at the threshold keeps one common child; other pairs part.  A large node takes
-   several such steps at once: m positions for each of (1 / threshold) ** m children.  Independent trees make up
-   for pairs that part by chance; their number follows from the target recall.
-2. Small nodes are compared exhaustively by sketch; members that look alike form clusters, and a cluster found in
-   several trees counts once.
-3. Clusters are compared exactly, on full sets; links that reach the threshold join components.
-A node that `max_depth` branchings can't split (very many almost equal sets) is compared in pairs of blocks, exactly.
+1. Trees.  At the root of every tree members branch: the tree names minhash positions, and members with the same
+   minwise tokens there share a node.  One position makes 1 / threshold children on average, so that a pair at the
+   threshold keeps one common child; other pairs part.  Independent trees make up for pairs that part by chance; their
+   number follows from the target recall.
+2. Members of nodes with more than `small` members branch once more, all of them by the same bands of positions.  Bands
+   don't overlap, so a pair at the threshold parts in all of them with a chance of (1 - t ** width) ** bands, and
+   the width is the largest that keeps this to half of what the target recall leaves, whatever the trees have drawn.
+3. Small nodes are compared exhaustively by sketch; members that look alike form clusters, and a cluster found in
+   several nodes counts once.
+4. Clusters are compared exactly, on full sets; links that reach the threshold join components.
+A node that is still large (very many almost equal sets) isn't branched again but compared in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -29,11 +31,9 @@ from lumenfold.llm.textnp import byte_codes, lower, mix, prefix_hash, range_hash
 
 #: Minhash positions, and how many must agree for an exact comparison (five deviations below 85 %).
 POSITIONS, AGREE = 64, 40
-#: Least chance that a pair at the threshold stays together down to a small node of one tree: the chance that one of
-#: (1 / t) ** m children keeps it is 1 - (1 - t ** m) ** (t ** -m) > 1 - 1 / e for each step; most pairs take one step.
+#: Least chance that a pair at the threshold stays together at the root of one tree: the chance that one of 1 / t
+#: children keeps it is 1 - (1 - t) ** (1 / t) > 1 - 1 / e.
 TREE_RECALL = 0.63
-#: Steps that a node takes at once, at most.
-MAX_STEPS = 12
 RESULT = ("n_shingles", "component_id", "kept")
 SIGNATURE = "id long, n_shingles long, s1 long, s2 long, mh array<int>"
 _MULTIPLY = byte_codes(11)[:POSITIONS] | np.uint64(1)
@@ -214,50 +214,65 @@ def all_stars(edges: DataFrame) -> bool:
 
 
 def branch(rows: DataFrame, threshold: float) -> DataFrame:
-    """(node, id, mh, steps) to the children (node, id).
+    """(node, id, mh) to the children (node, id).
 
-    A node has floor((1 / threshold) ** steps) children, and one more with the probability of what is left; each child
-    has its own `steps` positions.  All members of a node choose alike, by hashes of the node's name.
+    A node has floor(1 / threshold) children, and one more with the probability of what is left; each child has its own
+    position.  All members of a node choose alike, by hashes of the node's name.
     """
-    mean = F.pow(F.lit(1 / threshold), F.col("steps"))
+    mean = 1 / threshold
     chance = F.pmod(F.xxhash64("node", F.lit(99)), F.lit(1_000_000)) / 1_000_000
-    n = (F.floor(mean) + F.when(chance < mean - F.floor(mean), 1).otherwise(0)).cast("int")
-    child = rows.select("node", "id", "mh", "steps", F.explode(F.sequence(F.lit(1), n)).alias("c"))
-    token = lambda k: F.element_at("mh", F.pmod(F.xxhash64("node", "c", k), F.lit(POSITIONS)).cast("int") + 1)
-    tokens = F.transform(F.sequence(F.lit(1), F.col("steps")), token)
-    return child.select(F.xxhash64("node", "c", tokens).alias("node"), "id")
+    n = F.lit(math.floor(mean)) + F.when(chance < mean - math.floor(mean), 1).otherwise(0)
+    child = rows.select("node", "id", "mh", F.explode(F.sequence(F.lit(1), n)).alias("c"))
+    token = F.element_at("mh", F.pmod(F.xxhash64("node", "c", F.lit(1)), F.lit(POSITIONS)).cast("int") + 1)
+    return child.select(F.xxhash64("node", "c", F.array(token)).alias("node"), "id")
 
 
 def tree_count(recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - TREE_RECALL)))
 
 
-def find_clusters(reps: DataFrame, folder: str, threshold: float, trees: int, small: int, max_depth: int, agree: int) -> DataFrame:
+def band_width(threshold: float, recall: float) -> int:
+    """Most positions a band, so that a pair at the threshold parts in all bands with at most half of 1 - recall."""
+    return max([w for w in range(1, POSITIONS + 1) if (1 - threshold**w) ** (POSITIONS // w) <= (1 - recall) / 2], default=1)
+
+
+def bands(rows: DataFrame, width: int) -> DataFrame:
+    """(id, mh) to (node, id), a node for each band of positions: rows grow by a fixed factor."""
+    nodes = [F.xxhash64(F.lit(a), F.slice("mh", a + 1, width)) for a in range(0, POSITIONS - width + 1, width)]
+    return rows.select(F.explode(F.array(*nodes)).alias("node"), "id")
+
+
+def sized(nodes: DataFrame, folder: str, name: str) -> DataFrame:
+    """(node, id, n): nodes of n > 1 members."""
+    counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    return stash(nodes.join(counts, "node"), folder, name)
+
+
+def block_pairs(crowded: DataFrame, small: int) -> DataFrame:
+    """(node, id): blocks of a quarter of `small`, each pair of them a node."""
+    blocks = F.ceil(F.col("n") * 4 / small)
+    own = F.pmod(F.xxhash64("id"), blocks)
+    pairs = crowded.select("node", "id", own.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("c"))
+    return pairs.select(F.xxhash64("node", F.least("b", "c"), F.greatest("b", "c")).alias("node"), "id")
+
+
+def find_clusters(reps: DataFrame, folder: str, threshold: float, recall: float, small: int, max_depth: int, agree: int) -> DataFrame:
     """(cluster, id): groups of representatives that look alike and are to be compared exactly."""
-    rows = reps.select("id", "mh", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("node")).withColumn("steps", F.lit(1))
-    nodes = branch(rows, threshold)
-    found = None
-    for depth in range(1, max_depth + 1):
-        counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sized = stash(nodes.join(counts, "node"), folder, f"nodes{depth}")
-        fit = sized.where(F.col("n") <= small).select("node", "id")
-        found = fit if found is None else found.union(fit)
-        large = sized.where(F.col("n") > small)
-        if large.isEmpty():
-            break
-        steps = F.least(F.lit(MAX_STEPS), F.ceil(F.log2(F.col("n") / small)) + 4).cast("int")
-        nodes = branch(large.join(reps, "id").select("node", "id", "mh", steps.alias("steps")), threshold)
-    else:  # blocks of a quarter of `small`, each pair of them a node
-        blocks = F.ceil(F.col("n") * 4 / small)
-        own = F.pmod(F.xxhash64("id"), blocks)
-        pairs = large.select("node", "id", own.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("c"))
-        found = found.union(pairs.select(F.xxhash64("node", F.least("b", "c"), F.greatest("b", "c")).alias("node"), "id"))
+    roots = F.sequence(F.lit(1).cast("long"), F.lit(tree_count(recall)).cast("long"))
+    nodes = sized(branch(reps.select("id", "mh", F.explode(roots).alias("node")), threshold), folder, "nodes1")
+    found, crowded = nodes.where(F.col("n") <= small).select("node", "id"), nodes.where(F.col("n") > small)
+    if max_depth > 1 and not crowded.isEmpty():
+        again = reps.join(crowded.select("id").distinct(), "id", "left_semi")
+        nodes = sized(bands(again, band_width(threshold, recall)), folder, "nodes2")
+        found, crowded = found.union(nodes.where(F.col("n") <= small).select("node", "id")), nodes.where(F.col("n") > small)
+    if not crowded.isEmpty():
+        found = found.union(block_pairs(crowded, small))
     members = found.join(reps, "id").select("node", "id", "mh").repartition("node").sortWithinPartitions("node")
     clusters = members.mapInArrow(lambda it: sketch_clusters(it, agree), "cluster long, id long")
     return stash(clusters.distinct(), folder, "clusters")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, recall: float = 0.9999, small: int = 1024, max_depth: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, recall: float = 0.9999, small: int = 1024, max_depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs plus n_shingles, component_id (the smallest id reachable by links, itself included) and kept.
 
     Sets link if 100 * intersection >= percent * union.  Null texts and texts without words have no shingles and link
@@ -273,7 +288,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, rec
     reps = signs.where("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("id", "mh")).alias("r"))
     reps = stash(reps.select(*same, F.col("r.id").alias("id"), F.col("r.mh").alias("mh")), folder, "representatives")
     threshold, agree = percent / 100, max(1, math.floor(POSITIONS * percent / 100 - 5 * math.sqrt(POSITIONS * percent / 100 * (1 - percent / 100))))
-    clusters = find_clusters(reps.select("id", "mh"), folder, threshold, tree_count(recall), small, max_depth, agree)
+    clusters = find_clusters(reps.select("id", "mh"), folder, threshold, recall, small, max_depth, agree)
     wanted = small_side(stash(clusters.select("id").distinct(), folder, "wanted"))
     sets = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(lambda it: full_sets(it, shingle), "id long, set binary")
     rows = clusters.join(sets, "id").select("cluster", "id", "set").repartition("cluster").sortWithinPartitions("cluster")

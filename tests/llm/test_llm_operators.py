@@ -256,6 +256,30 @@ def test_minhash_recall_over_many_branchings(spark):
     assert len(set(map(tuple, got.collect())) & set(want)) >= 0.98 * len(want)
 
 
+def passage_pairs():
+    """Pairs at J = 0.85 or a little more that all share a long passage, so that their nodes are large."""
+    rng, texts = np.random.default_rng(85), []
+    for i in range(250):
+        own = [f"p{k}" for k in range(60)] + [f"d{i}x{k}" for k in range(64)]
+        texts += [" ".join(own), " ".join(own[: -rng.integers(7, 19)])]  # 120 shingles, 102 to 113 of them: J >= 0.85
+    return texts
+
+
+def test_minhash_finds_links_in_large_nodes(spark):
+    """Nodes of more than 4 members branch again; links at the threshold must survive it."""
+    texts = passage_pairs()
+    got = minhash.near_duplicates(docs_of(spark, texts), small=4).select("doc_id", *minhash.RESULT)
+    assert rows_of(got) == sorted(minhash.brute_force(list(enumerate(texts))), key=lambda r: tuple(map(str, r)))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_minhash_bands_keep_the_recall(percent):
+    t, w = percent / 100, minhash.band_width(percent / 100, 0.9999)
+    drawn = np.random.default_rng(percent).random((200_000, minhash.POSITIONS // w, w)) < t
+    assert (1 - t**w) ** (minhash.POSITIONS // w) <= 5e-5 or w == 1
+    assert (~drawn.all(axis=2).any(axis=1)).mean() <= 1e-4
+
+
 def test_minhash_odd_rows(odd):
     out = minhash.near_duplicates(odd)
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
