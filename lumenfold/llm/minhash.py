@@ -13,7 +13,9 @@ on one representative of each set.
 3. Small nodes are compared exhaustively by sketch; members that look alike form clusters, and a cluster found in
    several nodes counts once.
 4. Clusters are compared exactly, on full sets; links that reach the threshold join components.
-A node that is still large (very many almost equal sets) isn't branched again but compared in pairs of blocks.
+A node that is still large (very many almost equal sets) isn't branched again.  Its members are first linked, exactly,
+within blocks that share some pivots, each member in one node only; then members outside the largest group of linked
+members are compared with all others in pairs of blocks.  Pairs that are linked already need no comparison.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ POSITIONS, AGREE = 64, 40
 #: Least chance that a pair at the threshold stays together at the root of one tree: the chance that one of 1 / t
 #: children keeps it is 1 - (1 - t) ** (1 / t) > 1 - 1 / e.
 TREE_RECALL = 0.63
+#: Members that meet all others of a crowded node, at most.
+PIVOTS = 8
 RESULT = ("n_shingles", "component_id", "kept")
 SIGNATURE = "id long, n_shingles long, s1 long, s2 long, mh array<int>"
 _MULTIPLY = byte_codes(11)[:POSITIONS] | np.uint64(1)
@@ -118,10 +122,10 @@ def roots_of(near: np.ndarray) -> np.ndarray:
 
 
 def sketch_clusters(batches, agree: int):
-    """mapInArrow over rows sorted by node: (node, id, mh) to (cluster, id): members of a node that agree in `agree`
-    positions with another, by component.  A cluster's name is a hash of its members."""
+    """mapInArrow over rows sorted by node: (node, id, label, mh) to (cluster, id): members of a node that agree in
+    `agree` positions with another of another label, by component.  A cluster's name is a hash of its members."""
     for table in whole_groups(batches, "node"):
-        node, ids = table["node"].to_numpy(), table["id"].to_numpy()
+        node, ids, label = table["node"].to_numpy(), table["id"].to_numpy(), table["label"].to_numpy()
         mh = table["mh"].combine_chunks()
         mh = (mh.chunk(0) if isinstance(mh, pa.ChunkedArray) else mh).flatten().to_numpy().reshape(len(ids), POSITIONS)
         first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
@@ -130,13 +134,14 @@ def sketch_clusters(batches, agree: int):
         pairs = first[size == 2]
         if len(pairs):
             good = pairs[(mh[pairs] == mh[pairs + 1]).sum(axis=1) >= agree]
+            good = good[label[good] != label[good + 1]]
             members += list(np.stack((good, good + 1), axis=1))
         for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             own = mh[a : a + n]
             near = np.zeros((n, n), np.uint8)
             for k in range(POSITIONS):
                 near += own[:, k, None] == own[None, :, k]
-            root = roots_of(near >= agree)
+            root = roots_of((near >= agree) & (label[a : a + n, None] != label[None, a : a + n]))
             members += [a + np.flatnonzero(root == r) for r in np.flatnonzero(np.bincount(root) > 1)]
         if members:
             flat = np.concatenate(members)
@@ -248,16 +253,36 @@ def sized(nodes: DataFrame, folder: str, name: str) -> DataFrame:
     return stash(nodes.join(counts, "node"), folder, name)
 
 
-def block_pairs(crowded: DataFrame, small: int) -> DataFrame:
-    """(node, id): blocks of a quarter of `small`, each pair of them a node."""
-    blocks = F.ceil(F.col("n") * 4 / small)
-    own = F.pmod(F.xxhash64("id"), blocks)
-    pairs = crowded.select("node", "id", own.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("c"))
-    return pairs.select(F.xxhash64("node", F.least("b", "c"), F.greatest("b", "c")).alias("node"), "id")
+def crowd_blocks(crowded: DataFrame, small: int) -> DataFrame:
+    """(cluster, id): members in blocks of a quarter of `small`, each with the pivots of its node; a member goes with
+    its largest node only.  And the pivots of all nodes, by the nodes that they are in."""
+    own = crowded.groupBy("id").agg(F.max(F.struct("n", "node")).alias("o")).select("id", "o.node", F.ceil(F.col("o.n") * 4 / small).alias("blocks"))
+    name = lambda b: F.xxhash64("node", b).alias("cluster")
+    first = own.groupBy("node", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(7)), "id")).alias("p"), F.max("blocks").alias("blocks"))
+    pivots = first.select("node", F.col("p.id").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"))
+    together = crowded.join(first.select("p.id").distinct(), "id").select(F.col("node").alias("cluster"), "id")
+    return own.select(name(F.pmod(F.xxhash64("id"), F.col("blocks"))), "id").union(pivots.select(name(F.col("b")), "id")).union(together).distinct()
 
 
-def find_clusters(reps: DataFrame, folder: str, threshold: float, recall: float, small: int, max_depth: int, agree: int) -> DataFrame:
-    """(cluster, id): groups of representatives that look alike and are to be compared exactly."""
+def block_pairs(crowded: DataFrame, small: int) -> DataFrame:
+    """(node, id, label): pairs of blocks of a quarter of `small`, each a node.  crowded has node, id and label; of
+    a node's most frequent label no two members meet, all others meet everything."""
+    counts = crowded.groupBy("node", "label").agg(F.count("*").alias("c"))
+    main = counts.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("m")).where("n > m.c")
+    blocks = lambda c: F.ceil(c * 4 / small)
+    rows = crowded.join(main.select("node", F.col("m.label").alias("main"), blocks(F.col("n") - F.col("m.c")).alias("k"), blocks(F.col("m.c")).alias("m")), "node")
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).alias("b")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias("c")
+    inside, outside = rows.where("label = main"), rows.where("label <> main")
+    among = outside.select("node", "id", "label", own("k"), every("k")).select(F.xxhash64("node", F.lit(0), F.least("b", "c"), F.greatest("b", "c")).alias("node"), "id", "label")
+    across = outside.select("node", "id", "label", own("k"), every("m")).select(F.xxhash64("node", F.lit(1), "b", "c").alias("node"), "id", "label")
+    facing = inside.select("node", "id", "label", own("m"), every("k")).select(F.xxhash64("node", F.lit(1), "c", "b").alias("node"), "id", "label")
+    return among.union(across).union(facing)
+
+
+def find_clusters(reps: DataFrame, folder: str, threshold: float, recall: float, small: int, max_depth: int, agree: int, compare) -> tuple[DataFrame, DataFrame | None]:
+    """(cluster, id), groups of representatives that look alike and are to be compared exactly; and links that crowded
+    nodes have given already.  compare(clusters, folder) gives the exact links within clusters."""
     roots = F.sequence(F.lit(1).cast("long"), F.lit(tree_count(recall)).cast("long"))
     nodes = sized(branch(reps.select("id", "mh", F.explode(roots).alias("node")), threshold), folder, "nodes1")
     found, crowded = nodes.where(F.col("n") <= small).select("node", "id"), nodes.where(F.col("n") > small)
@@ -265,11 +290,15 @@ def find_clusters(reps: DataFrame, folder: str, threshold: float, recall: float,
         again = reps.join(crowded.select("id").distinct(), "id", "left_semi")
         nodes = sized(bands(again, band_width(threshold, recall)), folder, "nodes2")
         found, crowded = found.union(nodes.where(F.col("n") <= small).select("node", "id")), nodes.where(F.col("n") > small)
+    found, links = found.withColumn("label", F.col("id")), None
     if not crowded.isEmpty():
-        found = found.union(block_pairs(crowded, small))
-    members = found.join(reps, "id").select("node", "id", "mh").repartition("node").sortWithinPartitions("node")
+        links = compare(stash(crowd_blocks(crowded, small), folder, "crowd_blocks"), f"{folder}/crowd")
+        crowded = crowded.join(components(links, f"{folder}/crowd"), "id", "left").select("node", "id", F.coalesce("component", "id").alias("label"))
+        pairs = stash(block_pairs(stash(crowded, folder, "crowd_labels"), small), folder, "crowd_pairs")
+        found = found.union(pairs)
+    members = found.join(reps, "id").select("node", "id", "label", "mh").repartition("node").sortWithinPartitions("node")
     clusters = members.mapInArrow(lambda it: sketch_clusters(it, agree), "cluster long, id long")
-    return stash(clusters.distinct(), folder, "clusters")
+    return stash(clusters.distinct(), folder, "clusters"), links
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, recall: float = 0.9999, small: int = 1024, max_depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,11 +317,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, rec
     reps = signs.where("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("id", "mh")).alias("r"))
     reps = stash(reps.select(*same, F.col("r.id").alias("id"), F.col("r.mh").alias("mh")), folder, "representatives")
     threshold, agree = percent / 100, max(1, math.floor(POSITIONS * percent / 100 - 5 * math.sqrt(POSITIONS * percent / 100 * (1 - percent / 100))))
-    clusters = find_clusters(reps.select("id", "mh"), folder, threshold, recall, small, max_depth, agree)
-    wanted = small_side(stash(clusters.select("id").distinct(), folder, "wanted"))
-    sets = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(lambda it: full_sets(it, shingle), "id long, set binary")
-    rows = clusters.join(sets, "id").select("cluster", "id", "set").repartition("cluster").sortWithinPartitions("cluster")
-    links = stash(rows.mapInArrow(lambda it: exact_links(it, percent), "u long, v long"), folder, "links")
+
+    def compare(clusters: DataFrame, to: str) -> DataFrame:
+        wanted = small_side(stash(clusters.select("id").distinct(), to, "wanted"))
+        sets = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(lambda it: full_sets(it, shingle), "id long, set binary")
+        rows = clusters.join(sets, "id").select("cluster", "id", "set").repartition("cluster").sortWithinPartitions("cluster")
+        return stash(rows.mapInArrow(lambda it: exact_links(it, percent), "u long, v long"), to, "links")
+
+    clusters, crowd_links = find_clusters(reps.select("id", "mh"), folder, threshold, recall, small, max_depth, agree, compare)
+    links = compare(clusters, folder)
+    links = links if crowd_links is None else links.union(crowd_links)
     release(spark)
     reached = components(links, folder)
     of_set = reps.select(*same, "id").join(reached, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))

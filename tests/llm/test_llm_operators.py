@@ -272,6 +272,26 @@ def test_minhash_finds_links_in_large_nodes(spark):
     assert rows_of(got) == sorted(minhash.brute_force(list(enumerate(texts))), key=lambda r: tuple(map(str, r)))
 
 
+def test_minhash_crowds_do_not_multiply(spark, monkeypatch):
+    """Near copies at J of about 0.95: no intermediate table holds more than a fixed number of rows a document."""
+    rng, texts = np.random.default_rng(95), []
+    for i in range(400):
+        own = [f"w{k}" for k in range(200)]
+        own[rng.integers(200)] = f"x{i}"
+        texts.append(" ".join(own))
+    tables, stash = {}, minhash.stash
+
+    def counting(df, folder, name):
+        out = stash(df, folder, name)
+        tables[folder + name] = out.count()
+        assert tables[folder + name] <= 40 * len(texts), (name, tables)
+        return out
+
+    monkeypatch.setattr(minhash, "stash", counting)
+    got = minhash.near_duplicates(docs_of(spark, texts), small=32).select("doc_id", *minhash.RESULT)
+    assert rows_of(got) == sorted(minhash.brute_force(list(enumerate(texts))), key=lambda r: tuple(map(str, r)))
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 95])
 def test_minhash_bands_keep_the_recall(percent):
     t, w = percent / 100, minhash.band_width(percent / 100, 0.9999)
