@@ -146,7 +146,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*docs.columns, "held_out", "__said.lang_pred", "__said.score")
 
 
-def accepted(docs: DataFrame, *, min_score: float = 0.5, **how) -> DataFrame:
+def accepted(docs: DataFrame, *, min_score: float = 0.0, **how) -> DataFrame:
     """docs whose language could be told (not `und`) with at least min_score; columns as they are."""
     return identify(docs, **how).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
 

@@ -329,6 +329,13 @@ def test_language_id_odd_rows(spark, odd):
     assert langid.bucket_count(4) == langid.BUCKETS and langid.bucket_count(10**4) * 10**4 <= langid.MATRIX_CELLS
 
 
+def test_accepted_rejects_only_the_unknown(spark):
+    """A language that is told with a low score is told."""
+    model = (["a", "b", "c"], np.log(np.full(3, 1 / 3)), np.zeros((3, 257), np.float32))
+    docs = docs_of(spark, ["some words", "1 2 3", None])
+    assert [r["doc_id"] for r in langid.accepted(docs, model=model).collect()] == [0]
+
+
 # ---- 10
 
 def check_packing(got, texts, size):
