@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,9 +142,17 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, *, n_cells: int =
     return ranked.select("query_id", "rank", "id", S.l2_similarity(F.col("d")).alias("similarity"))
 
 
-def lsh_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "vec_id", vector: str = "embedding", tables: int = 24, planes: int = 6, seed: int = 11) -> DataFrame:
+def table_count(threshold: float, planes: int, recall: float) -> int:
+    """Tables by which a pair exactly at the cosine threshold shares a bucket with probability `recall`."""
+    same = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** planes
+    return 1 if same >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - max(same, 1e-9)))
+
+
+def lsh_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "vec_id", vector: str = "embedding", recall: float = 0.99, tables: int | None = None, planes: int = 6, seed: int = 11) -> DataFrame:
     """(i, j, similarity): pairs whose cosine reaches the threshold among those that share a bucket of random
-    hyperplanes in some table; approximate.  Buckets are compared in blocks, as in similar_pairs()."""
+    hyperplanes in some table; approximate.  The number of tables follows from the recall of a pair at the threshold.
+    Buckets are compared in blocks, as in similar_pairs()."""
+    tables = tables or table_count(threshold, planes, recall)
     dim = int(vectors.select(F.max(F.size(vector))).first()[0] or 1)
     normal = np.random.default_rng(seed).normal(size=(tables * planes, dim))
     shared = vectors.sparkSession.sparkContext.broadcast(normal)

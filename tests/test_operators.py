@@ -33,6 +33,15 @@ def test_leaders_equal_sequential_greedy(spark, shape):
     assert sorted(map(tuple, got.collect())) == greedy(edges)
 
 
+def test_lsh_recall(spark):
+    """Nearly all pairs at or above the threshold are found, and no others."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = set(vectors.similar_pairs(df, 0.4).select("i", "j").collect())
+    got = set(vectors.lsh_pairs(df, 0.4).select("i", "j").collect())
+    assert got <= want and len(got) >= 0.97 * len(want)
+    assert vectors.table_count(0.4, 6, 0.95) == 46 and vectors.table_count(1.0, 6, 0.99) == 1
+
+
 @pytest.mark.parametrize("distance", [0, 1, 3, 5, 8, 12])
 def test_near_hashes_equal_brute_force(spark, distance):
     rng = np.random.default_rng(distance)
