@@ -28,27 +28,50 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def leaders(edges: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
+#: Rounds before the rest may be settled on the driver, and the most edges that it may have then.
+ROUNDS, REST = 8, 200_000
+
+
+def rest_leaders(edges: list[tuple[int, int]]) -> list[int]:
+    """The leaders among the ends of edges, by the sequential rule."""
+    after: dict[int, list[int]] = {}
+    for i, j in edges:
+        after.setdefault(i, []).append(j)
+        after.setdefault(j, [])
+    members: set[int] = set()
+    for i in sorted(after):
+        if i not in members:
+            members.update(after[i])
+    return [i for i in after if i not in members]
+
+
+def leaders(edges: DataFrame) -> DataFrame:
     """(leader, member) for every member; edges are (i, j) with i < j.  Nodes without edges lead nobody.
 
+    Rounds go on until every node is decided.  A long chain of neighbours settles few nodes a round: after ROUNDS
+    rounds a rest of at most REST edges is settled on the driver.
     Tables of the shared folder cut the lineage, so a lost executor costs one round at most.
     """
     folder = working_folder(edges.sparkSession)
     edges = written(edges.where("i < j").select("i", "j").distinct(), f"{folder}/edges")
     undecided = written(edges.select(F.col("i").alias("id")).union(edges.select("j")).distinct(), f"{folder}/undecided0")
-    open_edges, chosen = edges, None
-    for k in range(1, max_rounds + 1):
-        if undecided.isEmpty():
+    open_edges, k = edges, 0
+    while not undecided.isEmpty():
+        k += 1
+        if k > ROUNDS and open_edges.count() <= REST:
+            ends = open_edges.select(F.col("i").alias("id")).union(open_edges.select("j"))
+            settled = edges.sparkSession.createDataFrame([(i,) for i in rest_leaders([tuple(r) for r in open_edges.collect()])], undecided.schema)
+            written(undecided.join(ends, "id", "left_anti").union(settled), f"{folder}/leaders{k}")
             break
         new = written(undecided.join(open_edges.select(F.col("j").alias("id")).distinct(), "id", "left_anti"), f"{folder}/leaders{k}")
-        chosen = new if chosen is None else chosen.union(new)
         gone = new.union(open_edges.join(new.withColumnRenamed("id", "i"), "i", "left_semi").select(F.col("j").alias("id"))).distinct()
         gone = written(gone, f"{folder}/gone{k}")
         undecided = written(undecided.join(gone, "id", "left_anti"), f"{folder}/undecided{k}")
         left = open_edges.join(gone.withColumnRenamed("id", "i"), "i", "left_anti").join(gone.withColumnRenamed("id", "j"), "j", "left_anti")
         open_edges = written(left.select("i", "j"), f"{folder}/edges{k}")
-    if chosen is None:
+    if k == 0:
         return edges.select(F.col("i").alias("leader"), F.col("j").alias("member"))
+    chosen = edges.sparkSession.read.schema(undecided.schema).parquet(*[f"{folder}/leaders{n}" for n in range(1, k + 1)])
     of_leaders = edges.join(chosen.withColumnRenamed("id", "i"), "i", "left_semi")
     # a leader has no earlier leader beside it, so only members are reached
     return of_leaders.groupBy("j").agg(F.min("i").alias("leader")).select("leader", F.col("j").alias("member"))

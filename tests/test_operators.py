@@ -33,6 +33,13 @@ def test_leaders_equal_sequential_greedy(spark, shape):
     assert sorted(map(tuple, got.collect())) == greedy(edges)
 
 
+def test_leaders_of_long_chains(spark):
+    """Each round settles two nodes of a chain; all must be settled, in any number of them."""
+    edges = [(i, i + 1) for i in range(3000)] + [(5000, 5001)]
+    got = cluster.leaders(spark.createDataFrame(edges, "i long, j long"))
+    assert sorted(map(tuple, got.collect())) == greedy(edges)
+
+
 def test_lsh_recall(spark):
     """Nearly all pairs at or above the threshold are found, and no others."""
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
