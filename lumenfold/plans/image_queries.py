@@ -81,8 +81,8 @@ def image_duplicates_by_size(spark, sf_dir):
 
 @register
 def image_duplicates_staged(spark, sf_dir):
-    """Duplicates by the staged cascade: hash, then embedding."""
-    return detect.staged(text_pictures(spark, sf_dir).select("id", "image"), DuplicateSettings(enable_ssim=False))
+    """Duplicates by the staged cascade: hash, embedding, then structure."""
+    return detect.staged(text_pictures(spark, sf_dir).select("id", "image"), DuplicateSettings())
 
 
 @register

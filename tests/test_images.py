@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenfold import cli
 from lumenfold.functions import kernels as K
 from lumenfold.operators import detect, vectors
+from lumenfold.plans import image_queries
 from lumenfold.sources import images, reports
 from lumenfold.sources.catalog import Catalog
 from lumenfold.sources.config import PROFILES, DuplicateSettings, Settings
@@ -60,6 +61,14 @@ def test_staged_detection(spark, folder):
         assert leader["original.png"] == leader["duplicate.png"] and leader["different.png"] == "different.png"
 
 
+def test_registered_cascade_checks_structure(spark, sf_dir, monkeypatch):
+    """The registered query runs all three stages."""
+    used = []
+    monkeypatch.setattr(image_queries.detect, "staged", lambda pictures, settings: used.append(settings))
+    image_queries.image_duplicates_staged(spark, sf_dir)
+    assert used[0].enable_hash and used[0].enable_embedding and used[0].enable_ssim
+
+
 def test_catalog_and_stream(spark, folder, tmp_path):
     catalog = Catalog(spark, f"file://{tmp_path}/catalog")
     assert catalog.read("images").count() == 0
