@@ -1,7 +1,7 @@
 """Best-fit packing of documents into token sequences, by hierarchical residual packing.
 
-Every task tokenizes its documents and packs their pieces, longest first, each into the fullest sequence that has
-room.  Sequences that are nearly full are done.  The others move up a tree as items of their fill: each node
+Every task tokenizes its documents.  Their pieces are dealt by hash, so that every packer sees the mix of lengths, and
+packed longest first, each into the fullest sequence that has room.  Sequences that are nearly full are done.  The others move up a tree as items of their fill: each node
 takes the underfull sequences of `fan_in` nodes below and packs them by best fit again, up to the root.
 A node hands at most `carry` sequences up, the emptiest ones; fuller ones stay as they are (whole, never dropped), so
 the root's work is bounded.
@@ -10,6 +10,7 @@ the root's work is bounded.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from functools import cache
 
@@ -22,23 +23,27 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.shared import shared_dir, stash
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long"
+LENGTHS = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = LENGTHS + ", bin long, offset long"
 
 
 @cache
 def encoder(path: str):
-    """text -> ids of the byte-level BPE vocabulary at `path`.  The .tiktoken form of byte_bpe_50k.json holds the
-    same vocabulary and gives the same ids three times as fast; special tokens' strings are ordinary text."""
+    """text -> ids of the byte-level BPE vocabulary at `path`.  The .tiktoken form of byte_bpe_50k.json holds the same
+    vocabulary but for the added tokens, which come from the json file beside it, and gives the same ids three times
+    as fast.  Strings of added tokens in a text are these tokens."""
     if path.endswith(".tiktoken"):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        known = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        return lambda text: known.encode(text, allowed_special="all")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -75,17 +80,25 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, offsets, np.array(fills, np.int64)
 
 
-def tokenize_and_pack(batches, path: str, size: int):
-    """mapInPandas: (doc_id, text) to PIECES, packed within this task; bin numbers are unique over all tasks."""
-    encode, rows = encoder(path), []
+def tokenize(batches, path: str, size: int):
+    """mapInPandas: (doc_id, text) to LENGTHS."""
+    encode = encoder(path)
     for pdf in batches:
+        rows = []
         for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
             ids = np.array([*encode(text or ""), 0], dtype="<u4")
             for k, (start, length) in enumerate(cut(len(ids), size)):
                 rows.append((doc, k, start, length, zlib.crc32(ids[start : start + length].tobytes())))
-    if rows:
         out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
         out["doc_id"] = out["doc_id"].astype("Int64")
+        yield out
+
+
+def pack_locally(batches, size: int):
+    """mapInPandas: LENGTHS to PIECES, packed within this task; bin numbers are unique over all tasks."""
+    held = [pdf.astype({"doc_id": "Int64"}) for pdf in batches if len(pdf)]
+    if held:
+        out = pd.concat(held, ignore_index=True).sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
         bins, out["offset"], _ = best_fit(out["length"].to_numpy(), size)
         out["bin"] = (TaskContext.get().partitionId() << 32) + bins
         yield out[["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset"]]
@@ -116,9 +129,10 @@ def pack(docs: DataFrame, *, size: int = 2048, slack: int = 8, fan_in: int = 16,
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = stash(texts.mapInPandas(lambda it: tokenize_and_pack(it, path, size), PIECES), folder, "pieces")
-    fills = pieces.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < size - slack)
     tasks = max(1, texts.rdd.getNumPartitions())
+    lengths = texts.mapInPandas(lambda it: tokenize(it, path, size), LENGTHS).repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32"))
+    pieces = stash(lengths.mapInPandas(lambda it: pack_locally(it, size), PIECES), folder, "pieces")
+    fills = pieces.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < size - slack)
     level, moved = 0, None
     under = fills.select("bin", "fill", F.shiftright("bin", 32).alias("node"))
     while level == 0 or tasks > 1:

@@ -379,6 +379,26 @@ def test_both_vocabulary_files_agree(text):
     assert list(a(text)) == list(b(text))
 
 
+def test_added_tokens_are_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t, texts = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|", "plain"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [list(packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))(x)) for x in texts] == want
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(docs_of(spark, texts)).collect()}
+    assert got == {i: (len(w) + 1, crc32(np.array([*w, 0], dtype="<u4").tobytes())) for i, w in enumerate(want)}
+    counts = {r["n_tokens"]: r["n_docs"] for r in token_counts.histogram(docs_of(spark, texts)).collect()}
+    assert counts == {n: sum(len(w) == n for w in want) for n in map(len, want)}
+
+
+def test_packers_see_the_mix_of_lengths(spark):
+    """Long documents in one task and short ones in another fill sequences together."""
+    texts = [" a" * (39 if i < 200 else 23) for i in range(400)]  # 40 and 24 ids: one of each is a sequence of 64
+    got = packing.pack(docs_of(spark, texts).repartitionByRange(2, "doc_id"), size=64, slack=0).toPandas()
+    check_packing(got, list(enumerate(texts)), 64)
+    assert got["sequence_id"].nunique() <= 230
+
+
 # ---- pipeline
 
 def test_pipeline_equals_brute_force(spark, sf_dir):
