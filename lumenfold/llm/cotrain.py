@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import small_side
-from lumenfold.llm.textnp import mix, prefix_hash, range_hash, text_chunks, words
+from lumenfold.llm.shared import fresh, small_side
+from lumenfold.llm.textnp import mix, range_digests, text_chunks, words
 
 #: Hash buckets of either view; score bins for calibration, and their width.
 TEXT_BUCKETS, META_BUCKETS, BINS, BIN = 1 << 16, 1 << 12, 64, 0.25
@@ -45,9 +45,8 @@ def features(texts: pd.Series, meta: list[pd.Series]):
         starts, ends, of = words(data, offsets)
         n = np.diff(of)
         doc = np.repeat(np.arange(rows), n)
-        prefix = prefix_hash(data, 21)
-        h = range_hash(prefix, starts, ends)
-        tail = mix(range_hash(prefix, np.maximum(starts, ends - 3), ends) + np.uint64(5))
+        h, _ = range_digests(data, starts, ends)
+        tail = mix(range_digests(data, np.maximum(starts, ends - 3), ends)[0] + np.uint64(5))
         again = np.concatenate(([False], (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])))[: len(h)]
         flat = np.concatenate((h, tail, mix(again.astype(np.uint64) + np.uint64(9))))
         at, owner = (flat % np.uint64(TEXT_BUCKETS)).astype(np.int64), np.tile(doc, 3)
@@ -200,7 +199,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0
         return pd.DataFrame(p, columns=["text_score", "meta_score", "quality_score"])
 
     meta = [F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in META]
-    out = docs.withColumn("__s", score(F.col(text_col).cast("string"), *meta)).select(*docs.columns, "__s.*")
+    (said,) = fresh(docs, "said")
+    out = docs.withColumn(said, score(F.col(text_col).cast("string"), *meta)).select(*docs.columns, f"{said}.*")
     return out.withColumn("kept", F.col("quality_score") >= threshold)
 
 

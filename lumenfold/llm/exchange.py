@@ -1,7 +1,8 @@
 """Packed exchange: positions of many documents travel by hash slice as binary arrays, not as a row each.
 
 A task gathers some millions of positions (a batch), keeps what one batch can settle by itself - copies of a key
-inside a batch never leave it - and deals the rest to slices by key.  A slice's task settles its keys and
+inside a batch never leave it - and deals the rest to slices by key.  Slices are as many as the bytes of all texts ask
+for, so a slice has a bounded size.  A slice's task settles its keys and
 answers by batch; a batch's answers are put together to runs of positions for each document.  So a key that
 a third of all documents share costs each batch one entry.
 """
@@ -21,7 +22,9 @@ from lumenfold.llm.shared import slices
 from lumenfold.llm.textnp import cover
 
 #: Positions that a batch gathers before it is dealt.
-BATCH = 3_000_000
+BATCH = 2_000_000
+#: Bytes of text that a hash slice stands for: few while the input is small, never more than the second number.
+SLICE_BYTES = (1 << 22, 1 << 25)
 #: verdict is OPEN for entries that their slice has to judge; answers keep the other verdicts.
 ROWS = "slice int, batch long, verdict int, docs binary, counts binary, pos binary, size binary, key binary, more binary"
 OPEN, REPEAT, COMPARE, BY_WINDOW = 0, 1, 2, 3
@@ -170,5 +173,9 @@ def run_cover(runs: bytes | None, n: int, more: int = 0, before: int = 0) -> np.
     return cover(n, start[own], (end - start)[own])
 
 
-def n_slices(df: DataFrame) -> int:
-    return slices(df.sparkSession)
+def n_slices(texts: DataFrame) -> int:
+    """Number of hash slices for (id, text): it grows with the bytes of the texts, so that no slice - one group of one
+    task - grows with the input."""
+    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    least, most = SLICE_BYTES
+    return max(slices(texts.sparkSession), -(-total // min(most, max(least, total // 4096))))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.shared import fresh
+
 #: Hash buckets, and the bound on languages * buckets: with more languages there are fewer buckets.
 BUCKETS, MATRIX_CELLS = 1 << 16, 1 << 23
 NGRAMS = (1, 2, 3)
@@ -142,8 +144,9 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             said, score = classify([t if isinstance(t, str) else None for t in texts], shared.value)
             yield pd.DataFrame({"lang_pred": said, "score": score})
 
-    out = docs.withColumn("__said", predict(F.col(text_col))).withColumn("held_out", is_held_out(id_col))
-    return out.select(*docs.columns, "held_out", "__said.lang_pred", "__said.score")
+    (said,) = fresh(docs, "said")
+    out = docs.withColumn(said, predict(F.col(text_col))).withColumn("held_out", is_held_out(id_col))
+    return out.select(*docs.columns, "held_out", f"{said}.lang_pred", f"{said}.score")
 
 
 def accepted(docs: DataFrame, *, min_score: float = 0.0, **how) -> DataFrame:

@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import release, shared_dir, small_side, stash
+from lumenfold.llm.shared import forget, fresh, release, shared_dir, small_side, stash
 from lumenfold.llm.substring_dedup import NO_ID
-from lumenfold.llm.textnp import byte_codes, lower, mix, prefix_hash, range_hash, ranges, text_chunks, window_hash, words
+from lumenfold.llm.textnp import byte_codes, lower, mix, range_digests, ranges, text_chunks, window_hash, words
 
 #: Minhash positions, and how many must agree for an exact comparison (five deviations below 85 %).
 POSITIONS, AGREE = 64, 40
@@ -45,41 +45,43 @@ _ADD = byte_codes(12)[:POSITIONS]
 
 
 def shingle_sets(batch, shingle: int):
-    """For each chunk of (id, text): ids, distinct shingle hashes sorted within each text, and their bounds."""
+    """For each chunk of (id, text): ids, distinct shingles as two 64-bit hashes, sorted by the first within each
+    text, and the texts' bounds."""
     ids = np.asarray(batch.column(0))
     for first, data, offsets in text_chunks(batch.column(1)):
         data = lower(data)
         starts, ends, of = words(data, offsets)
-        h = range_hash(prefix_hash(data, 1), starts, ends)
         n = np.diff(of)
         count = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
         doc = np.repeat(np.arange(len(n)), count)
         at = ranges(of[:-1], count)
-        hashes = window_hash(h, shingle)[at] if len(h) else h
-        for m in range(1, shingle):  # texts of fewer words are one shingle
-            short = n[doc] == m
-            if short.any():
-                hashes[short] = mix(window_hash(h, m)[at[short]] + np.uint64(m))
-        order = np.argsort(hashes)
+        lanes = []
+        for h in range_digests(data, starts, ends):
+            hashes = window_hash(h, shingle)[at] if len(h) else h
+            for m in range(1, shingle):  # texts of fewer words are one shingle
+                short = n[doc] == m
+                if short.any():
+                    hashes[short] = mix(window_hash(h, m)[at[short]] + np.uint64(m))
+            lanes.append(hashes)
+        order = np.argsort(lanes[0])
         order = order[np.argsort(doc[order], kind="stable")]
-        hashes, doc = hashes[order], doc[order]
+        hashes, doc = lanes[0][order], doc[order]
         new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])))[: len(doc)]
-        hashes, doc = hashes[new], doc[new]
-        yield ids[first : first + len(n)], hashes, np.searchsorted(doc, np.arange(len(n) + 1))
+        yield ids[first : first + len(n)], hashes[new], lanes[1][order][new], np.searchsorted(doc[new], np.arange(len(n) + 1))
 
 
 def sign(batches, shingle: int):
     """mapInArrow: (id, text) to SIGNATURE; texts without words have no minhashes."""
     for batch in batches:
-        for ids, hashes, bounds in shingle_sets(batch, shingle):
+        for ids, hashes, more, bounds in shingle_sets(batch, shingle):
             n = np.diff(bounds)
             full = np.flatnonzero(n)
             at = bounds[:-1][full]
             sums = np.zeros((2, len(n)), np.uint64)
             mh = np.zeros((len(full), POSITIONS), np.uint32)
             if len(full):
-                for k in range(2):
-                    sums[k, full] = np.add.reduceat(mix(hashes ^ _ADD[k]), at)
+                for k, lane in enumerate((hashes, more)):
+                    sums[k, full] = np.add.reduceat(mix(lane ^ _ADD[k]), at)
                 for k in range(POSITIONS):
                     mh[:, k] = np.minimum.reduceat((hashes * _MULTIPLY[k] + _ADD[k]) >> np.uint64(32), at)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n > 0) * POSITIONS)), pa.int32()), pa.array(mh.reshape(-1).view(np.int32)))
@@ -89,7 +91,7 @@ def sign(batches, shingle: int):
 def full_sets(batches, shingle: int):
     """mapInArrow: (id, text) to (id, set), the sorted shingle hashes as bytes."""
     for batch in batches:
-        for ids, hashes, bounds in shingle_sets(batch, shingle):
+        for ids, hashes, _, bounds in shingle_sets(batch, shingle):
             data = hashes.view(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer((bounds * 8).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())], names=["id", "set"])
 
@@ -329,14 +331,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, rec
     links = links if crowd_links is None else links.union(crowd_links)
     release(spark)
     reached = components(links, folder)
+    forget(spark, *[f"{folder}/{name}" for name in ("nodes1", "nodes2", "crowd_blocks", "crowd_labels", "crowd_pairs", "clusters", "wanted", "links", "crowd")])
     of_set = reps.select(*same, "id").join(reached, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     verdict = signs.select("id", *same).distinct().join(of_set, same, "left")
     real = lambda c: F.when(c != NO_ID, c)
-    verdict = verdict.select(F.col("id").alias("__id"), "n_shingles", real(F.coalesce("component", "id")).alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept"))
-    if set(docs.columns) == {id_col}:
-        return verdict
-    out = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(verdict, "__id")
-    return out.select(*docs.columns, *RESULT)
+    verdict = verdict.select("id", "n_shingles", real(F.coalesce("component", "id")).alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept"))
+    (key,) = fresh(docs, "key")
+    rows = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    return rows.join(verdict.withColumnRenamed("id", key), key).select(*docs.columns, *RESULT)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ a window covers are removed if the same words also start in a document with a sm
 
 1. Reference blocks are the non-overlapping blocks of (window + 1) / 2 words of every document: any window holds one
    of them whole.  Every rolling window of a block's length probes the blocks, by packed exchange.
-2. Around hits (and only there) whole windows meet by a 96-bit hash of their words; a window is a repeat if the
+2. Around hits (and only there) whole windows meet by 128 bits over the digests of their words; a window is a repeat if the
    smallest id among its holders is smaller than its own.  Touching repeats grow together to maximal ones.
 3. Each document drops the words that its repeats cover.
 """
@@ -20,20 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm import exchange as X
-from lumenfold.llm.shared import release, shared_dir, stash
-from lumenfold.llm.textnp import prefix_hash, range_hash, ranges, text_chunks, window_hash, words
+from lumenfold.llm.shared import forget, fresh, release, shared_dir, stash
+from lumenfold.llm.textnp import range_digests, ranges, text_chunks, window_hash, words
 
 #: A null id sorts before all others.
 NO_ID = -(1 << 63)
 RESULT = ("n_words", "n_removed", "removed_spans", "kept_text")
 
 
-def hashed_words(batch, seeds=(1,)):
-    """For each chunk of a batch of (id, text): ids, first word of each text, and the words' hashes by seed."""
+def hashed_words(batch):
+    """For each chunk of a batch of (id, text): its first row, ids, first word of each text, and the words' digests."""
     ids = np.asarray(batch.column(0))
     for first, data, offsets in text_chunks(batch.column(1)):
         starts, ends, of = words(data, offsets)
-        yield first, ids[first : first + len(offsets) - 1], of, [range_hash(prefix_hash(data, s), starts, ends) for s in seeds]
+        yield first, ids[first : first + len(offsets) - 1], of, range_digests(data, starts, ends)
 
 
 def probe_blocks(batches, block: int, n_slices: int):
@@ -41,7 +41,7 @@ def probe_blocks(batches, block: int, n_slices: int):
 
     def parts():
         for batch in batches:
-            for _, ids, of, (h,) in hashed_words(batch):
+            for _, ids, of, (h, _) in hashed_words(batch):
                 n = np.diff(of)
                 probes = np.maximum(n - block + 1, 0)
                 pos = ranges(np.zeros(len(n), np.int64), probes)
@@ -83,13 +83,13 @@ def whole_windows(batches, window: int, block: int, n_slices: int):
     def parts():
         for batch in batches:
             runs = batch.column(2).to_pylist()
-            for first, ids, of, hs in hashed_words(batch, (1, 2)):
+            for first, ids, of, hs in hashed_words(batch):
                 n = np.diff(of)
                 at = [np.flatnonzero(X.run_cover(runs[first + i], max(0, n[i] - window + 1), before=window - block)) for i in range(len(n))]
                 doc = np.repeat(np.arange(len(n)), [len(a) for a in at])
                 pos = np.concatenate(at) if at else np.zeros(0, np.int64)
                 where = of[:-1][doc] + pos
-                yield ids, doc, pos, window_hash(hs[0], window)[where], window_hash(hs[1], window)[where].astype("<u4")
+                yield ids, doc, pos, window_hash(hs[0], window)[where], window_hash(hs[1], window)[where]
 
     for seq, (ids, doc, pos, key, check) in enumerate(X.gathered(parts(), X.BATCH // 2)):
         number = X.batch_number(seq)
@@ -108,7 +108,7 @@ def whole_windows(batches, window: int, block: int, n_slices: int):
 
 def later_windows(ids: np.ndarray, pos: np.ndarray, keys: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
     """Entries whose window also starts in a document with a smaller id."""
-    check = np.concatenate([np.frombuffer(m, "<u4") for m in rows["more"]])
+    check = np.concatenate([np.frombuffer(m, "<u8") for m in rows["more"]])
     order = np.lexsort((ids, check, keys))
     k, c, o = keys[order], check[order], ids[order]
     first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
@@ -119,16 +119,16 @@ def later_windows(ids: np.ndarray, pos: np.ndarray, keys: np.ndarray, rows: pd.D
 
 def repeated_windows(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, runs): for documents that have any, runs (start, length) of word positions where a repeat starts."""
-    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
-    block, n = (window + 1) // 2, X.n_slices(docs)
+    spark, folder, block = docs.sparkSession, shared_dir(docs.sparkSession), (window + 1) // 2
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.mapInArrow(lambda it: X.to_arrow(probe_blocks(it, block, n)), X.ROWS)
-    hits = stash(X.settle(rows, block_hits, "<u4"), folder, "hits")
+    n = X.n_slices(texts)
+    hits = stash(X.settle(texts.mapInArrow(lambda it: X.to_arrow(probe_blocks(it, block, n)), X.ROWS), block_hits, "<u4"), folder, "hits")
     release(spark)
-    near = texts.join(hits, "id")
-    rows = near.mapInArrow(lambda it: X.to_arrow(whole_windows(it, window, block, n)), X.ROWS)
-    found = stash(X.settle(rows, later_windows, "<u8"), folder, "repeats")
+    near = texts.join(hits, "id").mapInArrow(lambda it: X.to_arrow(whole_windows(it, window, block, n)), X.ROWS)
+    found = stash(X.settle(near, later_windows, "<u8"), folder, "repeats")
+    del near, hits
     release(spark)
+    forget(spark, f"{folder}/hits")
     return found
 
 
@@ -159,16 +159,15 @@ def substring_dedup(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id"
     Columns of docs keep their names; input columns named like a result column are replaced.
     """
     docs = docs.drop(*RESULT)
-    found = repeated_windows(docs, window=window, id_col=id_col, text_col=text_col)
-    found = X.whole_runs(found).toDF("__id", "__runs")
+    found = X.whole_runs(repeated_windows(docs, window=window, id_col=id_col, text_col=text_col))
 
     @F.pandas_udf(STRIPPED)
     def cut(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
         return strip(text, runs, window)
 
-    joined = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(found, "__id", "left")
-    out = joined.withColumn("__out", cut(F.col(text_col), F.col("__runs")))
-    return out.select(*docs.columns, "__out.*")
+    key, runs, out = fresh(docs, "key", "runs", "out")
+    rows = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(found.toDF(key, runs), key, "left")
+    return rows.withColumn(out, cut(F.col(text_col), F.col(runs))).select(*docs.columns, f"{out}.*")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

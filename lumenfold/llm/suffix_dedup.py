@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm import exchange as X
-from lumenfold.llm.shared import release, shared_dir, stash
+from lumenfold.llm.shared import forget, fresh, release, shared_dir, stash
 from lumenfold.llm.substring_dedup import NO_ID
-from lumenfold.llm.textnp import mix, prefix_hash, range_hash, ranges, text_chunks
+from lumenfold.llm.textnp import mix, range_digests, ranges, text_chunks
 
 #: Bytes of an anchor; distinct snippets of one anchor that a batch sends on and that a slice compares by transform.
 GRAM, HOT_BATCH, HOT_SLICE = 16, 32, 4096
@@ -79,7 +79,7 @@ def snippets(data: np.ndarray, offsets: np.ndarray, length: int):
     new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))))
     windows = np.diff(new, append=len(where))
     start, own = where[new], anchor[new]
-    whole = range_hash(prefix_hash(data, 4), start, start + windows - 1 + length)
+    whole, _ = range_digests(data, start, start + windows - 1 + length)
     return doc[new], start - offsets[:-1][doc[new]], windows, hashes[own], mix(whole + (own - start).astype(np.uint64))
 
 
@@ -289,7 +289,7 @@ def deal_windows(batches, length: int, n_slices: int):
                 doc = np.repeat(np.arange(len(own)), [int(p["f1"].sum()) for p in own])
                 pos = np.concatenate([ranges(p["f0"].astype(np.int64), p["f1"].astype(np.int64)) for p in own])
                 where = offsets[:-1][doc] + pos
-                key, check = (range_hash(prefix_hash(data, s), where, where + length) for s in (5, 6))
+                key, check = range_digests(data, where, where + length)
                 yield ids[first : first + len(own)], doc, pos, key, check
 
     for seq, (ids, doc, pos, key, check) in enumerate(X.gathered(parts(), X.BATCH // 2)):
@@ -313,10 +313,10 @@ def judge_windows(ids: np.ndarray, pos: np.ndarray, keys: np.ndarray, rows: pd.D
 
 def repeated_strings(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, runs): for documents that have any, runs (start, length) of byte positions where a repeated window starts."""
-    spark, folder, n = docs.sparkSession, shared_dir(docs.sparkSession), X.n_slices(docs)
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.mapInArrow(lambda it: X.to_arrow(deal_snippets(it, length, n)), X.ROWS)
-    said = stash(X.answers(rows, judge_snippets, "<u8"), folder, "snippets")
+    n = X.n_slices(texts)
+    said = stash(X.answers(texts.mapInArrow(lambda it: X.to_arrow(deal_snippets(it, length, n)), X.ROWS), judge_snippets, "<u8"), folder, "snippets")
     release(spark)
     copies = said.where(F.col("verdict") == X.REPEAT).groupBy("batch").applyInPandas(X.batch_runs, X.RUNS)
     near = texts.join(entries_by_doc(said, X.COMPARE), "id")
@@ -326,9 +326,12 @@ def repeated_strings(docs: DataFrame, *, length: int = 100, id_col: str = "doc_i
         crowd = texts.join(entries_by_doc(said, X.BY_WINDOW), "id")
         rows = crowd.mapInArrow(lambda it: X.to_arrow(deal_windows(it, length, n)), X.ROWS)
         found = found.unionByName(X.settle(rows, judge_windows, "<u8"))
-    found = stash(found, folder, "repeats")
+        del crowd, rows
+    repeats = stash(found, folder, "repeats")
+    del said, copies, near, cut, found
     release(spark)
-    return found
+    forget(spark, f"{folder}/snippets")
+    return repeats
 
 
 STRIPPED = "n_bytes long, n_removed long, removed_spans array<struct<first:int,last:int>>, kept_bytes binary"
@@ -358,14 +361,15 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id",
     are replaced.
     """
     docs = docs.drop(*RESULT)
-    found = X.whole_runs(repeated_strings(docs, length=length, id_col=id_col, text_col=text_col)).toDF("__id", "__runs")
+    found = X.whole_runs(repeated_strings(docs, length=length, id_col=id_col, text_col=text_col))
 
     @F.pandas_udf(STRIPPED)
     def cut(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
         return strip(text, runs, length)
 
-    joined = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(found, "__id", "left")
-    return joined.withColumn("__out", cut(F.col(text_col), F.col("__runs"))).select(*docs.columns, "__out.*")
+    key, runs, out = fresh(docs, "key", "runs", "out")
+    rows = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(found.toDF(key, runs), key, "left")
+    return rows.withColumn(out, cut(F.col(text_col), F.col(runs))).select(*docs.columns, f"{out}.*")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

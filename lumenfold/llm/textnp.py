@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -12,10 +14,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-#: A fixed odd base of the polynomial and its inverse modulo 2**64.
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Ranges of more bytes than this are digested by BLAKE2b instead of eight bytes a step.
+LONG = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,25 +30,27 @@ def byte_codes(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * _STEP + np.uint64(seed * 2 + 1))
 
 
-def powers(n: int, base: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64; kept and grown by doubling."""
-    p = _powers.get(base, np.ones(1, np.uint64))
-    while len(p) < n:
-        p = np.concatenate((p, p * np.uint64(pow(base, len(p), 1 << 64))))
-    _powers[base] = p if len(p) <= 4 * CHUNK else p[: 4 * CHUNK]
-    return p[:n]
-
-
-def prefix_hash(data: np.ndarray, seed: int) -> np.ndarray:
-    """Sums of code * base**i; from them the hash of any range is (p[end] - p[start]) / base**start."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte_codes(seed)[data] * powers(len(data), _BASE), out=out[1:])
-    return out
-
-
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes start to end - 1, equal for equal bytes wherever they lie."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix), _INVERSE)[start] + (end - start).astype(np.uint64))
+def range_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of the bytes start to end - 1 of each range, equal for equal bytes wherever they lie.
+
+    Both are chained over eight bytes a step by a bijection that is not linear, so that no words collide by
+    structure as they do in sums of powers modulo 2**64; together they are 128 bits."""
+    n = end - start
+    a, b = np.full(len(n), _STEP), np.full(len(n), _MIX2)
+    load = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), 0, (1,))
+    live, at = np.flatnonzero((n > 0) & (n <= LONG)), 0
+    while len(live):
+        left = n[live] - at
+        x = load[start[live] + at]
+        short = left < 8
+        x[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        a[live] = mix(a[live] ^ x) + _STEP
+        b[live] = mix(b[live] * _MIX1 + x)
+        live, at = live[left > 8], at + 8
+    a, b = mix(a + n.astype(np.uint64)), mix(b ^ n.astype(np.uint64))
+    for i in np.flatnonzero(n > LONG).tolist():
+        a[i], b[i] = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest(), "<u8")
+    return a, b
 
 
 def text_chunks(column: pa.Array):
@@ -95,7 +97,7 @@ def window_hash(word_hash: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         ahead = np.zeros_like(word_hash)
         ahead[: len(word_hash) - j] = word_hash[j:]
-        out = out * _MIX2 + ahead
+        out = (out ^ (out >> np.uint64(29))) * _MIX2 + ahead
     return mix(out)
 
 

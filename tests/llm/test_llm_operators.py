@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenfold.llm import cotrain, decontam, exact_dedup, langid, minhash, packing, queries, shared, substring_dedup, suffix_dedup, token_counts, warc
+from lumenfold.llm import cotrain, decontam, exact_dedup, langid, minhash, packing, queries, shared, substring_dedup, suffix_dedup, textnp, token_counts, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -145,6 +145,64 @@ def test_repeat_operators_odd_rows(odd, operator):
     assert out.where("doc_id = 4").first()["n_removed"] > 0  # an earlier row has the same words
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def twins(spark):
+    """Long words that collide in sums of powers modulo 2**64: Thue-Morse words and their complements."""
+    one, tail = thue_morse(1024), " ".join(f"w{i}" for i in range(12))
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [f"{one} {tail}", f"{other} {tail}", "x" * 300_000 + " " + tail, "x" * 300_001 + " " + tail, "x" * 300_000 + "  " + tail]
+    return docs_of(spark, texts), list(enumerate(texts))
+
+
+def test_words_that_collide_by_structure(twins):
+    docs, rows = twins
+    out = substring_dedup.substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("s"))
+    assert rows_of(out) == sorted(substring_dedup.brute_force(rows), key=lambda r: tuple(map(str, r)))
+    got = minhash.near_duplicates(docs).select("doc_id", *minhash.RESULT)
+    assert rows_of(got) == sorted(minhash.brute_force(rows), key=lambda r: tuple(map(str, r)))
+    out = suffix_dedup.suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("removed_spans").alias("n"), F.sha2("kept_bytes", 256).alias("s"))
+    short = [(i, t) for i, t in rows if i < 2]
+    assert {tuple(r) for r in out.where("doc_id < 2").collect()} == set(suffix_dedup.brute_force(short))
+
+
+def test_digests_tell_ranges_apart():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    start = rng.integers(0, 2000, 20_000)
+    end = start + rng.integers(0, 1200, 20_000)
+    a, b = textnp.range_digests(data, start, end)
+    parts = [data[i:j].tobytes() for i, j in zip(start, end, strict=True)]
+    assert len(set(parts)) == len(set(zip(parts, a.tolist(), b.tolist(), strict=True))) == len(set(a.tolist())) == len(set(b.tolist()))
+
+
+def test_columns_keep_their_values(spark, odd):
+    """Columns that are named like helpers of an operator come back as they were."""
+    names = ["__id", "__runs", "__out", "__said", "key", "runs", "out", "said", "id", "row", "fp", "words", "label", "fold"]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null and doc_id <> 3")
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n}:"), F.col("doc_id")) for n in names})
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    for out in (exact_dedup.exact_dedup(docs), cotrain.classify_quality(docs, labels, rounds=1), suffix_dedup.suffix_dedup(docs), substring_dedup.substring_dedup(docs), decontam.flag_contaminated(docs, bench), decontam.decontaminate(docs, bench, mode="spans"), minhash.near_duplicates(docs), langid.identify(docs), langid.accepted(docs)):
+        rows = out.select("doc_id", *names).collect()
+        assert rows and all(r[n] == f"{n}:{r['doc_id']}" for r in rows for n in names)
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), *[c for c in names if c != "id"], F.lit(1).alias("sha"), F.lit(2).alias("holder"), F.lit("x").alias("payload"))
+    assert warc.read_bundles(warc.write_bundles(pages, shared.shared_dir(spark))).count() == pages.count()
+    assert packing.pack(docs.withColumn("bin", F.lit(1))).select("doc_id").distinct().count() == docs.count()
+
+
+def test_scratch_tables_go(spark, documents):
+    with shared.scratch(spark) as folder:
+        minhash.near_duplicates(documents.limit(5)).count()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        assert store.exists(path)
+    assert not store.exists(path)
+
+
 # ---- 4
 
 def test_token_counts(spark, documents, pairs):
