@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm import decontam, exact_dedup, langid, minhash, packing
-from lumenfold.llm.shared import shared_dir, stash
+from lumenfold.llm.shared import scratch, shared_dir, stash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of sf_dir; between stages tables are written and read again."""
+    """The last stage's rows for the documents of sf_dir; between stages tables are written and read again.  What a
+    stage needed on its way is deleted once its table is written."""
     folder, docs = shared_dir(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), folder, name)
+        with scratch(spark):
+            docs = stash(stage(spark, docs, sf_dir), folder, name)
     return STAGES[-1][1](spark, docs, sf_dir)
