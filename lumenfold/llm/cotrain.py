@@ -1,7 +1,8 @@
 """Quality classifier by co-training.
 
-Two views of a document are classified apart: its text (words, word ends, repeated words) and its page metadata
-(source, language, length, and layout figures such as lines and the shares of symbols, capitals and distinct words).
+Two views of a document are classified apart: its text (words, word ends, repeated words, and layout figures such as
+lines and the shares of symbols, capitals and distinct words), and its page metadata (source, language, told length,
+host and depth of the URL), of which nothing is computed from the text.
 Both are naive Bayes over hashed features, so a training round is one pass that adds counts: labelled rows count for
 both views; of the other rows those that one view is sure about count, as it says, for the other view.  After the
 rounds both views are calibrated on held-out labelled rows, combined, and score all documents.
@@ -24,7 +25,7 @@ from lumenfold.llm.textnp import mix, range_digests, text_chunks, words
 
 #: Hash buckets of either view; score bins for calibration, and their width.
 TEXT_BUCKETS, META_BUCKETS, BINS, BIN = 1 << 16, 1 << 12, 64, 0.25
-META = ("source", "lang", "n_chars")
+META = ("source", "lang", "n_chars", "url")
 RESULT = ("text_score", "meta_score", "quality_score", "kept")
 COUNTS = "view int, label int, bucket int, n double"
 
@@ -33,13 +34,23 @@ def _level(x: np.ndarray, steps: int) -> np.ndarray:
     return np.minimum((x * steps).astype(np.int64), steps)
 
 
-def features(texts: pd.Series, meta: list[pd.Series]):
-    """Yields for chunks of rows: first row, number of rows, text buckets, the row of each, meta buckets (rows, k)."""
+def meta_buckets(meta: list[pd.Series]) -> np.ndarray:
+    """Buckets (rows, k) of the metadata alone; missing values are values of their own."""
+    source, lang, size, url = meta
+    size = np.nan_to_num(pd.to_numeric(size, errors="coerce").to_numpy(dtype=float), nan=-1)
+    urls = [u.split("//", 1)[-1].split("/") if isinstance(u, str) else [None] for u in url]
+    named = {
+        "source": source, "lang": lang, "both": [f"{a}/{b}" for a, b in zip(source, lang, strict=True)], "size": [int(np.log2(x + 1) * 2) if x >= 0 else None for x in size],
+        "host": [u[0] for u in urls], "depth": [len(u) for u in urls],
+    }
+    hashed = [[crc32(f"{name}={v}".encode()) for v in values] for name, values in named.items()]
+    return (np.array(hashed, np.uint64).T.reshape(len(source), len(named)) % np.uint64(META_BUCKETS)).astype(np.int64)
+
+
+def features(texts: pd.Series):
+    """Yields for chunks of texts: first row, number of rows, buckets of words, the row of each, and buckets (rows, k)
+    of the layout."""
     column = pa.array([t if isinstance(t, str) else None for t in texts], pa.string())
-    named = [[crc32(f"{name}={v}".encode()) for v in values] for name, values in zip(META[:2], meta, strict=False)]
-    size = np.nan_to_num(pd.to_numeric(meta[2], errors="coerce").to_numpy(dtype=float), nan=-1)
-    named.append([crc32(f"size={int(np.log2(x + 1) * 2) if x >= 0 else 'none'}".encode()) for x in size])
-    given = np.array(named, np.uint64).T.reshape(len(texts), len(named))
     for first, data, offsets in text_chunks(column):
         rows = len(offsets) - 1
         starts, ends, of = words(data, offsets)
@@ -59,12 +70,11 @@ def features(texts: pd.Series, meta: list[pd.Series]):
         upper = (data >= 65) & (data <= 90)
         mark = (data > 32) & (data < 128) & ~upper & ~((data >= 97) & (data <= 122))
         order = np.lexsort((h, doc))
-        fresh = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])))[: len(h)]
-        distinct = np.bincount(doc[order][fresh], minlength=rows) / np.maximum(n, 1)
+        fresh_word = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])))[: len(h)]
+        distinct = np.bincount(doc[order][fresh_word], minlength=rows) / np.maximum(n, 1)
         layout = [_level(share(upper), 20), _level(share(mark), 20), _level(share(data == 10) * 20, 20), _level(distinct, 20), _level(np.minimum(n, 1 << 20) ** 0.25 / 32, 40)]
-        layout = [mix(v.astype(np.uint64) + np.uint64(1000 * (k + 1))) for k, v in enumerate(layout)]
-        m = np.column_stack([given[first : first + rows], *layout])
-        yield first, rows, at, owner, (m % np.uint64(META_BUCKETS)).astype(np.int64)
+        layout = np.column_stack([mix(v.astype(np.uint64) + np.uint64(1000 * (k + 1))) for k, v in enumerate(layout)])
+        yield first, rows, at, owner, (layout % np.uint64(TEXT_BUCKETS)).astype(np.int64)
 
 
 class Model:
@@ -81,13 +91,14 @@ class Model:
             self.odds.append(np.where(c.sum(axis=0) > 0, p[1] - p[0], 0.0))
         self.calibration = [np.array([0.0, 0.0]), np.array([0.0, 0.0]), np.array([0.0, 0.0, 0.0])]
 
-    def raw(self, texts: pd.Series, meta: list[pd.Series]) -> np.ndarray:
-        """Log odds of both views for each row; the text's are divided by the root of its number of features."""
-        out = np.zeros((len(texts), 2))
-        for first, rows, at, owner, m in features(texts, meta):
+    def raw(self, found: list, meta: np.ndarray) -> np.ndarray:
+        """Log odds of both views for each row, from features() and meta_buckets(); those of a text's words are divided
+        by the root of their number."""
+        out = np.zeros((len(meta), 2))
+        for first, rows, at, owner, layout in found:
             total = np.bincount(owner, self.odds[0][at], rows)
-            out[first : first + rows, 0] = total / np.sqrt(np.maximum(np.bincount(owner, minlength=rows), 1))
-            out[first : first + rows, 1] = self.odds[1][m].sum(axis=1)
+            out[first : first + rows, 0] = total / np.sqrt(np.maximum(np.bincount(owner, minlength=rows), 1)) + self.odds[0][layout].sum(axis=1)
+        out[:, 1] = self.odds[1][meta].sum(axis=1)
         return out
 
     def scores(self, raw: np.ndarray) -> np.ndarray:
@@ -112,7 +123,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 def joined(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(id, text, source, lang, n_chars, label, fold): label null where there is none; the mean of several, rounded."""
+    """(id, text, META, label, fold): label null where there is none; the mean of several, rounded."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     meta = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in META]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *meta)
@@ -128,18 +139,19 @@ def count_pass(rows: DataFrame, model: Model | None, sure: float) -> pd.DataFram
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = [np.zeros((2, TEXT_BUCKETS)), np.zeros((2, META_BUCKETS))]
         for pdf in batches:
-            meta = [pdf[c] for c in META]
+            found, meta = list(features(pdf["text"])), meta_buckets([pdf[c] for c in META])
             label = pdf["label"].to_numpy(dtype=float, na_value=np.nan)
             says = np.column_stack((label, label))
             if shared.value is not None:
-                p = shared.value.scores(shared.value.raw(pdf["text"], meta))[:, :2]
+                p = shared.value.scores(shared.value.raw(found, meta))[:, :2]
                 told = np.where(p >= sure, 1.0, np.where(p <= 1 - sure, 0.0, np.nan))
                 says = np.where(np.isnan(says), told[:, ::-1], says)  # each view learns what the other is sure of
-            for first, rows_, at, owner, m in features(pdf["text"], meta):
-                own = says[first : first + rows_]
+            for first, rows_, at, owner, layout in found:
+                own = says[first : first + rows_, 0]
                 for y in (0, 1):
-                    sums[0][y] += np.bincount(at[own[owner, 0] == y], minlength=TEXT_BUCKETS)
-                    sums[1][y] += np.bincount(m[own[:, 1] == y].reshape(-1), minlength=META_BUCKETS)
+                    sums[0][y] += np.bincount(at[own[owner] == y], minlength=TEXT_BUCKETS) + np.bincount(layout[own == y].reshape(-1), minlength=TEXT_BUCKETS)
+            for y in (0, 1):
+                sums[1][y] += np.bincount(meta[says[:, 1] == y].reshape(-1), minlength=META_BUCKETS)
         for view, c in enumerate(sums):
             for y in (0, 1):
                 full = np.flatnonzero(c[y])
@@ -154,7 +166,7 @@ def calibrate(rows: DataFrame, model: Model) -> None:
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            raw = shared.value.raw(pdf["text"], [pdf[c] for c in META])
+            raw = shared.value.raw(list(features(pdf["text"])), meta_buckets([pdf[c] for c in META]))
             at = np.clip((raw / BIN + BINS / 2).astype(int), 0, BINS - 1)
             yield pd.DataFrame({"t": at[:, 0], "m": at[:, 1], "label": pdf["label"], "n": 1})
 
@@ -194,8 +206,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("text_score double, meta_score double, quality_score double")
-    def score(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        p = shared.value.scores(shared.value.raw(text, [source, lang, n_chars]))
+    def score(text: pd.Series, *meta: pd.Series) -> pd.DataFrame:
+        p = shared.value.scores(shared.value.raw(list(features(text)), meta_buckets(list(meta))))
         return pd.DataFrame(p, columns=["text_score", "meta_score", "quality_score"])
 
     meta = [F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in META]

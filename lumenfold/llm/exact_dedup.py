@@ -9,8 +9,9 @@ Texts are equal when they are identical after lower-casing A-Z.  The index is bu
    doubles (looks at one more bit) wherever a bucket holds more than `capacity` entries, until all fit.
 3. Entries are written to shared files, dealt by bucket range, so an owner task writes one range of keys.
 
-Documents then look their key up.  A key whose chain has one text answers at once; rows whose key collides
-are matched by key and bytes.
+Documents then look their key up: the directory - at most 2**max_depth slots, broadcast - names the bucket, and the
+entry is found in that bucket by key.  A key whose chain has one text answers at once; rows whose key collides follow
+the chain and are matched by bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import shared_dir, slices, small_side, stash
+from lumenfold.llm.shared import forget, shared_dir, slices, small_side, stash
 
 #: Columns that the operator adds.
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
@@ -58,15 +59,15 @@ def build_index(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_co
     entries = rows.groupBy("key", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     entries = stash(entries.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), folder, "entries")
     chains = entries.groupBy("key").agg(F.count("*").alias("chain"))
-    collided = chains.where("chain > 1").select("key")
+    collided = stash(chains.where("chain > 1").select("key"), folder, "collided")
     leaves = directory(chains.select("key"), capacity, max_depth)
-    depths = leaves.select("depth", "prefix")
-    placed = entries.withColumn("fine", bucket_of(F.col("key"), max_depth))
     # every bucket covers a range of the finest prefixes: the directory proper, 2**max_depth slots at most
-    slots = depths.select("depth", "prefix", F.explode(F.sequence(F.expr(f"shiftleft(prefix, int({max_depth} - depth))"), F.expr(f"shiftleft(prefix + 1, int({max_depth} - depth)) - 1"))).alias("fine"))
-    placed = placed.join(F.broadcast(slots), "fine")
-    index = stash(placed.repartitionByRange(slices(docs.sparkSession), "fine", "key").drop("fine"), folder, "index")
-    chained = rows.join(small_side(stash(collided, folder, "collided")), "key", "left_semi")
+    low, high = (F.expr(f"shiftleft({p}, int({max_depth} - depth))") for p in ("prefix", "prefix + 1"))
+    slots = stash(leaves.select("depth", "prefix", F.explode(F.sequence(low, high - 1)).alias("slot")), folder, "directory")
+    placed = entries.withColumn("slot", bucket_of(F.col("key"), max_depth)).join(F.broadcast(slots), "slot")
+    index = stash(placed.repartitionByRange(slices(docs.sparkSession), "slot", "key").drop("slot"), folder, "index")
+    forget(docs.sparkSession, f"{folder}/entries")
+    chained = rows.join(small_side(collided), "key", "left_semi")
     chained = chained.groupBy("key", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).withColumn("text_sha256", F.sha2("norm", 256))
     stash(chained, folder, "chained")
     return index
@@ -93,15 +94,17 @@ def _lookup(docs: DataFrame, carried: list[str] | None, id_col: str, text_col: s
     index = build_index(docs, folder, id_col=id_col, text_col=text_col, key=key, capacity=capacity, max_depth=max_depth)
     row = F.struct(*[F.col(f"`{c}`") for c in carried or docs.columns]).alias("row")
     keyed = docs.select(row, ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm")).withColumn("key", key("norm"))
-    verdict = ["keep_id", "group_size", "text_sha256"]
+    slots = spark.read.parquet(f"{folder}/directory")
+    keyed = keyed.withColumn("slot", bucket_of(F.col("key"), max_depth)).join(F.broadcast(slots), "slot").drop("slot")
+    verdict, place = ["keep_id", "group_size", "text_sha256"], ["depth", "prefix", "key"]
     collided = spark.read.parquet(f"{folder}/collided")
     if collided.isEmpty():
-        found = keyed.drop("norm").join(index.select("key", *verdict), "key")
+        found = keyed.drop("norm").join(index.select(*place, *verdict), place)
     else:
         near = small_side(collided)
-        single = keyed.drop("norm").join(near, "key", "left_anti").join(index.select("key", *verdict), "key")
+        single = keyed.drop("norm").join(near, "key", "left_anti").join(index.select(*place, *verdict), place)
         chained = keyed.join(near, "key", "left_semi").join(spark.read.parquet(f"{folder}/chained"), ["key", "norm"])
-        found = single.unionByName(chained.select("key", "row", *verdict))
+        found = single.select("row", *verdict).unionByName(chained.select("row", *verdict))
     kept = F.col(f"row.`{id_col}`").eqNullSafe(F.col("keep_id"))
     return found.select("row.*", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.packing import encoder
+from lumenfold.llm.shared import shared_dir, stash
 
 #: Lengths in a block; blocks are few, lengths may be many.
 BLOCK = 1024
@@ -42,8 +43,11 @@ def histogram(docs: DataFrame, *, text_col: str = "text", tokenizer: str | None
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
-    """hist plus docs_at_least, tokens_at_least (documents of this length or more, and their tokens), docs_below,
+    """hist is written to the shared folder first, as it is read twice and its texts should be tokenized once.
+
+    Returns hist plus docs_at_least, tokens_at_least (documents of this length or more, and their tokens), docs_below,
     tokens_below, and truncated_total: all tokens that are left if every document is cut to n_tokens."""
+    hist = stash(hist, shared_dir(hist.sparkSession), "histogram")
     rows = hist.withColumn("block", F.expr(f"n_tokens div {BLOCK}")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)

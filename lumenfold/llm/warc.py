@@ -20,17 +20,19 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import shared_dir, slices, stash
+from lumenfold.llm.shared import shared_dir, stash
 
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of the table's footer.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 INDEX = "page_id long, record_id string, record_type string, bundle string, frame int, offset long, size long"
+#: Frames that are read as one piece of work, and most tasks that read.
+FRAMES, MAX_TASKS = 32, 100_000
 RECORDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
 def opened(uri: str):
-    """File system and path of a URI; any store that pyarrow.fs knows."""
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    """File system and path of a URI; any store that pyarrow.fs knows, with Hadoop's names of S3 too."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", uri)))
 
 
 def digest(payload: bytes) -> str:
@@ -179,15 +181,17 @@ def write_bundles(pages: DataFrame, folder: str, *, id_col: str = "page_id", url
 
 
 def read_bundles(index: DataFrame, *, payloads: bool = True) -> DataFrame:
-    """RECORDS of the bundles that the index names, read frame by frame and checked against their digests."""
-    bundles = index.select("bundle").distinct()
+    """RECORDS of the bundles that the index names, read frame by frame and checked against their digests.  A task reads
+    some FRAMES frames of a bundle, whose places the seek table tells."""
+    parts = index.select("bundle", F.expr(f"frame div {FRAMES}").alias("part")).distinct()
+    tasks = min(MAX_TASKS, max(1, parts.count()))
 
     def read(batches):
         for pdf in batches:
-            for uri in pdf["bundle"]:
+            for uri, part in zip(pdf["bundle"], pdf["part"], strict=True):
                 store, path = opened(uri)
                 with store.open_input_file(path) as file:
-                    for where, packed in seek_table(file):
+                    for where, packed in seek_table(file)[part * FRAMES : (part + 1) * FRAMES]:
                         data, at, rows = read_frame(file, where, packed), 0, []
                         while at < len(data):
                             record, at = parse_record(data, at)
@@ -195,7 +199,7 @@ def read_bundles(index: DataFrame, *, payloads: bool = True) -> DataFrame:
                         out = pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
                         yield out if payloads else out.assign(payload=None)
 
-    return bundles.repartition(slices(index.sparkSession), "bundle").mapInPandas(read, RECORDS)
+    return parts.repartition(tasks).mapInPandas(read, RECORDS)
 
 
 def fetch(index: DataFrame, wanted: DataFrame, *, id_col: str = "page_id") -> DataFrame:
