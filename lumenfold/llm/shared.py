@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -66,9 +67,12 @@ def forget(spark: SparkSession, *paths: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished steps now instead of at its next periodic collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark drop shuffle files of finished steps now instead of at its next periodic collection.  What refers to
+    them goes in a first collection, so that the second finds them unused."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
