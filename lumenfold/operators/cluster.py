@@ -7,26 +7,10 @@ node without undecided earlier neighbours leads, and its neighbours are members.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def working_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests) a local one is made."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/cluster-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from lumenfold.sources.tables import forget, working_folder, written
 
 #: Rounds before the rest may be settled on the driver, and the most edges that it may have then.
 ROUNDS, REST = 8, 200_000
@@ -74,7 +58,68 @@ def leaders(edges: DataFrame) -> DataFrame:
     chosen = edges.sparkSession.read.schema(undecided.schema).parquet(*[f"{folder}/leaders{n}" for n in range(1, k + 1)])
     of_leaders = edges.join(chosen.withColumnRenamed("id", "i"), "i", "left_semi")
     # a leader has no earlier leader beside it, so only members are reached
-    return of_leaders.groupBy("j").agg(F.min("i").alias("leader")).select("leader", F.col("j").alias("member"))
+    found = written(of_leaders.groupBy("j").agg(F.min("i").alias("leader")).select("leader", F.col("j").alias("member")), f"{folder}/found")
+    done = [f"{folder}/{name}{n}" for name in ("leaders", "gone", "undecided", "edges") for n in range(k + 1)]
+    forget(edges.sparkSession, f"{folder}/edges", *done)
+    return found
+
+
+def rest_leaders_of_classes(nodes: list[tuple[int, str]], links: list[tuple[str, str]]) -> list[int]:
+    """The leaders among (id, class) nodes by the sequential rule; links are symmetric and hold every class itself."""
+    beside: dict[str, list[str]] = {}
+    for c, d in links:
+        beside.setdefault(c, []).append(d)
+    owned: dict[int, list[str]] = {}
+    for i, c in nodes:
+        owned.setdefault(i, []).append(c)
+    covered: set[str] = set()
+    out = []
+    for i in sorted(owned):
+        if not covered.intersection(owned[i]):
+            out.append(i)
+            covered.update(d for c in owned[i] for d in beside[c])
+    return out
+
+
+def leaders_of_classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(leader, member) where nodes are similar through classes: nodes are (id, c), an id in one class or several; two
+    ids are similar if a class of one is linked with a class of the other or is the same; links are (c, d) of different
+    classes, in one direction.
+
+    The rule is that of leaders(), but ids of a class are never paired: a class passes on the least id that it holds,
+    so a class with a third of all ids costs one row a link.
+    """
+    spark, folder = nodes.sparkSession, working_folder(nodes.sparkSession)
+    nodes = written(nodes.select("id", "c").distinct(), f"{folder}/nodes")
+    links = links.select("c", "d").union(links.select("d", "c")).union(nodes.select("c", F.col("c").alias("d"))).distinct()
+    links = written(links, f"{folder}/links")
+
+    def least_beside(rows: DataFrame) -> DataFrame:
+        """(id, least) for all nodes that have an id of rows (id, c) beside them or are one: the least such id."""
+        of_class = rows.groupBy(F.col("c").alias("d")).agg(F.min("id").alias("m"))
+        near = links.join(of_class, "d").groupBy("c").agg(F.min("m").alias("m"))
+        return nodes.join(near, "c").groupBy("id").agg(F.min("m").alias("least"))
+
+    undecided, k = nodes, 0
+    while not undecided.isEmpty():
+        k += 1
+        inner = undecided.select("c").distinct()
+        rest = links.join(inner, "c", "left_semi")
+        if k > ROUNDS and undecided.count() + rest.count() <= REST:
+            settled = rest_leaders_of_classes([tuple(r) for r in undecided.collect()], [tuple(r) for r in rest.collect()])
+            written(spark.createDataFrame([(i,) for i in settled], "id long"), f"{folder}/leaders{k}")
+            break
+        first = undecided.select("id").distinct().join(least_beside(undecided), "id").where("id = least").select("id")
+        first = written(first, f"{folder}/leaders{k}")
+        gone = least_beside(nodes.join(first, "id", "left_semi")).select("id")
+        undecided = written(undecided.join(gone, "id", "left_anti"), f"{folder}/undecided{k}")
+    if k == 0:
+        return nodes.select(F.col("id").alias("leader"), F.col("id").alias("member")).limit(0)
+    chosen = spark.read.schema("id long").parquet(*[f"{folder}/leaders{n}" for n in range(1, k + 1)])
+    found = least_beside(nodes.join(chosen, "id", "left_semi")).where("least <> id").select(F.col("least").alias("leader"), F.col("id").alias("member"))
+    found = written(found, f"{folder}/found")
+    forget(spark, *[f"{folder}/{name}" for name in ("nodes", "links")], *[f"{folder}/{name}{n}" for name in ("leaders", "undecided") for n in range(1, k + 1)])
+    return found
 
 
 def with_leaders(nodes: DataFrame, groups: DataFrame, *, id_col: str = "id") -> DataFrame:

@@ -19,16 +19,16 @@ def hash_groups(hashed: DataFrame, threshold: int, *, closed_exact: bool = True)
     """(leader, member) by perceptual hashes: hashed has id, phash and dhash.
 
     Equal phashes form groups first, and - with closed_exact - take no part in what follows; the others cluster by
-    either hash.  Groups that share a leader are one.
+    either hash, through classes of equal hashes, so copies by one hash keep all links of both.  Groups that share a
+    leader are one.
     """
     exact = groups.edges(hashed, F.col("phash"), "id").select(F.col("representative").alias("leader"), F.col("duplicate").alias("member"))
     rest = hashed
     if closed_exact:
         crowd = groups.exact_groups(hashed, F.col("phash"), "id").select(F.col("key").alias("phash"))
         rest = hashed.join(crowd, "phash", "left_anti")
-    same_dhash = groups.edges(rest, F.col("dhash"), "id").select(F.col("representative").alias("i"), F.col("duplicate").alias("j"))
-    near = hamming.either_hash_pairs(rest, threshold).union(same_dhash)
-    return exact.union(cluster.leaders(near)).distinct()
+    near = cluster.leaders_of_classes(*hamming.class_links(rest, threshold))
+    return exact.union(near).distinct()
 
 
 def with_group(found: DataFrame) -> DataFrame:

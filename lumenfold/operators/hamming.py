@@ -20,10 +20,21 @@ def classes(df: DataFrame, hash_col: str, id_col: str) -> DataFrame:
     return df.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("hash")).agg(F.min(id_col).alias("representative"), F.count("*").alias("n"))
 
 
-def band_pairs(reps: DataFrame, distance: int) -> DataFrame:
-    """(i, j) of classes within the distance: two hashes at distance d agree in one of d + 1 bands of bits."""
+def copies(df: DataFrame, hash_col: str, id_col: str, *, bucket: str | None = None) -> DataFrame:
+    """(i, j, distance 0): the members of each class beside its representative i, a row each."""
+    keys = [F.col(hash_col).alias("hash"), *([F.col(bucket).alias("g")] if bucket else [])]
+    rows = df.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("j"), *keys)
+    names = ["hash", *(["g"] if bucket else [])]
+    firsts = rows.groupBy(*[F.col(c).alias(f"of_{c}") for c in names]).agg(F.min("j").alias("i"))
+    on = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in names]
+    return rows.join(firsts, on).where("i <> j").select("i", "j", F.lit(0).alias("distance"))
+
+
+def band_pairs(reps: DataFrame, distance: int, bits: int = 64) -> DataFrame:
+    """(i, j) of classes within the distance: two hashes of `bits` bits at distance d agree in one of d + 1 bands.  Only
+    bits that hashes use may be cut into bands, or all would meet in an empty one."""
     n = distance + 1
-    edges = [64 * k // n for k in range(n + 1)]
+    edges = [bits * k // n for k in range(n + 1)]
     bands = F.array(*[F.struct(F.lit(k).alias("k"), F.call_function("shiftrightunsigned", F.col("hash"), F.lit(a)).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)).alias("bits")) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
     rows = reps.select("hash", "representative", F.explode(bands).alias("band"))
     a = rows.select("band", F.col("hash").alias("ha"), F.col("representative").alias("i"))
@@ -54,21 +65,36 @@ def block_pairs(df: DataFrame, distance: int, *, group: str = "g") -> DataFrame:
     return rows.groupBy("g", "a", "b").applyInPandas(compare, "i long, j long, distance int")
 
 
-def near_pairs(df: DataFrame, distance: int, *, hash_col: str = "hash", id_col: str = "id", bucket: str | None = None) -> DataFrame:
+def near_pairs(df: DataFrame, distance: int, *, hash_col: str = "hash", id_col: str = "id", bucket: str | None = None, bits: int = 64) -> DataFrame:
     """(i, j, distance) between classes of equal hashes (within a bucket, where one is given); ids must be numbers.
 
-    Copies of a hash are one class - see classes() - so a hash that a third of the rows share costs one row.
+    Copies of a hash are one class - see classes() - so a hash that a third of the rows share costs one row.  Every
+    member has the links of its representative; near_links() gives the members too.
     """
     if bucket:
         reps = df.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("hash"), F.col(bucket).alias("g")).agg(F.min(id_col).alias("representative"))
         return block_pairs(reps, distance)
     reps = classes(df, hash_col, id_col)
-    if distance <= MAX_BAND_DISTANCE:
-        return band_pairs(reps, distance)
+    if distance <= MAX_BAND_DISTANCE * bits // 64:
+        return band_pairs(reps, distance, bits)
     return block_pairs(reps.withColumn("g", F.lit(0)), distance)
 
 
-def either_hash_pairs(df: DataFrame, distance: int, *, hashes: tuple[str, str] = ("phash", "dhash"), id_col: str = "id") -> DataFrame:
-    """(i, j) of classes near by one hash or the other; members of one class are near anyway."""
-    near = [near_pairs(df, distance, hash_col=h, id_col=id_col).select("i", "j") for h in hashes]
-    return near[0].union(near[1]).distinct()
+def near_links(df: DataFrame, distance: int, *, hash_col: str = "hash", id_col: str = "id", bucket: str | None = None, bits: int = 64) -> DataFrame:
+    """(i, j, distance): near_pairs() of representatives, and each representative i with its copies j at distance 0.
+    So every id has a row, unless it is near to nothing, and no link between different hashes is lost."""
+    pairs = near_pairs(df, distance, hash_col=hash_col, id_col=id_col, bucket=bucket, bits=bits)
+    return pairs.unionByName(copies(df, hash_col, id_col, bucket=bucket))
+
+
+def class_links(df: DataFrame, distance: int, *, hashes: tuple[str, ...] = ("phash", "dhash"), id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, c) and links (c, d) for cluster.leaders_of_classes(): an id is in the class of each of its hashes,
+    and classes of one kind are linked if their hashes are near."""
+    nodes, links = None, None
+    for h in hashes:
+        name = lambda c, h=h: F.concat(F.lit(f"{h}:"), F.col(c).cast("string"))
+        of_class = classes(df, h, id_col).select("hash", "representative")
+        own = df.select(F.col(id_col).alias("id"), F.col(h).alias("hash")).join(of_class, "hash").select("id", name("representative").alias("c"))
+        near = near_pairs(df, distance, hash_col=h, id_col=id_col).select(name("i").alias("c"), name("j").alias("d"))
+        nodes, links = (own, near) if nodes is None else (nodes.union(own), links.union(near))
+    return nodes, links

@@ -161,16 +161,19 @@ def _hashes(spark, sf_dir):
     return v.select("vec_id", "label", S.bits_to_long(S.median_bits("embedding")).alias("hash"))
 
 
-@register(f"WITH h AS (SELECT vec_id, {_BITS} AS b FROM embeddings) SELECT x.vec_id AS i, y.vec_id AS j, hamming(x.b, y.b)::INT AS distance FROM h x JOIN h y ON x.vec_id < y.vec_id WHERE hamming(x.b, y.b) <= 18")
+_COPIES = "SELECT r AS i, vec_id AS j, 0::INT AS distance FROM c JOIN h USING ({keys}) WHERE vec_id <> r"
+
+
+@register(f"WITH h AS (SELECT vec_id, {_BITS} AS b FROM embeddings), c AS (SELECT b, min(vec_id) AS r FROM h GROUP BY b) SELECT x.r AS i, y.r AS j, hamming(x.b, y.b)::INT AS distance FROM c x JOIN c y ON x.r < y.r WHERE hamming(x.b, y.b) <= 18 UNION ALL " + _COPIES.format(keys="b"))
 def hamming_pairs(spark, sf_dir):
-    """Pairs of hashes that differ in 18 bits at most."""
-    return hamming.near_pairs(_hashes(spark, sf_dir), 18, id_col="vec_id")
+    """Classes of equal hashes that differ in 18 bits at most, and the members of each class."""
+    return hamming.near_links(_hashes(spark, sf_dir), 18, id_col="vec_id")
 
 
-@register(f"WITH h AS (SELECT vec_id, label, {_BITS} AS b FROM embeddings) SELECT x.vec_id AS i, y.vec_id AS j, hamming(x.b, y.b)::INT AS distance FROM h x JOIN h y ON x.vec_id < y.vec_id AND x.label = y.label WHERE hamming(x.b, y.b) <= 20")
+@register(f"WITH h AS (SELECT vec_id, label, {_BITS} AS b FROM embeddings), c AS (SELECT b, label, min(vec_id) AS r FROM h GROUP BY b, label) SELECT x.r AS i, y.r AS j, hamming(x.b, y.b)::INT AS distance FROM c x JOIN c y ON x.r < y.r AND x.label = y.label WHERE hamming(x.b, y.b) <= 20 UNION ALL " + _COPIES.format(keys="b, label"))
 def blocked_hamming_pairs(spark, sf_dir):
-    """Pairs within a bucket that differ in 20 bits at most."""
-    return hamming.near_pairs(_hashes(spark, sf_dir), 20, id_col="vec_id", bucket="label")
+    """Classes within a bucket that differ in 20 bits at most, and the members of each class."""
+    return hamming.near_links(_hashes(spark, sf_dir), 20, id_col="vec_id", bucket="label")
 
 
 _PREFIX = "('0x' || substr(md5(text), 1, 4))::INT"
@@ -180,7 +183,7 @@ _PREFIX = "('0x' || substr(md5(text), 1, 4))::INT"
 def hamming_band_pairs(spark, sf_dir):
     """Classes of equal 16-bit content hashes that differ in one bit at most, by bands."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.conv(F.substring(F.md5("text"), 1, 4), 16, 10).cast("long").alias("hash"))
-    return hamming.near_pairs(docs, 1, id_col="doc_id")
+    return hamming.near_pairs(docs, 1, id_col="doc_id", bits=16)
 
 
 # ---- duplicate groups

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars as S
-from lumenfold.operators import cluster, frames, groups, hamming, lifecycle, ordered, stats, vectors
+from lumenfold.operators import cluster, detect, frames, groups, hamming, lifecycle, ordered, stats, vectors
 
 
 def greedy(edges):
@@ -161,3 +161,61 @@ def test_lifecycle(spark, tmp_path):
     back = lifecycle.restore_plan(log, spark.createDataFrame([("a.png",)], "name string"), "2024-01-03")
     assert [o for *_, o in lifecycle.apply(back, dry_run=False)] == ["done"] and (tmp_path / "a.png").exists()
     assert lifecycle.is_allowed_folder(str(tmp_path)) and not lifecycle.is_allowed_folder("/etc")
+
+
+@pytest.mark.parametrize("distance", [1, 18])
+def test_equal_hashes_keep_their_links(spark, distance):
+    df = spark.createDataFrame([(0, 5, 1), (1, 5, 1), (2, 7, 1), (3, 1 << 40, 2), (4, None, 2), (5, 7, 2)], "id long, hash long, g int")
+    got = sorted(map(tuple, hamming.near_links(df, distance).select("i", "j", "distance").collect()))
+    near = [(0, 1, 0), (0, 2, 1), (2, 5, 0)]
+    assert got == sorted(near + ([(0, 3, 3), (2, 3, 4)] if distance == 18 else []))
+    got = sorted(map(tuple, hamming.near_links(df, distance, bucket="g").select("i", "j", "distance").collect()))
+    assert got == sorted([(0, 1, 0), (0, 2, 1)] + ([(3, 5, 4)] if distance == 18 else []))
+
+
+def test_bands_of_short_hashes(spark):
+    rng = np.random.default_rng(16)
+    df = spark.createDataFrame([(i, int(h)) for i, h in enumerate(rng.integers(0, 1 << 16, 300))], "id long, hash long")
+    reps = hamming.classes(df, "hash", "id").collect()
+    want = sorted((a["representative"], b["representative"]) for a in reps for b in reps if a["representative"] < b["representative"] and bin(a["hash"] ^ b["hash"]).count("1") <= 2)
+    assert sorted((r["i"], r["j"]) for r in hamming.near_pairs(df, 2, bits=16).collect()) == want
+
+
+def greedy_by_hashes(rows, threshold):
+    """Sequential clustering by either hash, after groups of equal first hashes."""
+    far = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") > threshold
+    by_p = {}
+    for i, p, _ in rows:
+        by_p.setdefault(p, []).append(i)
+    out = [(g[0], m) for g in by_p.values() if len(g) > 1 for m in g[1:]]
+    leaders = []
+    for i, p, d in sorted(r for r in rows if len(by_p[r[1]]) == 1):
+        for j, q, e in leaders:
+            if not far(p, q) or not far(d, e):
+                out.append((j, i))
+                break
+        else:
+            leaders.append((i, p, d))
+    return sorted(out)
+
+
+def test_hash_groups_keep_copies_by_one_hash(spark):
+    x, y = (1 << 62) - 1, 0x5555 << 40
+    rows = [(0, 0, 0), (1, x, 1), (2, y, 1)]
+    got = detect.hash_groups(spark.createDataFrame(rows, "id long, phash long, dhash long"), 1)
+    assert sorted(map(tuple, got.collect())) == greedy_by_hashes(rows, 1) == [(0, 1), (0, 2)]
+    rng = np.random.default_rng(21)
+    few = [int(h) for h in rng.integers(0, 1 << 62, 12)]
+    rows = [(i, few[rng.integers(12)] ^ int(1 << rng.integers(50)) if i % 3 else int(rng.integers(0, 1 << 62)), few[rng.integers(12)] ^ int(rng.integers(0, 4))) for i in range(150)]
+    got = detect.hash_groups(spark.createDataFrame(rows, "id long, phash long, dhash long"), 2)
+    assert sorted(map(tuple, got.collect())) == greedy_by_hashes(rows, 2)
+
+
+def test_long_chains_of_classes(spark):
+    """Each class is near the next one: few nodes are settled a round."""
+    n = 600
+    nodes = spark.createDataFrame([(i, f"c{i // 2}") for i in range(2 * n)], "id long, c string")
+    links = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(n - 1)], "c string, d string")
+    got = cluster.leaders_of_classes(nodes, links)
+    want = greedy([(i, j) for i in range(2 * n) for j in range(i + 1, min(2 * n, i // 2 * 2 + 4))])
+    assert sorted(map(tuple, got.collect())) == want
