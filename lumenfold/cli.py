@@ -27,7 +27,8 @@ def search(spark: SparkSession, args, settings: Settings):
     if settings.search.index_type == "flat":
         found = vectors.knn_join(known, query, args.k, id_col="id", vector="vector")
     else:
-        found = vectors.ivf_search(known, query, args.k, n_cells=settings.search.cells, probes=settings.search.probes, id_col="id", vector="vector")
+        indexed, centres = vectors.read_index(spark, f"{settings.catalog_dir}/index")
+        found = vectors.search_cells(indexed, centres, query, args.k, probes=settings.search.probes, id_col="id", vector="vector")
     paths = catalog.read("images").select("id", F.col("file_path").alias("path"))
     out = found.join(paths, "id").select("rank", "path", "similarity").orderBy("rank")
     if args.output:
@@ -38,9 +39,17 @@ def search(spark: SparkSession, args, settings: Settings):
 def index(spark: SparkSession, args, settings: Settings):
     catalog = Catalog(spark, settings.catalog_dir)
     incremental.index_folder(spark, catalog, args.folder, settings.index.methods)
+    if settings.search.index_type != "flat":
+        store_index(catalog, settings)
     return catalog.read("images").agg(F.count("*").alias("indexed"))
 
 
+def store_index(catalog: Catalog, settings: Settings) -> None:
+    """The cells of the first method's features, beside the catalog's tables; search reads them."""
+    known = catalog.features(settings.index.methods[0]).select(F.col("image_id").alias("id"), F.col("feature_vector").alias("vector"))
+    vectors.write_index(known, f"{settings.catalog_dir}/index", n_cells=settings.search.cells, id_col="id", vector="vector")
+
+
 def duplicates(spark: SparkSession, args, settings: Settings):
     """Groups of duplicates in a folder: (leader, n, bytes_saved, size_text), and a report where asked for."""
     scanned = images.scan(spark, args.folder, extensions=settings.index.extensions)

@@ -1,4 +1,8 @@
-"""Vector search and similarity joins: exact by blocks of matrix products, and by inverted cells."""
+"""Vector search and similarity joins: exact by blocks of matrix products, and by inverted cells.
+
+Matrix products select; what they select is measured again as a plain sum of squared differences, so that equal vectors
+are at distance 0 exactly and ties go to the smallest id.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars as S
+from lumenfold.sources.tables import working_folder, written
 
-#: Queries that are broadcast at once (their matrix is bounded by this), and rows of a side of a block product.
-QUERY_BLOCK, SIDE = 20_000, 2_000
+#: Queries that are broadcast at once, and bytes of their vectors; and rows of a side of a block product.
+QUERY_BLOCK, QUERY_BYTES, SIDE = 20_000, 64 << 20, 2_000
+#: Numbers in one product of queries and vectors, and candidates beyond k that a product selects.
+CELLS, SPARE = 1 << 22, 16
 
 
 def stack(vectors: pd.Series) -> np.ndarray:
@@ -28,38 +35,100 @@ def distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum((q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * (q @ v.T), 0)
 
 
+def measured(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Squared L2 distances, or negative cosines, of each row of q with its own candidates v (rows, n, dimension)."""
+    if metric == "cosine":
+        unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=-1, keepdims=True)), 1e-300)
+        return -(unit(q)[:, None, :] * unit(v)).sum(axis=-1)
+    return ((q[:, None, :] - v) ** 2).sum(axis=-1)
+
+
+def nearest(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the k nearest rows of v for each row of q, ordered by distance and id."""
+    n = min(k, len(v))
+    out_id, out_d = np.zeros((len(q), n), np.int64), np.zeros((len(q), n))
+    step = max(1, CELLS // max(1, len(v)))
+    for a in range(0, len(q), step):
+        own = q[a : a + step]
+        rough = distances(own, v, metric)
+        m = min(len(v), k + SPARE)
+        at = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < len(v) else np.broadcast_to(np.arange(m), (len(own), m))
+        d = measured(own, v[at], metric)
+        order = np.lexsort((ids[at], d), axis=1)[:, :n]
+        out_id[a : a + step], out_d[a : a + step] = np.take_along_axis(ids[at], order, 1), np.take_along_axis(d, order, 1)
+        if m < len(v):  # a product is off by rounding: rows that may have lost a candidate look at all within reach
+            scale = 1.0 if metric == "cosine" else (own * own).sum(axis=1) + (v * v).sum(axis=1).max()
+            reach = out_d[a : a + len(own), -1] + 1e-9 * scale
+            for i in np.flatnonzero(np.take_along_axis(rough, at, 1).max(axis=1) <= reach).tolist():
+                near = np.flatnonzero(rough[i] <= reach[i])
+                d = measured(own[i : i + 1], v[near][None], metric)[0]
+                best = np.lexsort((ids[near], d))[:n]
+                out_id[a + i], out_d[a + i] = ids[near][best], d[best]
+    return out_id, out_d
+
+
+def _search(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, metric: str, probed: np.ndarray | None = None) -> DataFrame:
+    """(query_id, id, d): the k nearest of each task for one block of queries.  rows has id and v; with `probed` - for
+    each query its cells - also cell, and a query meets the vectors of its cells only."""
+    shared = rows.sparkSession.sparkContext.broadcast((q_ids, q, probed))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, q, probed = shared.value
+        kept = {}  # by query: ids and distances
+        for batch in batches:
+            parts = [(np.arange(len(known)), batch)] if probed is None else [(np.flatnonzero((probed == c).any(axis=1)), part) for c, part in batch.groupby("cell")]
+            for at, part in parts:
+                if not len(at) or not len(part):
+                    continue
+                new_id, new_d = nearest(q[at], stack(part["v"]), part["id"].to_numpy(), k, metric)
+                for row, i, d in zip(at.tolist(), new_id, new_d, strict=True):
+                    if row in kept:
+                        i, d = np.concatenate((kept[row][0], i)), np.concatenate((kept[row][1], d))
+                        order = np.lexsort((i, d))[:k]
+                        i, d = i[order], d[order]
+                    kept[row] = (i, d)
+        if kept:
+            sizes = [len(i) for i, _ in kept.values()]
+            yield pd.DataFrame({"query_id": np.repeat(known[list(kept)], sizes), "id": np.concatenate([i for i, _ in kept.values()]), "d": np.concatenate([d for _, d in kept.values()])})
+
+    return rows.mapInPandas(best, "query_id long, id long, d double")
+
+
+def _ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query_id, rank, id, similarity) from what tasks have found; parts of a query's candidates come first, so that one
+    query isn't ranked over all tasks' candidates at once."""
+    parts = Window.partitionBy("query_id", "part").orderBy("d", "id")
+    rows = found.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(32))).withColumn("r", F.row_number().over(parts)).where(F.col("r") <= k)
+    similarity = -F.col("d") if metric == "cosine" else S.l2_similarity(F.col("d"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "id", similarity.alias("similarity"))
+
+
+def _in_blocks(queries: DataFrame, id_col: str, vector: str, search) -> DataFrame:
+    """search(ids, matrix) for one block of queries after the other; the driver holds one block at a time.  What more
+    than one block finds is written before the next one is fetched."""
+    wanted = queries.select(F.col(id_col).alias("q"), F.col(vector).alias("v")).where("v is not null")
+    n, size = wanted.agg(F.count("*"), F.sum(F.size("v").cast("long") * 8)).first()
+    blocks = max(1, -(-n // QUERY_BLOCK), -(-(size or 0) // QUERY_BYTES))
+    if blocks == 1:
+        pdf = wanted.toPandas()
+        return search(pdf["q"].to_numpy(dtype=np.int64), stack(pdf["v"]))
+    spark, folder = queries.sparkSession, working_folder(queries.sparkSession)
+    for block in range(blocks):
+        pdf = wanted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).toPandas()
+        found = written(search(pdf["q"].to_numpy(dtype=np.int64), stack(pdf["v"])), f"{folder}/block={block}")
+    return spark.read.schema(found.schema).parquet(*[f"{folder}/block={b}" for b in range(blocks)])
+
+
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector: str = "embedding", metric: str = "l2") -> DataFrame:
     """(query_id, rank, id, similarity): the k nearest vectors of each query, ties by id.
 
     Every task multiplies a block of queries with its vectors and keeps k for each query; the best k of all tasks
-    follow by a window over at most k rows a task.  Queries go in blocks of QUERY_BLOCK, so a broadcast is bounded.
-    Similarity is 1 / (1 + squared distance), or the cosine.  k beyond the number of vectors returns all.
+    follow by a window.  Similarity is 1 / (1 + squared distance), or the cosine.  k beyond the number of vectors
+    returns all.
     """
-    spark = vectors.sparkSession
-    wanted = queries.select(F.col(id_col).alias("q"), F.col(vector).alias("v")).where("v is not null")
-    n_blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
-    nearest = None
-    for block in range(n_blocks):
-        own = wanted if n_blocks == 1 else wanted.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == block)
-        pdf = own.toPandas()
-        shared = spark.sparkContext.broadcast((pdf["q"].to_numpy(), stack(pdf["v"])))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            kept_id, kept_d = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-            for batch in batches:
-                if len(batch) and len(ids):
-                    d = np.concatenate((kept_d, distances(q, stack(batch["v"]), metric)), axis=1)
-                    i = np.concatenate((kept_id, np.broadcast_to(batch["id"].to_numpy(), (len(ids), len(batch)))), axis=1)
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    kept_id, kept_d = np.take_along_axis(i, order, 1), np.take_along_axis(d, order, 1)
-            yield pd.DataFrame({"query_id": np.repeat(ids, kept_id.shape[1]), "id": kept_id.reshape(-1), "d": kept_d.reshape(-1)})
-
-        rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null").mapInPandas(best, "query_id long, id long, d double")
-        nearest = rows if nearest is None else nearest.union(rows)
-    by_query = Window.partitionBy("query_id").orderBy("d", "id")
-    similarity = -F.col("d") if metric == "cosine" else S.l2_similarity(F.col("d"))
-    return nearest.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "id", similarity.alias("similarity"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null")
+    return _in_blocks(queries, id_col, vector, lambda ids, q: _ranked(_search(rows, ids, q, k, metric), k, metric))
 
 
 def above_threshold(neighbours: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -126,20 +195,42 @@ def with_cells(vectors: DataFrame, centres: np.ndarray, *, vector: str = "embedd
     return vectors.where(F.col(vector).isNotNull()).withColumn(name, F.explode(nearest(F.col(vector))))
 
 
+def search_cells(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, *, probes: int = 4, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, similarity): queries look into their `probes` nearest cells; indexed has id, v and cell.
+    Only the files of probed cells are read where the table is partitioned by cell, and every task keeps k for each
+    query, whatever the size of a cell."""
+
+    def search(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        probed = np.argsort(distances(q, centres, "l2"), axis=1, kind="stable")[:, :probes] if len(q) and len(centres) else np.zeros((len(q), 1), int)
+        rows = indexed.where(F.col("cell").isin([int(c) for c in np.unique(probed)]))
+        return _ranked(_search(rows, ids, q, k, "l2", probed), k, "l2")
+
+    return _in_blocks(queries, id_col, vector, search)
+
+
 def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, *, n_cells: int = 16, probes: int = 4, id_col: str = "vec_id", vector: str = "embedding", centres: np.ndarray | None = None) -> DataFrame:
-    """(query_id, rank, id, similarity) by inverted cells: queries look into their `probes` nearest cells.
+    """search_cells() of an index that is made for this search; write_index() keeps one.
 
-    All vectors are indexed.  With probes equal to the number of cells the result is exact.  A cell is salted into parts
-    so that a crowded one is searched by several tasks.
+    All vectors are indexed.  With probes equal to the number of cells the result is exact.
     """
     centres = fit_cells(vectors, n_cells, vector=vector) if centres is None else centres
     indexed = with_cells(vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")), centres, vector="v")
-    probing = with_cells(queries.select(F.col(id_col).alias("q"), F.col(vector).alias("w")), centres, vector="w", probes=probes)
-    d = S.squared_l2("v", "w")
-    near = indexed.join(probing, "cell").select(F.col("q").alias("query_id"), "id", d.alias("d"), F.pmod(F.xxhash64("id"), F.lit(32)).alias("part"))
-    local = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy("d", "id"))).where(F.col("r") <= k)
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", S.l2_similarity(F.col("d")).alias("similarity"))
+    return search_cells(indexed, centres, queries, k, probes=probes, id_col=id_col, vector=vector)
+
+
+def write_index(vectors: DataFrame, folder: str, *, n_cells: int = 16, id_col: str = "vec_id", vector: str = "embedding") -> None:
+    """Keep an index below `folder`: centroids, and the vectors (id, v) partitioned by cell.  The folder is replaced."""
+    spark, centres = vectors.sparkSession, fit_cells(vectors, n_cells, vector=vector)
+    rows = with_cells(vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")), centres, vector="v")
+    rows.repartition(F.col("cell"), F.pmod(F.xxhash64("id"), F.lit(32))).write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/vectors")
+    table = [(k, [float(x) for x in c]) for k, c in enumerate(centres)]
+    spark.createDataFrame(table, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/cells")
+
+
+def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, np.ndarray]:
+    """The vectors (id, v, cell) and the centroids of a stored index."""
+    cells = spark.read.parquet(f"{folder}/cells").orderBy("cell").toPandas()
+    return spark.read.parquet(f"{folder}/vectors"), stack(cells["centre"])
 
 
 def table_count(threshold: float, planes: int, recall: float) -> int:

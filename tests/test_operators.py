@@ -219,3 +219,30 @@ def test_long_chains_of_classes(spark):
     got = cluster.leaders_of_classes(nodes, links)
     want = greedy([(i, j) for i in range(2 * n) for j in range(i + 1, min(2 * n, i // 2 * 2 + 4))])
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_knn_ties_and_copies(spark, monkeypatch):
+    """A third of all vectors are one vector: ids decide, and rounding doesn't."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(300, 8)) * 1e3
+    v[::3] = v[0]
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(300)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vectors, "SPARE", 1)
+    for metric in ("l2", "cosine"):
+        got = vectors.knn_join(df, df.where("vec_id in (0, 7, 9)"), 5, metric=metric).orderBy("query_id", "rank").collect()
+        assert [r["id"] for r in got if r["query_id"] != 7] == [0, 3, 6, 9, 12] * 2
+        assert [r["id"] for r in got if r["query_id"] == 7][0] == 7 and all(abs(r["similarity"] - 1) < 1e-9 for r in got if r["rank"] == 1)
+    some = df.withColumn("embedding", F.when(F.col("vec_id") != 5, F.col("embedding")))
+    assert vectors.knn_join(some, some.where("vec_id in (4, 5)"), 400).count() == 299 and vectors.knn_join(some.limit(0), some, 2).count() == 0
+
+
+def test_stored_index(spark, sf_dir, tmp_path):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors.write_index(df, f"file://{tmp_path}/index", n_cells=8)
+    indexed, centres = vectors.read_index(spark, f"file://{tmp_path}/index")
+    q = df.where("vec_id % 50 = 0")
+    assert indexed.count() == df.count() and len(centres) == 8
+    full = vectors.search_cells(indexed, centres, q, 5, probes=8)
+    assert sorted(map(tuple, full.collect())) == sorted(map(tuple, vectors.knn_join(df, q, 5).collect()))
+    one = vectors.search_cells(indexed, centres, df.where("vec_id = 0"), 5, probes=1)
+    assert one.orderBy("rank").first()["id"] == 0
