@@ -67,8 +67,10 @@ def duplicates(spark: SparkSession, args, settings: Settings):
 def maintain(spark: SparkSession, args, settings: Settings):
     catalog = Catalog(spark, settings.catalog_dir)
     if args.task == "compact":
-        for name in ("images", "features"):
-            catalog.write(name, catalog.read(name), files=args.files)
+        catalog.compact(args.files, backup=f"{settings.catalog_dir}/backups")
+    if args.task == "rebuild":
+        catalog.clear("images", "features")
+        index(spark, args, settings)
     if args.task == "clean":
         plan = lifecycle.expiry_plan(images.scan(spark, args.folder), args.as_of, args.days)
         for operation, source, outcome in lifecycle.apply(plan, dry_run=not args.yes):
@@ -91,7 +93,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-t", "--threshold", type=int)
     p.add_argument("-r", "--report")
     p = sub.add_parser("maintain")
-    p.add_argument("task", choices=("verify", "compact", "clean"))
+    p.add_argument("task", choices=("verify", "compact", "clean", "rebuild"))
     p.add_argument("--folder")
     p.add_argument("--files", type=int, default=8)
     p.add_argument("--days", type=int, default=30)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.functions import kernels
 from lumenfold.functions import scalars as S
 from lumenfold.operators import ordered
+from lumenfold.sources.images import pair_column
 
 
 def uniform_keyframes(frames: DataFrame, *, every: int = 30, index: str = "frame_idx") -> DataFrame:
@@ -25,6 +27,26 @@ def scene_keyframes(frames: DataFrame, keys: list[str], order: list[str], bucket
     return change_keyframes(frames, keys, order, histogram, bucket, lambda p, c: S.histogram_correlation(p, c) < threshold)
 
 
+def motion_keyframes(frames: DataFrame, keys: list[str], order: list[str], bucket: Column, *, image: str = "image", threshold: float = 5.0, block: int = 16, reach: int = 7) -> DataFrame:
+    """The first frame of each sequence, and frames that moved more than `threshold` pixels against the one before;
+    plus motion, null for first frames."""
+    moved = ordered.with_previous(frames, keys, order, image, bucket, "__before")
+    motion = pair_column(lambda a, b: kernels.motion(a, b, block=block, reach=reach), "double")
+    scored = moved.withColumn("motion", motion(F.col("__before"), F.col(image)))
+    return scored.where(F.col("__before").isNull() | (F.col("motion") > threshold)).drop("__before")
+
+
+def extract(frames: DataFrame, method: str, keys: list[str], order: list[str], bucket: Column, **how) -> DataFrame:
+    """Key frames by the method's name: uniform (every n-th frame), scene (histograms) or motion."""
+    if method == "uniform":
+        return uniform_keyframes(ordered.with_index(frames, keys, order, bucket), **how)
+    if method == "scene":
+        return scene_keyframes(frames, keys, order, bucket, **how)
+    if method == "motion":
+        return motion_keyframes(frames, keys, order, bucket, **how)
+    raise ValueError(f"method must be uniform, scene or motion, not {method!r}")
+
+
 def scene_segments(frames: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column, *, cut, index: str = "frame_idx") -> DataFrame:
     """(keys, scene_no, start_frame, end_frame): half-open runs of frames; cut(previous, current) begins a new one."""
     numbered = ordered.with_index(frames, keys, order, bucket, index)

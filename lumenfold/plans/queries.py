@@ -94,6 +94,13 @@ def ranked_lines(spark, sf_dir):
     return near.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "; ").alias("lines"))
 
 
+@register("SELECT n.query_id, n.rank, n.id, p.url AS path FROM (" + _KNN.format(measure=_L2, which="q.vec_id % 100 = 0", similarity="1 / (1 + d)", k=10) + ") n JOIN pages p ON p.page_id = n.id")
+def neighbour_paths(spark, sf_dir):
+    """Search results with the paths of what was found."""
+    paths = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("path"))
+    return vectors.knn_join(*_queries(spark, sf_dir), 10).join(paths, "id").select("query_id", "rank", "id", "path")
+
+
 # ---- similarity joins and clusters
 
 _EDGES = "e AS (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {t})"
@@ -436,6 +443,13 @@ def value_range(spark, sf_dir):
     return vectors.value_range(table(spark, sf_dir, "embeddings")).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
+@register("SELECT event_type, round(avg(value), 6) AS mean_value, round(stddev_pop(value), 6) AS std_value, round(sum(value), 3) AS total_value, round(count(value) / sum(value), 6) AS per_second FROM events GROUP BY event_type")
+def throughput(spark, sf_dir):
+    """Mean and total of durations, and calls a second, by operation."""
+    out = stats.throughput(table(spark, sf_dir, "events"), operation="event_type", duration="value")
+    return out.select("event_type", *[F.round(c, d).alias(c) for c, d in (("mean_value", 6), ("std_value", 6), ("total_value", 3), ("per_second", 6))])
+
+
 _UNITS = "CASE WHEN b < 1024 THEN printf('%.2f B', b::DOUBLE) WHEN b < 1048576 THEN printf('%.2f KB', b / 1024.0) ELSE printf('%.2f MB', b / 1048576.0) END"
 
 

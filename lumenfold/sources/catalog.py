@@ -60,6 +60,24 @@ class Catalog:
         both = self.read(name).withColumn("__v", F.lit(0)).unionByName(new)
         self.write(name, latest(both, KEYS[name], ["__v"]).drop("__v"))
 
+    def backup(self, folder: str) -> None:
+        """Copy all tables as they are now below `folder`/time stamp."""
+        stamp = self.spark.range(1).select(F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss").alias("s")).first()["s"]
+        for name in TABLES:
+            self.read(name).write.mode("errorifexists").parquet(f"{folder.rstrip('/')}/{stamp}/{name}")
+
+    def compact(self, files: int, *, backup: str | None = None) -> None:
+        """Rewrite all tables to `files` files each, after a backup where one is asked for."""
+        if backup:
+            self.backup(backup)
+        for name in TABLES:
+            self.write(name, self.read(name), files=files)
+
+    def clear(self, *names: str) -> None:
+        """Empty the named tables (all where none is named), so that an index can be built anew."""
+        for name in names or TABLES:
+            self.write(name, self.spark.createDataFrame([], TABLES[name]))
+
     def add_images(self, rows: DataFrame) -> None:
         """rows need file_path; ids follow from it, so a replaced image keeps its features."""
         self.upsert("images", rows.withColumn("id", F.xxhash64("file_path")).withColumn("indexed_date", F.current_timestamp()))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import kernels as K
+from lumenfold.functions import pixels as P
 from lumenfold.functions import scalars as S
 
 #: Presets of the entry points: which extensions are scanned.
@@ -48,15 +49,21 @@ def metadata(scanned: DataFrame, images: DataFrame) -> DataFrame:
     return rows.select(F.col("path").alias("file_path"), S.file_name("path").alias("file_name"), F.col("size").alias("file_size"), "width", "height", "channels", F.upper(S.extension("path")).alias("format"), F.col("modified").alias("modified_date"))
 
 
-def pixel_column(kernel: Callable[[np.ndarray], object], returns: str):
-    """A column function over image structs; None where there is no image."""
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, drawn out until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
 
-    @F.pandas_udf(returns)
-    def column(images: pd.DataFrame) -> pd.Series:
-        decoded = [K.decode(row) for row in images.to_dict("records")]
-        return pd.Series([None if x is None else kernel(x) for x in decoded], dtype=object)
 
-    return column
+def spread(images: DataFrame, key: str) -> DataFrame:
+    """images, dealt anew where a few large files would leave most cores idle: pixels cost far more than the shuffle."""
+    cores = images.sparkSession.sparkContext.defaultParallelism
+    return images.repartition(cores, key) if images.rdd.getNumPartitions() < cores else images
 
 
 def pair_column(kernel: Callable[[np.ndarray, np.ndarray], object], returns: str):
@@ -70,70 +77,107 @@ def pair_column(kernel: Callable[[np.ndarray, np.ndarray], object], returns: str
     return column
 
 
-#: Extractors of features by name; vectors are arrays of floats.
-EXTRACTORS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"embedding": K.thumbnail_embedding, "keypoint": K.keypoint_vector, "hash": K.hash_vector, "histogram": K.histogram}
+def hashes(images: DataFrame, *, max_pixels: int = 2_000_000, longest: int = 1000, method: str = "area") -> DataFrame:
+    """images plus phash, dhash and whash of the capped image; null where there is no image."""
+    (name,) = fresh(images, "hashes")
 
+    @F.pandas_udf("phash long, dhash long, whash long")
+    def three(some: pd.DataFrame) -> pd.DataFrame:
+        decoded = [K.decode(row) for row in some.to_dict("records")]
+        found = [(None,) * 3 if x is None else K.hashes(x, max_pixels, longest, method) for x in decoded]
+        return pd.DataFrame(found, columns=["phash", "dhash", "whash"], dtype=object).astype("Int64")
 
-def extract_features(images: DataFrame, methods: tuple[str, ...] = ("embedding",), *, enhance: bool = True, extractors: dict | None = None) -> DataFrame:
-    """(path, feature_type, vector): a row for each image and known method; unknown methods are skipped.
-    Blurred images are sharpened before.  A model of one's own goes into `extractors`."""
-    known = {**EXTRACTORS, **(extractors or {})}
-    chosen = [m for m in methods if m in known]
+    return images.withColumn(name, three(F.col("image"))).select(*images.columns, f"{name}.*")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, row in zip(pdf["path"], pdf["image"], strict=True):
-                image = K.decode(row)
-                if image is None:
-                    continue
-                if enhance and K.laplacian_variance(image) < K.BLUR_LIMIT:
-                    image = K.enhanced(image)
-                rows += [(path, m, np.asarray(known[m](image), dtype=np.float32)) for m in chosen]
-            yield pd.DataFrame(rows, columns=["path", "feature_type", "vector"])
 
-    return images.select("path", "image").mapInPandas(run, "path string, feature_type string, vector array<float>")
+def sharpness(images: DataFrame) -> DataFrame:
+    """images plus blur_score (Laplacian variance), brightness and contrast of the gray image, and is_blurry."""
+    (name,) = fresh(images, "measures")
+    out = images.withColumn(name, P.sharpness(F.col("image"))).select(*images.columns, f"{name}.*")
+    return out.withColumn("is_blurry", F.col("blur_score") < P.BLUR_LIMIT)
 
 
-def hashes(images: DataFrame, *, max_pixels: int = 2_000_000, longest: int = 1000, method: str = "area") -> DataFrame:
-    """images plus phash, dhash and whash of the capped image."""
-    def all_three(image: np.ndarray) -> dict:
-        small = K.capped(image, max_pixels, longest, method)
-        return {"phash": K.phash(small), "dhash": K.dhash(small), "whash": K.whash(small)}
+def histograms(images: DataFrame, keys: list[str], *, hsv: bool = True, name: str = "vector") -> DataFrame:
+    """(keys, vector): the 8 x 8 x 8 color histogram of each image, of length 1.  Pixels are counted by key and bin,
+    before the shuffle as well as after it."""
+    at = images.select(*keys, F.explode(P.color_bins(F.col("image"), hsv=hsv)).alias("bin"))
+    counts = at.groupBy(*keys, "bin").agg(F.count("*").cast("double").alias("n"))
+    whole = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    dense = P.let(F.col("m"), lambda m: F.transform(P.count_to(512), lambda b: (F.coalesce(F.element_at(m, b), F.lit(0.0)) / F.col("norm")).cast("float")))
+    return whole.select(*keys, dense.alias(name))
 
-    three = _struct_column(all_three, "phash long, dhash long, whash long")
-    return images.withColumn("__h", three(F.col("image"))).select(*images.columns, "__h.*")
 
+def sharpened(images: DataFrame) -> DataFrame:
+    """images with blurred ones sharpened; the others don't go through Python's kernel."""
+    (blurred,) = fresh(images, "blurred")
 
-def sharpness(images: DataFrame) -> DataFrame:
-    """images plus blur_score (Laplacian variance), is_blurry, brightness and contrast of the gray image."""
-    def measure(image: np.ndarray) -> dict:
-        g = K.gray(image)
-        return {"blur_score": K.laplacian_variance(image), "brightness": float(g.mean()), "contrast": float(g.std())}
+    @F.pandas_udf("height int, width int, nChannels int, data binary")
+    def enhance(some: pd.DataFrame) -> pd.DataFrame:
+        done = [None if (x := K.decode(row)) is None else K.enhanced(x) for row in some.to_dict("records")]
+        return pd.DataFrame([(None,) * 4 if x is None else (*x.shape, x.tobytes()) for x in done], columns=["height", "width", "nChannels", "data"]).astype({c: "Int32" for c in ("height", "width", "nChannels")})
 
-    column = _struct_column(measure, "blur_score double, brightness double, contrast double")
-    out = images.withColumn("__s", column(F.col("image"))).select(*images.columns, "__s.*")
-    return out.withColumn("is_blurry", F.col("blur_score") < K.BLUR_LIMIT)
+    shape = ("height", "width", "nChannels", "data")
+    plain = F.struct(*[F.col(f"image.{c}").alias(c) for c in shape])
+    rows = images.withColumn(blurred, P.sharpness(F.col("image"))["blur_score"] < P.BLUR_LIMIT).withColumn("image", plain)
+    done = enhance(F.when(F.col(blurred), F.col("image")))
+    return rows.withColumn("image", F.when(F.col(blurred), done).otherwise(F.col("image"))).select(*images.columns)
 
 
-def _struct_column(kernel: Callable[[np.ndarray], dict], returns: str):
-    names = [part.split()[0] for part in returns.split(",")]
+#: Features by name that are column functions, `hash` of the hashes' columns; `histogram` is counted, and models of one's own come as `extractors`.
+FEATURES: dict[str, Callable[[Column], Column]] = {
+    "embedding": P.thumbnail,
+    "hash": lambda image: P.hash_vector(F.struct("phash", "dhash", "whash")),
+    "keypoint": lambda image: P.pooled(_descriptors()(image), 64),
+}
 
-    @F.pandas_udf(returns)
-    def column(images: pd.DataFrame) -> pd.DataFrame:
-        rows = [kernel(x) if (x := K.decode(row)) is not None else dict.fromkeys(names) for row in images.to_dict("records")]
-        return pd.DataFrame(rows, columns=names)
+
+def _descriptors():
+    @F.pandas_udf("array<array<double>>")
+    def column(images: pd.DataFrame) -> pd.Series:
+        decoded = [K.decode(row) for row in images.to_dict("records")]
+        return pd.Series([None if x is None else K.corner_descriptors(x).tolist() for x in decoded], dtype=object)
 
     return column
 
 
-def variations(pairs: DataFrame, first: str = "first", second: str = "second") -> DataFrame:
-    """pairs plus how the second image differs from the first."""
-    returns = "size_diff boolean, crop_detected boolean, brightness_diff double, compression_diff boolean, format_diff boolean"
+def extract_features(images: DataFrame, methods: tuple[str, ...] = ("embedding",), *, enhance: bool = True, extractors: dict | None = None) -> DataFrame:
+    """(path, feature_type, vector): a row for each image and known method; unknown methods are skipped.
+    Blurred images are sharpened before.  A model of one's own, image array to vector, goes into `extractors`."""
+    own = extractors or {}
+    rows = images.select("path", "image").where(P.whole(F.col("image")))
+    rows = sharpened(rows) if enhance else rows
+    built_in = [m for m in dict.fromkeys(methods) if m in FEATURES and m not in own]
+    found = []
+    if built_in:
+        columns = [F.struct(F.lit(m).alias("feature_type"), F.col(f"f{k}").alias("vector")) for k, m in enumerate(built_in)]
+        known = hashes(rows) if "hash" in built_in else rows
+        vectors = known.select("path", *[FEATURES[m](F.col("image")).cast("array<float>").alias(f"f{k}") for k, m in enumerate(built_in)])
+        found.append(vectors.select("path", F.explode(F.array(*columns)).alias("f")).select("path", "f.feature_type", "f.vector"))
+    if "histogram" in methods and "histogram" not in own:
+        found.append(histograms(rows, ["path"]).select("path", F.lit("histogram").alias("feature_type"), "vector"))
+    chosen = [m for m in dict.fromkeys(methods) if m in own]
+    if chosen:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                decoded = [(path, K.decode(row)) for path, row in zip(pdf["path"], pdf["image"], strict=True)]
+                yield pd.DataFrame([(path, m, np.asarray(own[m](x), dtype=np.float32)) for path, x in decoded for m in chosen], columns=["path", "feature_type", "vector"])
+
+        found.append(rows.mapInPandas(run, "path string, feature_type string, vector array<float>"))
+    if not found:
+        return rows.sparkSession.createDataFrame([], "path string, feature_type string, vector array<float>")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
-    @F.pandas_udf(returns)
-    def column(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        both = [(K.decode(x), K.decode(y)) for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True)]
-        return pd.DataFrame([K.variations(x, y) for x, y in both], columns=[p.split()[0] for p in returns.split(", ")])
 
-    return pairs.withColumn("__v", column(F.col(first), F.col(second))).select(*pairs.columns, "__v.*")
+def variations(pairs: DataFrame, first: str = "first", second: str = "second") -> DataFrame:
+    """pairs plus how the second image differs from the first.  Only images of different sizes are searched for a crop;
+    compression and format are not looked at."""
+    a, b = F.col(first), F.col(second)
+    (differ, crop) = fresh(pairs, "differ", "crop")
+    is_cropped = pair_column(K.is_cropped, "boolean")
+    rows = pairs.withColumn(differ, (a["height"] != b["height"]) | (a["width"] != b["width"]))
+    rows = rows.withColumn(crop, is_cropped(F.when(F.col(differ), a), F.when(F.col(differ), b)))
+    brightness = F.abs(P.brightness(a) - P.brightness(b))
+    return rows.select(*pairs.columns, F.col(differ).alias("size_diff"), F.coalesce(F.col(crop), F.lit(False)).alias("crop_detected"), brightness.alias("brightness_diff"), F.lit(False).alias("compression_diff"), F.lit(False).alias("format_diff"))

@@ -5,15 +5,16 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenfold import cli
 from lumenfold.functions import kernels as K
-from lumenfold.operators import detect, vectors
+from lumenfold.operators import detect, frames, vectors
 from lumenfold.plans import image_queries
 from lumenfold.sources import images, reports
 from lumenfold.sources.catalog import Catalog
-from lumenfold.sources.config import PROFILES, DuplicateSettings, Settings
+from lumenfold.sources.config import PROFILES, DuplicateSettings, SearchSettings, Settings
 from lumenfold.streaming import incremental
 
 
@@ -93,10 +94,33 @@ def test_command_line(spark, folder, tmp_path):
     assert cli.index(spark, args, settings).first()["indexed"] == 4
     args = cli.parser().parse_args(["search", f"{folder}/original.png", "-k", "2", "-o", f"{tmp_path}/out"])
     assert cli.search(spark, args, settings).count() == 2 and spark.read.json(f"{tmp_path}/out").count() == 2
+    args = cli.parser().parse_args(["maintain", "compact", "--files", "1"])
+    cli.maintain(spark, args, settings)
+    backups = list((tmp_path / "catalog/backups").iterdir())
+    assert len(backups) == 1 and spark.read.parquet(f"file://{backups[0]}/images").count() == 4
+    cells = Settings(catalog_dir=settings.catalog_dir, search=SearchSettings(index_type="ivf", cells=2, probes=2))
+    cli.maintain(spark, cli.parser().parse_args(["maintain", "rebuild", "--folder", str(folder)]), cells)
+    assert Catalog(spark, settings.catalog_dir).read("images").count() == 4
+    args = cli.parser().parse_args(["search", f"{folder}/original.png", "-k", "2"])
+    assert [r["path"] for r in cli.search(spark, args, cells).collect()] == [r["path"] for r in cli.search(spark, args, settings).collect()]
     args = cli.parser().parse_args(["duplicates", str(folder), "-r", f"{tmp_path}/report.html"])
     assert cli.duplicates(spark, args, settings).count() >= 1 and "Duplicates" in (tmp_path / "report.html").read_text()
 
 
+def test_features_and_key_frames(spark, folder):
+    loaded = images.load(spark, str(folder))
+    own = {"mean": lambda x: [x.mean()]}
+    found = images.extract_features(loaded, ("embedding", "hash", "keypoint", "histogram", "mean", "nothing"), extractors=own).collect()
+    sizes = {(r["feature_type"], len(r["vector"])) for r in found}
+    assert sizes == {("embedding", 192), ("hash", 192), ("keypoint", 128), ("histogram", 512), ("mean", 1)} and len(found) == 20
+    assert images.extract_features(loaded, ("nothing",)).count() == 0
+    video = loaded.select(F.lit(1).alias("v"), F.row_number().over(Window.orderBy("path")).alias("t"), "image")
+    for method, how in (("uniform", {"every": 2}), ("motion", {"threshold": 0.0})):
+        assert 1 <= frames.extract(video, method, ["v"], ["t"], F.lit(0), **how).count() <= 4
+    with pytest.raises(ValueError):
+        frames.extract(video, "other", ["v"], ["t"], F.lit(0))
+
+
 def test_settings(tmp_path):
     path = f"{tmp_path}/config.yaml"
     assert Settings.load(path) == Settings()
