@@ -26,7 +26,7 @@ from lumenfold.llm.shared import shared_dir, stash
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 INDEX = "page_id long, record_id string, record_type string, bundle string, frame int, offset long, size long"
 #: Frames that are read as one piece of work, and most tasks that read.
-FRAMES, MAX_TASKS = 32, 100_000
+FRAMES, MAX_TASKS = 128, 100_000
 RECORDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
