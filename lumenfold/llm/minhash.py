@@ -347,6 +347,20 @@ def op8(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", *RESULT)
 
 
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT i, j FROM p JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE 100 * c >= 85 * (x.n + y.n - c)),
+o AS (SELECT i, j FROM e UNION SELECT j, i FROM e),
+r(id, root) AS (SELECT DISTINCT i, i FROM o UNION SELECT o.j, r.root FROM r JOIN o ON o.i = r.id),
+m AS (SELECT id, min(root) AS m FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, d.doc_id) AS component_id, coalesce(m, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = d.doc_id
+"""
+
+
 def brute_force(docs: list[tuple], shingle: int = 5, percent: int = 85) -> list[tuple]:
     """The contract over all pairs, for small inputs: (doc_id, n_shingles, component_id, kept)."""
     sets = {}

@@ -21,5 +21,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
     "op7_decontamination": decontam.ORACLE,
+    "op8_minhash_dedup": minhash.ORACLE,
 }

@@ -177,6 +177,17 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT win, min(doc_id) AS first_id FROM g GROUP BY win),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (win) WHERE doc_id > first_id),
+k AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+t AS (SELECT k.doc_id, string_agg(x, ' ' ORDER BY k.p) FILTER (r.p IS NULL) AS kept, count(r.p) AS n FROM k LEFT JOIN r ON r.doc_id = k.doc_id AND r.p = k.p GROUP BY k.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 def brute_force(docs: list[tuple], window: int = 13) -> list[tuple]:
     """The contract, word for word, for small inputs: (doc_id, n_words, n_removed, kept_sha256)."""
     first: dict[tuple, int] = {}

@@ -489,3 +489,10 @@ def test_pipeline_of_odd_rows(spark, odd, sf_dir):
 def test_registered():
     assert len([n for n in queries.QUERIES if n.startswith("op")]) == 10 and "pipeline" in queries.QUERIES
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", ["op6_substring_dedup", "op8_minhash_dedup"])
+def test_query_equals_its_sql(spark, sf_dir, name):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    assert rows_of(queries.QUERIES[name](spark, sf_dir)) == sorted(c.sql(queries.ORACLE_SQL[name]).fetchall(), key=lambda r: tuple(map(str, r)))
