@@ -23,8 +23,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id."""
-    return minhash.near_duplicates(docs).where("kept").select(*docs.columns)
+    """One document of each group of near duplicates (five words, a similarity of 0.8 or more), that with the smallest
+    doc_id."""
+    return minhash.near_duplicates(docs, percent=80).where("kept").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
