@@ -469,7 +469,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     for i, t in rows.items():
         newest[t.translate(lower)] = max(i, newest.get(t.translate(lower), i))
     rows = {i: t for i, t in rows.items() if newest[t.translate(lower)] == i}
-    rows = {i: rows[i] for i, _, _, kept in minhash.brute_force(list(rows.items())) if kept}
+    rows = {i: rows[i] for i, _, _, kept in minhash.brute_force(list(rows.items()), percent=80) if kept}
     flags = {r["doc_id"]: r["contaminated"] for r in decontam.op7(spark, sf_dir).collect()}
     rows = {i: t for i, t in rows.items() if not flags[i]}
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
