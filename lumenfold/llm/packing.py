@@ -3,8 +3,9 @@
 Every task tokenizes its documents.  Their pieces are dealt by hash, so that every packer sees the mix of lengths, and
 packed longest first, each into the fullest sequence that has room.  Sequences that are nearly full are done.  The others move up a tree as items of their fill: each node
 takes the underfull sequences of `fan_in` nodes below and packs them by best fit again, up to the root.
-A node hands at most `carry` sequences up, the emptiest ones; fuller ones stay as they are (whole, never dropped), so
-the root's work is bounded.
+After best fit at most one sequence of a node is half full or less, as two such would have been one; only these look for
+room in others.  So nodes on a level, as many as they are, leave no more than that many to be placed, and each hands up
+its emptiest sequences in that number (`carry` at least): what stays is never needed, and the root's work is bounded.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def pack(docs: DataFrame, *, size: int = 2048, slack: int = 8, fan_in: int = 16,
         level += 1
         tasks = -(-tasks // fan_in)
         nodes = under.withColumn("node", F.expr(f"node div {fan_in}"))
-        merged = stash(nodes.groupBy("node").applyInPandas(node_merger(level, size, slack, carry), "bin long, into long, shift long, fill long, node long, open boolean"), folder, f"level{level}")
+        merged = stash(nodes.groupBy("node").applyInPandas(node_merger(level, size, slack, max(carry, tasks)), "bin long, into long, shift long, fill long, node long, open boolean"), folder, f"level{level}")
         step = merged.select("bin", "into", "shift")
         if moved is None:
             moved = step
