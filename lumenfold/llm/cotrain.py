@@ -11,6 +11,8 @@ What goes to the driver has a fixed size: counts by class and bucket, and calibr
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -220,3 +222,58 @@ def op2(spark, sf_dir: str) -> DataFrame:
     """op2_quality: one row per document."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify_quality(docs, labels).select("doc_id", *RESULT)
+
+
+def brute_force(docs: list[tuple], labels: dict, rounds: int, sure: float) -> tuple[list[tuple], int]:
+    """The method over one feature at a time, by names instead of hashes, for small inputs (doc_id, text, source, lang,
+    n_chars, url): (doc_id, text_score, meta_score, quality_score), and how many pseudo-labels the last round gave."""
+
+    def of_text(text: str | None) -> tuple[list, list]:
+        data = (text or "").encode()
+        w, size = data.split(), max(1, len(data))
+        small = [("word", x) for x in w] + [("end", x[-3:]) for x in w] + [("again", i > 0 and x == w[i - 1]) for i, x in enumerate(w)]
+        upper = sum(65 <= b <= 90 for b in data)
+        mark = sum(32 < b < 128 and not 65 <= b <= 90 and not 97 <= b <= 122 for b in data)
+        shares = [upper / size, mark / size, data.count(b"\n") / size * 20, len(set(w)) / max(1, len(w))]
+        steps = [min(20, int(x * 20)) for x in shares] + [min(40, int(min(len(w), 1 << 20) ** 0.25 / 32 * 40))]
+        return small, [("layout", k, x) for k, x in enumerate(steps)]
+
+    def of_meta(source, lang, n_chars, url) -> list:
+        parts = url.split("//", 1)[-1].split("/") if url else [None]
+        size = None if n_chars is None else int(math.log2(n_chars + 1) * 2)
+        return [("source", source), ("lang", lang), ("both", source, lang), ("size", size), ("host", parts[0]), ("depth", len(parts))]
+
+    rows = [(i, *of_text(text), of_meta(*meta), labels.get(i), crc32(str(i).encode()) % 5) for i, text, *meta in docs]
+
+    def learn(says: list[tuple]) -> list[dict]:
+        odds = []
+        for view in (0, 1):
+            c = [Counter(), Counter()]
+            for (_, small, layout, meta, _, _), told in zip(rows, says, strict=True):
+                if told[view] is not None:
+                    c[int(told[view])].update([*small, *layout] if view == 0 else meta)
+            seen, total = max(1, len(c[0]), len(c[1])), [c[0].total(), c[1].total()]
+            p = [{g: math.log((c[y][g] + 1) / (total[y] + seen)) for g in {*c[0], *c[1]}} for y in (0, 1)]
+            odds.append({g: p[1][g] - p[0][g] for g in p[0]})
+        return odds
+
+    def raw(odds: list[dict]) -> np.ndarray:
+        get = lambda view, names: sum(odds[view].get(g, 0.0) for g in names)
+        return np.array([(get(0, small) / math.sqrt(max(1, len(small))) + get(0, layout), get(1, meta)) for _, small, layout, meta, _, _ in rows])
+
+    def scores(x: np.ndarray) -> np.ndarray:
+        own = [k for k, r in enumerate(rows) if r[4] is not None and r[5] == 0]
+        y = np.array([rows[k][4] for k in own], float)
+        binned = (np.clip((x[own] / BIN + BINS / 2).astype(int), 0, BINS - 1) - BINS / 2 + 0.5) * BIN
+        fits = [([0], logistic(binned[:, :1], y, np.ones(len(y)))), ([1], logistic(binned[:, 1:], y, np.ones(len(y)))), ([0, 1], logistic(binned, y, np.ones(len(y))))]
+        x = np.clip(x, -BINS * BIN / 2, BINS * BIN / 2)
+        return np.column_stack([1 / (1 + np.exp(-(w[0] + x[:, cols] @ w[1:]))) for cols, w in fits])
+
+    given = [r[4] if r[5] else None for r in rows]
+    odds, pseudo = learn([(y, y) for y in given]), 0
+    for _ in range(rounds):
+        told = [[1 if p >= sure else 0 if p <= 1 - sure else None for p in row[:2]] for row in scores(raw(odds))]
+        says = [(y, y) if r[4] is not None else (t[1], t[0]) for r, y, t in zip(rows, given, told, strict=True)]
+        pseudo = sum(x is not None for r, s in zip(rows, says, strict=True) if r[4] is None for x in s)
+        odds = learn(says)
+    return [(r[0], *map(float, p)) for r, p in zip(rows, scores(raw(odds)), strict=True)], pseudo

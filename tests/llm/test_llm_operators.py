@@ -82,6 +82,27 @@ def test_quality(spark, sf_dir):
     assert got["quality_score"].between(0, 1).all()
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_quality_equals_brute_force(spark, rounds):
+    """A page's host tells as much as its words, so that either view teaches the other."""
+    rng = np.random.default_rng(4)
+    docs = []
+    for i in range(120):
+        good = i % 2
+        own = rng.choice([f"w{k}" for k in range(9)] if rng.random() < 0.85 else [f"J{k}" for k in range(9)], 12) if good else rng.choice([f"J{k}" for k in range(9)], 9)
+        host = f"h{rng.integers(2) + 2 * (good if rng.random() < 0.85 else 1 - good)}.org"
+        docs.append((i, " ".join(own) + "\n" * int(rng.integers(3)) if i != 7 else None, ["a", "b"][int(rng.integers(2))], "en", int(rng.integers(10, 99)), f"http://{host}/x/y" if i % 11 else None))
+    labels = {i: i % 2 for i in range(0, 120) if i % 3}
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long, url string")
+    known = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    want, pseudo = cotrain.brute_force(docs, labels, rounds, 0.8)
+    got = {r["doc_id"]: r for r in cotrain.classify_quality(df, known, rounds=rounds, sure=0.8).collect()}
+    assert len(got) == 120 and (pseudo > 20) == (rounds > 0)
+    for i, *scores in want:
+        assert np.allclose([got[i][c] for c in ("text_score", "meta_score", "quality_score")], scores, atol=1e-6), i
+        assert got[i]["kept"] == (scores[2] >= 0.5)
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(3, 1), (3, 0), (4, None), (99, 1)], "doc_id long, quality int")
     out = cotrain.classify_quality(odd, labels, rounds=1)
@@ -376,6 +397,14 @@ def test_language_id(spark, sf_dir):
     assert all(h == (crc32(str(i).encode()) % 5 == 0) for i, h in zip(got["doc_id"], got["held_out"], strict=True))
 
 
+def test_language_id_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    want = langid.brute_force([tuple(r) for r in docs])
+    got = {r["doc_id"]: tuple(r) for r in langid.op9(spark, sf_dir).collect()}
+    assert [got[i][:3] for i, *_ in want] == [r[:3] for r in want]
+    assert max(abs(got[i][3] - p) for i, _, _, p in want) < 1e-3
+
+
 def test_language_id_odd_rows(spark, odd):
     out = langid.identify(odd)
     said = {r["doc_id"]: r["lang_pred"] for r in out.collect()}
@@ -424,6 +453,14 @@ def test_packing_merges_up_a_tree(documents, pairs, how):
     assert got["sequence_id"].nunique() <= 1.1 * math.ceil(got["length"].sum() / 64) + 1
 
 
+@pytest.mark.parametrize("size", [16, 64])
+def test_packing_limit_costs_nothing(documents, size):
+    """Handing up only as many sequences as there are nodes leaves as few as handing up all."""
+    docs = documents.repartition(9)
+    few, every = (packing.pack(docs, size=size, fan_in=2, slack=0, carry=n).select("sequence_id").distinct().count() for n in (0, 10**6))
+    assert few == every
+
+
 def test_packing_odd_rows(odd):
     got = packing.pack(odd).toPandas()
     assert len(got[got["doc_id"] == 0]) == 1 and got[got["doc_id"] == 0]["length"].iloc[0] == 1
