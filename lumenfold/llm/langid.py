@@ -29,10 +29,13 @@ RESULT = ("held_out", "lang_pred", "score")
 
 
 def bucket_count(n_langs: int) -> int:
-    """BUCKETS, halved until the matrix keeps to MATRIX_CELLS (256 at least)."""
+    """BUCKETS, halved until the matrix keeps to MATRIX_CELLS; below 256 buckets, with more than 32,768 languages, that is
+    an error, as then lang holds no languages."""
     b = BUCKETS
-    while b > 256 and b * max(1, n_langs) > MATRIX_CELLS:
+    while b * max(1, n_langs) > MATRIX_CELLS:
         b //= 2
+    if b < 256:
+        raise ValueError(f"{n_langs} different languages are more than a model can tell apart")
     return b
 
 
@@ -95,9 +98,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """Languages, log prior, and log probabilities (languages, buckets + 1; the last bucket weighs nothing),
     learned from the rows that have text and language and are not held out - all of them."""
     rows = docs.where(~is_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    buckets = BUCKETS
-    n_langs = rows.select("lang").distinct().count()
-    buckets = bucket_count(n_langs)
+    buckets = bucket_count(rows.select("lang").distinct().count())
     found = rows.mapInPandas(lambda it: count_grams(it, buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     counts = np.zeros((len(langs), buckets + 1))

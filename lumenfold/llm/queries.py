@@ -21,6 +21,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op7_decontamination": decontam.ORACLE,
     "op8_minhash_dedup": minhash.ORACLE,

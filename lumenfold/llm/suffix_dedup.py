@@ -378,6 +378,21 @@ def op3(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (SELECT doc_id, q, substring(h, 2 * q + 1, 2 * 611) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99, 512)) AS q FROM d WHERE length(h) >= 200)),
+w AS (SELECT doc_id, q + o AS p, md5(substring(part, 2 * o + 1, 200)) AS k FROM (SELECT *, unnest(range(length(part) // 2 - 99)) AS o FROM q)),
+f AS (SELECT k, min({'i': doc_id, 'p': p}) AS f FROM w GROUP BY k HAVING count(*) > 1),
+m AS (SELECT doc_id, p FROM w JOIN f USING (k) WHERE (doc_id, p) <> (f.i, f.p)),
+b AS (SELECT doc_id, unnest(range(length(h) // 2)) AS p, unnest(regexp_extract_all(h, '..')) AS x FROM d),
+c AS (SELECT doc_id, b.p, x, max(m.p IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY b.p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM b LEFT JOIN m USING (doc_id, p)),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM s GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 def brute_force(docs: list[tuple], length: int = 100) -> list[tuple]:
     """The contract, byte for byte, for small inputs: (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     seen: set[bytes] = set()

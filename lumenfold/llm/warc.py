@@ -225,6 +225,14 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return read_bundles(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+ORACLE = r"""
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substring(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT + 1, 1)), 'string_agg', '') AS payload_digest FROM d),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM l
+"""
+
+
 def brute_force(pages: list[tuple]) -> list[tuple]:
     """The contract for small inputs of (page_id, html)."""
     holder: dict[bytes, int] = {}

@@ -413,6 +413,8 @@ def test_language_id_odd_rows(spark, odd):
     none = langid.identify(odd.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
     assert langid.accepted(odd).where("doc_id in (0, 1, 2, 11)").count() == 0
+    with pytest.raises(ValueError):
+        langid.bucket_count(10**5)
     assert langid.bucket_count(4) == langid.BUCKETS and langid.bucket_count(10**4) * 10**4 <= langid.MATRIX_CELLS
 
 
@@ -528,8 +530,9 @@ def test_registered():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["op6_substring_dedup", "op8_minhash_dedup"])
+@pytest.mark.parametrize("name", ["op3_suffix_dedup", "op5_warc", "op6_substring_dedup", "op8_minhash_dedup"])
 def test_query_equals_its_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "pages"):
+        c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     assert rows_of(queries.QUERIES[name](spark, sf_dir)) == sorted(c.sql(queries.ORACLE_SQL[name]).fetchall(), key=lambda r: tuple(map(str, r)))
