@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lumenfold.llm import cotrain, decontam, exact_dedup, langid, minhash, packing, substring_dedup, suffix_dedup, token_counts, warc
+from lumenfold.llm import cotrain, decontam, exact_dedup, langid, merkle, minhash, packing, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_minhash_dedup": minhash.op8,
     "op9_language_id": langid.op9,
     "op10_packing": packing.op10,
+    "op11_merkle_manifest": merkle.op11,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op7_decontamination": decontam.ORACLE,
     "op8_minhash_dedup": minhash.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
