@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lumenfold.llm import cotrain, decontam, exact_dedup, langid, merkle, minhash, packing, substring_dedup, suffix_dedup, token_counts, warc
+from lumenfold.llm import cotrain, decontam, exact_dedup, langid, licenses, merkle, minhash, packing, repair, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_language_id": langid.op9,
     "op10_packing": packing.op10,
     "op11_merkle_manifest": merkle.op11,
+    "op12_license_scan": licenses.op12,
+    "op13_conversation_repair": repair.op13,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -28,4 +30,6 @@ ORACLE_SQL = {
     "op7_decontamination": decontam.ORACLE,
     "op8_minhash_dedup": minhash.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_license_scan": licenses.ORACLE,
+    "op13_conversation_repair": repair.ORACLE,
 }
