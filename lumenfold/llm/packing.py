@@ -32,7 +32,8 @@ PIECES = LENGTHS + ", bin long, offset long"
 def encoder(path: str):
     """text -> ids of the byte-level BPE vocabulary at `path`.  The .tiktoken form of byte_bpe_50k.json holds the same
     vocabulary but for the added tokens, which come from the json file beside it, and gives the same ids three times
-    as fast.  Strings of added tokens in a text are these tokens."""
+    as fast.  Strings of added tokens in a text are these tokens.  Its pattern can't pass about a million spaces or line
+    ends in a row; such texts take the json file's own tokenizer."""
     if path.endswith(".tiktoken"):
         import tiktoken
 
@@ -41,7 +42,14 @@ def encoder(path: str):
         with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
             added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         known = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-        return lambda text: known.encode(text, allowed_special="all")
+
+        def encode(text: str) -> list[int]:
+            try:
+                return known.encode(text, allowed_special="all")
+            except ValueError:  # of the pattern, as no special token is forbidden
+                return encoder(path.removesuffix(".tiktoken") + ".json")(text)
+
+        return encode
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)

@@ -536,3 +536,13 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     for table in ("documents", "pages"):
         c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     assert rows_of(queries.QUERIES[name](spark, sf_dir)) == sorted(c.sql(queries.ORACLE_SQL[name]).fetchall(), key=lambda r: tuple(map(str, r)))
+
+
+@pytest.mark.parametrize("piece", [" ", "\n", "x", "7", "😀", " \n"])
+def test_encoder_of_very_long_runs(piece):
+    """Two million characters of a kind in a row, with words around them, against an untouched tokenizer."""
+    from tokenizers import Tokenizer
+
+    text = "It is " + piece * (2_000_000 // len(piece)) + "the end"
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))(text) == want
