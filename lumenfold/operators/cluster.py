@@ -7,34 +7,55 @@ node without undecided earlier neighbours leads, and its neighbours are members.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.sources.tables import forget, working_folder, written
 
-#: Rounds before the rest may be settled on the driver, and the most edges that it may have then.
-ROUNDS, REST = 8, 200_000
-
-
-def rest_leaders(edges: list[tuple[int, int]]) -> list[int]:
-    """The leaders among the ends of edges, by the sequential rule."""
-    after: dict[int, list[int]] = {}
-    for i, j in edges:
-        after.setdefault(i, []).append(j)
-        after.setdefault(j, [])
-    members: set[int] = set()
-    for i in sorted(after):
-        if i not in members:
-            members.update(after[i])
-    return [i for i in after if i not in members]
-
-
-def leaders(edges: DataFrame) -> DataFrame:
+#: Rounds by joins alone before ranges of ids are replayed, and the edges of a range.
+ROUNDS, RANGE = 8, 500_000
+#: Rows that the driver may settle at the end of leaders_of_classes().
+REST = 200_000
+
+
+def replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The leaders among a range of ids, by the sequential rule: rows are (id, i), an open edge to an earlier node or,
+    with a null i, the node itself.  Nodes whose earlier neighbours aren't all known stay open unless one leads."""
+    rows = pd.concat([*batches, pd.DataFrame({"id": [], "i": []})]).sort_values("id")
+    own = rows["i"].isna()
+    known = dict.fromkeys(rows.loc[own, "id"].astype(np.int64).tolist())  # None while open
+    edges = rows[~own].astype(np.int64)
+    ends = {}
+    for j, i in zip(edges["id"].tolist(), edges["i"].tolist(), strict=True):
+        ends.setdefault(j, []).append(i)
+    for j in known:
+        states = [known.get(i) for i in ends.get(j, ())]
+        known[j] = False if True in states else None if None in states else True
+    yield pd.DataFrame({"id": np.array([j for j, leads in known.items() if leads], np.int64)})
+
+
+def leaders_in_ranges(undecided: DataFrame, open_edges: DataFrame, n_edges: int) -> DataFrame:
+    """(id): leaders that follow within ranges of ids, each replayed by one task.  A node with more earlier neighbours
+    than a range has edges waits until they are decided."""
+    hot = open_edges.groupBy("j").agg(F.count("*").alias("n")).where(F.col("n") > RANGE).select("j")
+    edges = open_edges.join(hot, "j", "left_anti").select(F.col("j").alias("id"), "i")
+    nodes = undecided.join(hot.withColumnRenamed("j", "id"), "id", "left_anti").select("id", F.lit(None).cast("long").alias("i"))
+    ranges = max(1, -(-n_edges // RANGE))
+    return nodes.union(edges).repartitionByRange(ranges, "id").mapInPandas(replayed, undecided.schema)
+
+
+def leaders(edges: DataFrame, *, rounds: list[int] | None = None) -> DataFrame:
     """(leader, member) for every member; edges are (i, j) with i < j.  Nodes without edges lead nobody.
 
-    Rounds go on until every node is decided.  A long chain of neighbours settles few nodes a round: after ROUNDS
-    rounds a rest of at most REST edges is settled on the driver.
-    Tables of the shared folder cut the lineage, so a lost executor costs one round at most.
+    A round decides the nodes without open earlier neighbours and those beside them, until all are decided.  Where ids
+    rise along a chain that is few nodes a round, so after ROUNDS rounds ranges of ids are replayed in order, all at the
+    same time: what a range can tell is decided at once, and a chain takes a round for each of its ranges.
+    Tables of the shared folder cut the lineage, so a lost executor costs one round at most.  The number of rounds is
+    added to `rounds`.
     """
     folder = working_folder(edges.sparkSession)
     edges = written(edges.where("i < j").select("i", "j").distinct(), f"{folder}/edges")
@@ -42,17 +63,17 @@ def leaders(edges: DataFrame) -> DataFrame:
     open_edges, k = edges, 0
     while not undecided.isEmpty():
         k += 1
-        if k > ROUNDS and open_edges.count() <= REST:
-            ends = open_edges.select(F.col("i").alias("id")).union(open_edges.select("j"))
-            settled = edges.sparkSession.createDataFrame([(i,) for i in rest_leaders([tuple(r) for r in open_edges.collect()])], undecided.schema)
-            written(undecided.join(ends, "id", "left_anti").union(settled), f"{folder}/leaders{k}")
-            break
-        new = written(undecided.join(open_edges.select(F.col("j").alias("id")).distinct(), "id", "left_anti"), f"{folder}/leaders{k}")
+        if k > ROUNDS:
+            new = written(leaders_in_ranges(undecided, open_edges, open_edges.count()), f"{folder}/leaders{k}")
+        else:
+            new = written(undecided.join(open_edges.select(F.col("j").alias("id")).distinct(), "id", "left_anti"), f"{folder}/leaders{k}")
         gone = new.union(open_edges.join(new.withColumnRenamed("id", "i"), "i", "left_semi").select(F.col("j").alias("id"))).distinct()
         gone = written(gone, f"{folder}/gone{k}")
         undecided = written(undecided.join(gone, "id", "left_anti"), f"{folder}/undecided{k}")
         left = open_edges.join(gone.withColumnRenamed("id", "i"), "i", "left_anti").join(gone.withColumnRenamed("id", "j"), "j", "left_anti")
         open_edges = written(left.select("i", "j"), f"{folder}/edges{k}")
+    if rounds is not None:
+        rounds.append(k)
     if k == 0:
         return edges.select(F.col("i").alias("leader"), F.col("j").alias("member"))
     chosen = edges.sparkSession.read.schema(undecided.schema).parquet(*[f"{folder}/leaders{n}" for n in range(1, k + 1)])

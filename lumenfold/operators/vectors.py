@@ -94,22 +94,41 @@ def _search(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, metric: s
     return rows.mapInPandas(best, "query_id long, id long, d double")
 
 
-def _ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
-    """(query_id, rank, id, similarity) from what tasks have found; parts of a query's candidates come first, so that one
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, id, d) from what tasks have found; parts of a query's candidates come first, so that one
     query isn't ranked over all tasks' candidates at once."""
     parts = Window.partitionBy("query_id", "part").orderBy("d", "id")
     rows = found.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(32))).withColumn("r", F.row_number().over(parts)).where(F.col("r") <= k)
+    best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "id", "d")
+
+
+def scored(best: DataFrame, metric: str) -> DataFrame:
+    """(query_id, rank, id, similarity) of ranked rows."""
     similarity = -F.col("d") if metric == "cosine" else S.l2_similarity(F.col("d"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", similarity.alias("similarity"))
+    return best.select("query_id", "rank", "id", similarity.alias("similarity"))
+
+
+def _ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
+    return scored(ranked(found, k), metric)
+
+
+def similarities(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """The cosines, or 1 / (1 + squared distance), of all rows of q with all rows of v."""
+    return -distances(q, v, "cosine") if metric == "cosine" else 1 / (1 + distances(q, v, "l2"))
+
+
+def query_blocks(queries: DataFrame, vector: str) -> int:
+    """Blocks that the vectors of queries fill."""
+    n, size = queries.where(F.col(vector).isNotNull()).agg(F.count("*"), F.sum(F.size(vector).cast("long") * 8)).first()
+    return max(1, -(-n // QUERY_BLOCK), -(-(size or 0) // QUERY_BYTES))
 
 
 def _in_blocks(queries: DataFrame, id_col: str, vector: str, search) -> DataFrame:
     """search(ids, matrix) for one block of queries after the other; the driver holds one block at a time.  What more
     than one block finds is written before the next one is fetched."""
     wanted = queries.select(F.col(id_col).alias("q"), F.col(vector).alias("v")).where("v is not null")
-    n, size = wanted.agg(F.count("*"), F.sum(F.size("v").cast("long") * 8)).first()
-    blocks = max(1, -(-n // QUERY_BLOCK), -(-(size or 0) // QUERY_BYTES))
+    blocks = query_blocks(queries, vector)
     if blocks == 1:
         pdf = wanted.toPandas()
         return search(pdf["q"].to_numpy(dtype=np.int64), stack(pdf["v"]))
@@ -123,10 +142,14 @@ def _in_blocks(queries: DataFrame, id_col: str, vector: str, search) -> DataFram
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector: str = "embedding", metric: str = "l2") -> DataFrame:
     """(query_id, rank, id, similarity): the k nearest vectors of each query, ties by id.
 
-    Every task multiplies a block of queries with its vectors and keeps k for each query; the best k of all tasks
-    follow by a window.  Similarity is 1 / (1 + squared distance), or the cosine.  k beyond the number of vectors
-    returns all.
+    Queries of one block are broadcast: every task multiplies them with its vectors and keeps k for each query; the
+    best k of all tasks follow by a window.  More queries are joined by cells, see cells.knn_cells().  Similarity is
+    1 / (1 + squared distance), or the cosine.  k beyond the number of vectors returns all.
     """
+    if query_blocks(queries, vector) > 1:
+        from lumenfold.operators import cells
+
+        return cells.knn_cells(vectors, queries, k, id_col=id_col, vector=vector, metric=metric)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null")
     return _in_blocks(queries, id_col, vector, lambda ids, q: _ranked(_search(rows, ids, q, k, metric), k, metric))
 
@@ -139,10 +162,15 @@ def above_threshold(neighbours: DataFrame, threshold: float = 0.7) -> DataFrame:
 def similar_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "vec_id", vector: str = "embedding", group: str | None = None, metric: str = "cosine") -> DataFrame:
     """(i, j, similarity) with i < j and similarity >= threshold - within a group, or over all rows.
 
-    Exact: each group is cut into blocks of about SIDE rows by hash, and every pair of its blocks is one matrix
-    product.  So a group of any size is spread over many tasks of equal size.
+    Exact.  Over all rows, vectors meet by cells and copies as classes, see cells.similar_classes(), which also gives
+    the classes as they are.  A group is cut into blocks of about SIDE rows by hash, and every pair of its blocks is
+    one matrix product.  So a group of any size is spread over many tasks of equal size.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), (F.col(group) if group else F.lit(0)).alias("g")).where("v is not null")
+    if group is None:
+        from lumenfold.operators import cells
+
+        return cells.expanded(*cells.similar_classes(vectors, threshold, id_col=id_col, vector=vector, metric=metric), metric)
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(group).alias("g")).where("v is not null")
     sizes = rows.groupBy(F.col("g").alias("sg")).agg(F.ceil(F.count("*") / SIDE).cast("long").alias("blocks"))
     rows = rows.join(sizes, F.col("g").eqNullSafe(F.col("sg"))).select("id", "v", "g", "blocks")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -152,7 +180,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "vec_id
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf[pdf["own"] == pdf["a"]]
         second = pdf[pdf["own"] == pdf["b"]]
-        s = -distances(stack(first["v"]), stack(second["v"]), "cosine") if metric == "cosine" else 1 / (1 + distances(stack(first["v"]), stack(second["v"]), "l2"))
+        s = similarities(stack(first["v"]), stack(second["v"]), metric)
         x, y = np.nonzero(s >= threshold)
         i, j = first["id"].to_numpy()[x], second["id"].to_numpy()[y]
         keep = i < j if pdf["a"].iloc[0] == pdf["b"].iloc[0] else i != j

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars as S
-from lumenfold.operators import cluster, frames, groups, hamming, ordered, stats, vectors
+from lumenfold.operators import cells, cluster, frames, groups, hamming, ordered, stats, vectors
 
 AS_OF = "1999-01-01 00:00:00"
 REGISTERED: dict[str, tuple] = {}
@@ -74,6 +74,20 @@ def knn_threshold_after_topk(spark, sf_dir):
     return vectors.above_threshold(_rounded(vectors.knn_join(*_queries(spark, sf_dir), 10)), 0.4)
 
 
+@register(_KNN.format(measure=_L2, which="true", similarity="1 / (1 + d)", k=5))
+def knn_self_join(spark, sf_dir):
+    """The five nearest of every vector, by cells."""
+    v = table(spark, sf_dir, "embeddings")
+    return _rounded(cells.knn_cells(v, v, 5))
+
+
+@register(_KNN.format(measure=_COS, which="true", similarity="-d", k=3))
+def knn_self_join_cosine(spark, sf_dir):
+    """The three most similar by cosine of every vector, by cells."""
+    v = table(spark, sf_dir, "embeddings")
+    return _rounded(cells.knn_cells(v, v, 3, metric="cosine"))
+
+
 @register(_KNN.format(measure=_L2, which="q.vec_id % 100 = 0", similarity="1 / (1 + d)", k=5))
 def ivf_full_probe(spark, sf_dir):
     """Search by inverted cells, looking into all of them: exact."""
@@ -120,11 +134,18 @@ def cosine_pairs(spark, sf_dir):
     return vectors.similar_pairs(table(spark, sf_dir, "embeddings"), 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
+@register("WITH embeddings AS (SELECT min(vec_id) AS vec_id, embedding FROM embeddings GROUP BY embedding), " + _EDGES.format(t=0.5) + " SELECT i, j, round(s, 6) AS similarity FROM e")
+def cosine_class_pairs(spark, sf_dir):
+    """All pairs of different vectors with a cosine of 0.5 or more, each by the least id of its copies."""
+    pairs, _ = cells.similar_classes(table(spark, sf_dir, "embeddings"), 0.5)
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
 @register("WITH " + _EDGES.format(t=0.3) + " SELECT v.vec_id, (SELECT count(*) FROM e WHERE e.i = v.vec_id OR e.j = v.vec_id) AS n_links FROM embeddings v")
 def cosine_link_counts(spark, sf_dir):
     """For each vector, how many others are similar."""
-    v = table(spark, sf_dir, "embeddings")
-    return vectors.link_counts(v, vectors.similar_pairs(v, 0.3))
+    found = cells.class_link_counts(*cells.similar_classes(table(spark, sf_dir, "embeddings"), 0.3))
+    return found.withColumnRenamed("id", "vec_id")
 
 
 @register("SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.25")
@@ -137,13 +158,13 @@ def cosine_pairs_in_group(spark, sf_dir):
 def leader_clusters(spark, sf_dir):
     """Greedy leader clustering by cosine: each vector's leader."""
     v = table(spark, sf_dir, "embeddings")
-    return cluster.with_leaders(v.select("vec_id"), cluster.leaders(vectors.similar_pairs(v, 0.3)), id_col="vec_id")
+    return cluster.with_leaders(v.select("vec_id"), cells.class_leaders(*cells.similar_classes(v, 0.3)), id_col="vec_id")
 
 
 @register("WITH RECURSIVE " + _EDGES.format(t=0.3) + ", " + _LEADERS + " SELECT leader, count(*) + 1 AS size FROM m GROUP BY leader")
 def leader_clusters_min2(spark, sf_dir):
     """Sizes of the clusters that have two members or more."""
-    return cluster.group_sizes(cluster.leaders(vectors.similar_pairs(table(spark, sf_dir, "embeddings"), 0.3)))
+    return cluster.group_sizes(cells.class_leaders(*cells.similar_classes(table(spark, sf_dir, "embeddings"), 0.3)))
 
 
 @register()

@@ -40,6 +40,29 @@ def test_leaders_of_long_chains(spark):
     assert sorted(map(tuple, got.collect())) == greedy(edges)
 
 
+def test_leaders_of_a_million(spark):
+    """A chain of a million and one where each node meets the two before it: by ranges, without the driver."""
+    n, rounds = 1_000_000, []
+    chain = spark.range(n - 1).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    got = cluster.leaders(chain, rounds=rounds)
+    assert rounds[0] < 60 and got.count() == n // 2
+    assert got.where("leader % 2 = 1 or member <> leader + 1").isEmpty()
+    band = spark.range(300_000).select(F.explode(F.array(F.struct(F.col("id").alias("i"), (F.col("id") + 1).alias("j")), F.struct(F.col("id").alias("i"), (F.col("id") + 2).alias("j")))).alias("e")).select("e.*")
+    got = cluster.leaders(band, rounds=rounds)
+    assert rounds[1] < 60 and got.count() == 200_000 and got.where("leader % 3 <> 0 or member - leader > 2").isEmpty()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaders_in_ranges(spark, monkeypatch, seed):
+    """Small ranges from the first round on, with a node that has more earlier neighbours than a range holds."""
+    monkeypatch.setattr(cluster, "ROUNDS", 0)
+    monkeypatch.setattr(cluster, "RANGE", 40)
+    rng = random.Random(seed)
+    edges = {tuple(sorted(rng.sample(range(200), 2))) for _ in range(260)} | {(i, i + 1) for i in range(150)} | {(i, 199) for i in range(1, 190, 2)}
+    got = cluster.leaders(spark.createDataFrame(sorted(edges), "i long, j long"))
+    assert sorted(map(tuple, got.collect())) == greedy(sorted(edges))
+
+
 def test_lsh_recall(spark):
     """Nearly all pairs at or above the threshold are found, and no others."""
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
