@@ -23,6 +23,8 @@ from lumenfold.sources.tables import forget, working_folder, written
 
 #: Vectors that a cell should have, the most cells, and rows of a block of a cell and of its visitors.
 CELL_ROWS, MOST_CELLS, SIDE, VISITORS = 256, 2_048, 2_000, 2_000
+#: Vectors that pivots are fitted on, at most.
+SAMPLE = 8_192
 #: What bounds must miss by before they rule a cell out, as a share of the extent of all cells: roundings are far below it.
 SLACK = 1e-6
 #: Pivots nearer to each other than this share of that extent part nothing by the plane between them.
@@ -96,11 +98,11 @@ def nearest_pivot(vectors: DataFrame, pivots: np.ndarray, metric: str) -> DataFr
 
 
 def dealt(vectors: DataFrame, metric: str, path: str, n_cells: int | None) -> tuple[DataFrame, Cells]:
-    """vectors (id, v) with cell and dist, written; and the cells.  Pivots are centres of k-means over a sample whose
-    bound is that of V.fit_cells(); any pivots give the same results."""
+    """vectors (id, v) with cell and dist, written; and the cells.  Pivots are centres of k-means over SAMPLE vectors at
+    most; any pivots give the same results."""
     n = vectors.count()
     wanted = n_cells or max(1, min(MOST_CELLS, math.isqrt(max(n, 1)) * 2, -(-n // CELL_ROWS) * 4))
-    pivots = points(V.fit_cells(vectors, wanted, vector="v"), metric)
+    pivots = points(V.fit_cells(vectors, wanted, vector="v", max_rows=SAMPLE), metric)
     if not len(pivots):
         pivots = np.zeros((1, 1))
     homed = written(nearest_pivot(vectors, pivots, metric), path)

@@ -124,7 +124,7 @@ def query_blocks(queries: DataFrame, vector: str) -> int:
     return max(1, -(-n // QUERY_BLOCK), -(-(size or 0) // QUERY_BYTES))
 
 
-def _in_blocks(queries: DataFrame, id_col: str, vector: str, search) -> DataFrame:
+def in_blocks(queries: DataFrame, id_col: str, vector: str, search) -> DataFrame:
     """search(ids, matrix) for one block of queries after the other; the driver holds one block at a time.  What more
     than one block finds is written before the next one is fetched."""
     wanted = queries.select(F.col(id_col).alias("q"), F.col(vector).alias("v")).where("v is not null")
@@ -151,7 +151,7 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "v
 
         return cells.knn_cells(vectors, queries, k, id_col=id_col, vector=vector, metric=metric)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null")
-    return _in_blocks(queries, id_col, vector, lambda ids, q: _ranked(_search(rows, ids, q, k, metric), k, metric))
+    return in_blocks(queries, id_col, vector, lambda ids, q: _ranked(_search(rows, ids, q, k, metric), k, metric))
 
 
 def above_threshold(neighbours: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -233,11 +233,11 @@ def search_cells(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k:
         rows = indexed.where(F.col("cell").isin([int(c) for c in np.unique(probed)]))
         return _ranked(_search(rows, ids, q, k, "l2", probed), k, "l2")
 
-    return _in_blocks(queries, id_col, vector, search)
+    return in_blocks(queries, id_col, vector, search)
 
 
 def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, *, n_cells: int = 16, probes: int = 4, id_col: str = "vec_id", vector: str = "embedding", centres: np.ndarray | None = None) -> DataFrame:
-    """search_cells() of an index that is made for this search; write_index() keeps one.
+    """search_cells() of an index that is made for this search; stored_index.create() keeps one.
 
     All vectors are indexed.  With probes equal to the number of cells the result is exact.
     """
@@ -246,21 +246,6 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, *, n_cells: int =
     return search_cells(indexed, centres, queries, k, probes=probes, id_col=id_col, vector=vector)
 
 
-def write_index(vectors: DataFrame, folder: str, *, n_cells: int = 16, id_col: str = "vec_id", vector: str = "embedding") -> None:
-    """Keep an index below `folder`: centroids, and the vectors (id, v) partitioned by cell.  The folder is replaced."""
-    spark, centres = vectors.sparkSession, fit_cells(vectors, n_cells, vector=vector)
-    rows = with_cells(vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")), centres, vector="v")
-    rows.repartition(F.col("cell"), F.pmod(F.xxhash64("id"), F.lit(32))).write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/vectors")
-    table = [(k, [float(x) for x in c]) for k, c in enumerate(centres)]
-    spark.createDataFrame(table, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/cells")
-
-
-def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, np.ndarray]:
-    """The vectors (id, v, cell) and the centroids of a stored index."""
-    cells = spark.read.parquet(f"{folder}/cells").orderBy("cell").toPandas()
-    return spark.read.parquet(f"{folder}/vectors"), stack(cells["centre"])
-
-
 def table_count(threshold: float, planes: int, recall: float) -> int:
     """Tables by which a pair exactly at the cosine threshold shares a bucket with probability `recall`."""
     same = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** planes

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars as S
-from lumenfold.operators import cluster, detect, frames, groups, hamming, lifecycle, ordered, stats, vectors
+from lumenfold.operators import cluster, detect, frames, groups, hamming, lifecycle, ordered, stats, stored_index, vectors
 
 
 def greedy(edges):
@@ -261,8 +261,8 @@ def test_knn_ties_and_copies(spark, monkeypatch):
 
 def test_stored_index(spark, sf_dir, tmp_path):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    vectors.write_index(df, f"file://{tmp_path}/index", n_cells=8)
-    indexed, centres = vectors.read_index(spark, f"file://{tmp_path}/index")
+    stored_index.create(df, f"file://{tmp_path}/index", n_cells=8)
+    indexed, centres = stored_index.read(spark, f"file://{tmp_path}/index")
     q = df.where("vec_id % 50 = 0")
     assert indexed.count() == df.count() and len(centres) == 8
     full = vectors.search_cells(indexed, centres, q, 5, probes=8)
