@@ -21,10 +21,12 @@ from lumenfold.operators import cluster
 from lumenfold.operators import vectors as V
 from lumenfold.sources.tables import forget, working_folder, written
 
-#: Vectors that a cell should have, the most cells, and rows of a block of a cell and of its visitors.
-CELL_ROWS, MOST_CELLS, SIDE, VISITORS = 256, 2_048, 2_000, 2_000
-#: Vectors that pivots are fitted on, at most.
-SAMPLE = 8_192
+#: The most cells; rows of a block of a cell and of its visitors, and bytes of such a block's vectors.
+MOST_CELLS, SIDE, VISITORS, BLOCK_BYTES = 1_024, 8_192, 8_192, 16 << 20
+#: Vectors that pivots are fitted on, at most, and those of them that the number of cells is chosen by.
+SAMPLE, TRIED = 8_192, 1_000
+#: Seconds to send a vector to a block, and to measure a pair: only their ratio matters, for the number of cells.
+SEND, MEASURE = 1e-5, 3e-8
 #: What bounds must miss by before they rule a cell out, as a share of the extent of all cells: roundings are far below it.
 SLACK = 1e-6
 #: Pivots nearer to each other than this share of that extent part nothing by the plane between them.
@@ -97,14 +99,39 @@ def nearest_pivot(vectors: DataFrame, pivots: np.ndarray, metric: str) -> DataFr
     return vectors.withColumn("__home", nearest("v")).select(*vectors.columns, F.col("__home.cell").alias("cell"), F.col("__home.dist").alias("dist"))
 
 
-def dealt(vectors: DataFrame, metric: str, path: str, n_cells: int | None) -> tuple[DataFrame, Cells]:
+def chosen_pivots(x: np.ndarray, n: int, within: float | None, k: int) -> np.ndarray:
+    """The pivots, of several numbers of them, that promise the least work for n vectors, by what a part of the sample x
+    would visit.  Small cells rule out more, but a vector is sent to each cell that it visits; where nothing can be ruled
+    out, as in random directions of many dimensions, few cells are best."""
+    best, least, m = x[:1], math.inf, 1
+    probe = x[:: max(1, len(x) // TRIED)][:TRIED]
+    if within is None:  # the k-th distance within the sample is above that within all
+        d = np.sqrt(V.distances(probe, x, "l2"))
+        within = np.partition(d, min(k, d.shape[1] - 1), axis=1)[:, min(k, d.shape[1] - 1), None]
+    while m <= min(MOST_CELLS, max(1, len(x) // 4)):
+        pivots = V.centres_of(x, m, iterations=4)
+        parts = [(d.argmin(axis=1), d.min(axis=1)) for _, d in distances_in_pieces(x, pivots)]
+        own, near = np.concatenate([c for c, _ in parts]), np.concatenate([d for _, d in parts])
+        low, high = np.full(m, np.inf), np.full(m, -np.inf)
+        np.minimum.at(low, own, near)
+        np.maximum.at(high, own, near)
+        sizes = np.bincount(own, minlength=m)
+        cells = Cells.of(pivots, low, high, sizes)
+        visited = cells.bounds(next(d for _, d in distances_in_pieces(probe, pivots, len(probe)))) <= within
+        share = sizes / len(x)
+        sent, pairs = (visited * np.ceil(n * share / SIDE)).sum(axis=1).mean(), (visited * n * share).sum(axis=1).mean()
+        cost = 2 * sent * SEND + pairs * MEASURE
+        if cost < least:
+            best, least = pivots, cost
+        m *= 4
+    return best
+
+
+def dealt(vectors: DataFrame, metric: str, path: str, n_cells: int | None, within: float | None, k: int = 1) -> tuple[DataFrame, Cells]:
     """vectors (id, v) with cell and dist, written; and the cells.  Pivots are centres of k-means over SAMPLE vectors at
-    most; any pivots give the same results."""
-    n = vectors.count()
-    wanted = n_cells or max(1, min(MOST_CELLS, math.isqrt(max(n, 1)) * 2, -(-n // CELL_ROWS) * 4))
-    pivots = points(V.fit_cells(vectors, wanted, vector="v", max_rows=SAMPLE), metric)
-    if not len(pivots):
-        pivots = np.zeros((1, 1))
+    most, and chosen for distances `within` or the k-th; any pivots give the same results."""
+    x = points(V.sampled(vectors, "v", SAMPLE), metric)
+    pivots = np.zeros((1, 1)) if not len(x) else V.centres_of(x, n_cells) if n_cells else chosen_pivots(x, vectors.count(), within, k)
     homed = written(nearest_pivot(vectors, pivots, metric), path)
     stats = homed.groupBy("cell").agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("*").alias("n")).toPandas()  # a row for each pivot
     low, high, sizes = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
@@ -118,7 +145,8 @@ def meet(visitors: DataFrame, homed: DataFrame, cells: Cells, work, schema: str,
     visitors = written(visitors, f"{folder}/{name}")
     counts = visitors.groupBy("cell").agg(F.count("*").alias("n")).collect()  # a row for each pivot
     spark = homed.sparkSession
-    table = [(r["cell"], -(-r["n"] // VISITORS), -(-int(cells.sizes[r["cell"]]) // SIDE)) for r in counts]
+    most = max(1, BLOCK_BYTES // (8 * cells.pivots.shape[1]))
+    table = [(r["cell"], -(-r["n"] // min(VISITORS, most)), -(-int(cells.sizes[r["cell"]]) // min(SIDE, most))) for r in counts]
     grid = F.broadcast(spark.createDataFrame(table, "cell int, vb long, sb long"))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -144,7 +172,7 @@ def knn_cells(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null")
     copies = Window.partitionBy("v").orderBy("id")
     rows = written(rows.withColumn("__copy", F.row_number().over(copies)).where(F.col("__copy") <= k).drop("__copy"), f"{folder}/vectors")
-    homed, cells = dealt(rows, metric, f"{folder}/homed", n_cells)
+    homed, cells = dealt(rows, metric, f"{folder}/homed", n_cells, None, k)
     wanted = written(queries.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null"), f"{folder}/queries")
     shared = spark.sparkContext.broadcast(cells)
 
@@ -200,18 +228,16 @@ def distance_of(threshold: float, metric: str) -> float:
     return math.sqrt(max(0.0, 1 / threshold - 1)) if threshold > 0 else math.inf
 
 
-def similar_classes(vectors: DataFrame, threshold: float, *, id_col: str = "vec_id", vector: str = "embedding", metric: str = "cosine", n_cells: int | None = None, measured: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """All pairs of different vectors whose similarity reaches the threshold, (i, j, similarity) by the least ids i < j
-    of equal vectors; and (rep, id, own): every id with the least id of its vector and whether equal vectors are similar.
-
-    A vector visits those cells whose bound is within the threshold's distance; of two cells that would visit each
-    other one does.  Null vectors are left out.  The pairs that were measured are added to `measured`.
-    """
+def _self_join(vectors: DataFrame, threshold: float, id_col: str, vector: str, metric: str, n_cells: int | None, measured: list[int] | None, keep, schema: str) -> tuple[DataFrame, DataFrame]:
+    """keep(visitors, vectors, rows of both that are similar, scores) for all blocks that meet; and the members of classes.
+    A vector visits those cells whose bound is within the threshold's distance; of two cells that would visit each other
+    one does."""
     spark, folder = vectors.sparkSession, working_folder(vectors.sparkSession)
     given = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null")
-    rows = written(given.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), f"{folder}/classes")
-    homed, cells = dealt(rows, metric, f"{folder}/homed", n_cells)
-    shared, within = spark.sparkContext.broadcast(cells), distance_of(threshold, metric)
+    rows = written(given.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "v", "n"), f"{folder}/classes")
+    within = distance_of(threshold, metric)
+    homed, cells = dealt(rows, metric, f"{folder}/homed", n_cells, within)
+    shared = spark.sparkContext.broadcast(cells)
 
     @F.pandas_udf("array<int>")
     def visits(v: pd.Series, home: pd.Series) -> pd.Series:
@@ -226,23 +252,56 @@ def similar_classes(vectors: DataFrame, threshold: float, *, id_col: str = "vec_
         return pd.Series(out)
 
     def compare(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(s):
-            return pd.DataFrame({"i": [], "j": [], "similarity": []}).astype({"i": np.int64, "j": np.int64, "similarity": np.float64})
-        scores = V.similarities(V.stack(q["v"]), V.stack(s["v"]), metric)
-        x, y = np.nonzero(scores >= threshold)
-        i, j = q["id"].to_numpy()[x], s["id"].to_numpy()[y]
-        keep = np.where(q["home"].to_numpy()[x] == s["cell"].to_numpy()[y], i < j, i != j)
-        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "similarity": scores[x, y][keep]})
+        out = [keep(q, s, np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        if len(q) and len(s):
+            mine, other, step = V.stack(q["v"]), V.stack(s["v"]), max(1, V.CELLS // len(s))
+            for a in range(0, len(q), step):
+                scores = V.similarities(mine[a : a + step], other, metric)
+                x, y = np.nonzero(scores >= threshold)
+                i, j = q["id"].to_numpy()[x + a], s["id"].to_numpy()[y]
+                once = np.where(q["home"].to_numpy()[x + a] == s["cell"].to_numpy()[y], i < j, i != j)
+                out.append(keep(q, s, x[once] + a, y[once], scores[x[once], y[once]]))
+        return pd.concat(out)
 
     visitors = homed.withColumn("home", F.col("cell")).withColumn("cell", F.explode(visits("v", "home"))).drop("dist")
-    pairs, n = meet(visitors, homed, cells, compare, "i long, j long, similarity double", folder, "visitors")
+    found, n = meet(visitors, homed, cells, compare, schema, folder, "visitors")
     if measured is not None:
         measured.append(n)
     zero = F.aggregate(F.transform("v", lambda x: F.abs(x).cast("double")), F.lit(0.0), lambda a, x: a + x) == 0
     own = (~zero if threshold > 0 else F.lit(True)) if metric == "cosine" else F.lit(True)
-    self_similar = F.lit(threshold <= 1) & own
-    members = given.join(rows.select(F.col("id").alias("rep"), F.col("v").alias("of")), F.col("v") == F.col("of")).select("rep", "id", self_similar.alias("own"))
-    return written(pairs, f"{folder}/pairs"), written(members, f"{folder}/members")
+    members = given.join(rows.select(F.col("id").alias("rep"), F.col("v").alias("of"), "n"), F.col("v") == F.col("of")).select("rep", "id", "n", (F.lit(threshold <= 1) & own).alias("own"))
+    return found, written(members, f"{folder}/members")
+
+
+def similar_classes(vectors: DataFrame, threshold: float, *, id_col: str = "vec_id", vector: str = "embedding", metric: str = "cosine", n_cells: int | None = None, measured: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """All pairs of different vectors whose similarity reaches the threshold, (i, j, similarity) by the least ids i < j
+    of equal vectors; and (rep, id, n, own): every id with the least id of its vector, how many have it, and whether
+    equal vectors are similar.
+
+    Null vectors are left out.  The pairs that were measured are added to `measured`.
+    """
+
+    def pairs(q: pd.DataFrame, s: pd.DataFrame, x: np.ndarray, y: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        i, j = q["id"].to_numpy(np.int64)[x], s["id"].to_numpy(np.int64)[y]
+        return pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "similarity": scores})
+
+    found, members = _self_join(vectors, threshold, id_col, vector, metric, n_cells, measured, pairs, "i long, j long, similarity double")
+    return written(found, f"{working_folder(vectors.sparkSession)}/pairs"), members
+
+
+def link_counts(vectors: DataFrame, threshold: float, *, id_col: str = "vec_id", vector: str = "embedding", metric: str = "cosine", n_cells: int | None = None) -> DataFrame:
+    """(id, n_links): for every id with a vector, how many others are similar.  Blocks count as they meet, so no pairs are
+    made; copies count by class."""
+
+    def sums(q: pd.DataFrame, s: pd.DataFrame, x: np.ndarray, y: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        there = np.bincount(x, weights=s["n"].to_numpy()[y], minlength=len(q)), np.bincount(y, weights=q["n"].to_numpy()[x], minlength=len(s))
+        out = pd.DataFrame({"rep": np.concatenate((q["id"].to_numpy(np.int64), s["id"].to_numpy(np.int64))), "links": np.concatenate(there).astype(np.int64)})
+        return out[out["links"] > 0]
+
+    found, members = _self_join(vectors, threshold, id_col, vector, metric, n_cells, None, sums, "rep long, links long")
+    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    total = F.coalesce("links", F.lit(0)) + F.when(F.col("own"), F.col("n") - 1).otherwise(0)
+    return members.join(linked, "rep", "left").select("id", total.alias("n_links"))
 
 
 def expanded(pairs: DataFrame, members: DataFrame, metric: str = "cosine") -> DataFrame:
@@ -253,15 +312,6 @@ def expanded(pairs: DataFrame, members: DataFrame, metric: str = "cosine") -> Da
     return across.unionByName(inner.select(F.col("x").alias("i"), F.col("y").alias("j"), F.lit(1.0).alias("similarity")))
 
 
-def class_link_counts(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, n_links) of every id, from similar_classes(): sums by class, no pairs of ids."""
-    sizes = members.groupBy("rep").agg(F.count("*").alias("n"), F.max("own").alias("own"))
-    both = pairs.select("i", "j").union(pairs.select("j", "i"))
-    linked = both.join(sizes.select(F.col("rep").alias("j"), "n"), "j").groupBy(F.col("i").alias("rep")).agg(F.sum("n").alias("linked"))
-    counts = sizes.join(linked, "rep", "left").select("rep", (F.coalesce("linked", F.lit(0)) + F.when(F.col("own"), F.col("n") - 1).otherwise(0)).alias("n_links"))
-    return members.join(counts, "rep").select("id", "n_links")
-
-
 def class_leaders(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(leader, member) of cluster.leaders() over all similar ids, from similar_classes().  Equal vectors are similar to the
     same others, so only the least id of a class can lead, and the others follow it or its leader."""

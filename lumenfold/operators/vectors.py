@@ -196,21 +196,29 @@ def link_counts(vectors: DataFrame, pairs: DataFrame, *, id_col: str = "vec_id")
     return vectors.select(id_col).join(counts, id_col, "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 
-def fit_cells(vectors: DataFrame, n_cells: int, *, vector: str = "embedding", max_rows: int = 50_000, iterations: int = 10, seed: int = 7) -> np.ndarray:
-    """Centroids of k-means over a sample of at most max_rows vectors, the documented bound of the fit."""
-    sample = vectors.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.col(vector))).limit(max_rows).select(vector).toPandas()
-    x = stack(sample[vector])
+def sampled(vectors: DataFrame, vector: str, max_rows: int) -> np.ndarray:
+    """At most max_rows vectors, by hash."""
+    return stack(vectors.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.col(vector))).limit(max_rows).select(vector).toPandas()[vector])
+
+
+def centres_of(x: np.ndarray, n: int, iterations: int = 10, seed: int = 7) -> np.ndarray:
+    """Centroids of k-means over the rows of x."""
     rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), min(n_cells, len(x)), replace=False)] if len(x) else x
+    centres = x[rng.choice(len(x), min(n, len(x)), replace=False)] if len(x) else x
     for _ in range(iterations if len(x) else 0):
         own = distances(x, centres, "l2").argmin(axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
-        n = np.bincount(own, minlength=len(centres))
-        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        n_own = np.bincount(own, minlength=len(centres))
+        centres = np.where(n_own[:, None] > 0, sums / np.maximum(n_own, 1)[:, None], centres)
     return centres
 
 
+def fit_cells(vectors: DataFrame, n_cells: int, *, vector: str = "embedding", max_rows: int = 50_000, iterations: int = 10, seed: int = 7) -> np.ndarray:
+    """Centroids of k-means over a sample of at most max_rows vectors, the documented bound of the fit."""
+    return centres_of(sampled(vectors, vector, max_rows), n_cells, iterations, seed)
+
+
 def with_cells(vectors: DataFrame, centres: np.ndarray, *, vector: str = "embedding", probes: int = 1, name: str = "cell") -> DataFrame:
     """vectors plus their nearest cell, or a row for each of their `probes` nearest cells."""
     shared = vectors.sparkSession.sparkContext.broadcast(centres)

@@ -144,8 +144,7 @@ def cosine_class_pairs(spark, sf_dir):
 @register("WITH " + _EDGES.format(t=0.3) + " SELECT v.vec_id, (SELECT count(*) FROM e WHERE e.i = v.vec_id OR e.j = v.vec_id) AS n_links FROM embeddings v")
 def cosine_link_counts(spark, sf_dir):
     """For each vector, how many others are similar."""
-    found = cells.class_link_counts(*cells.similar_classes(table(spark, sf_dir, "embeddings"), 0.3))
-    return found.withColumnRenamed("id", "vec_id")
+    return cells.link_counts(table(spark, sf_dir, "embeddings"), 0.3).withColumnRenamed("id", "vec_id")
 
 
 @register("SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.25")

@@ -93,7 +93,7 @@ def test_similar_classes(spark, monkeypatch, metric, threshold, copies):
     for a, b in want:
         links[a] += 1
         links[b] += 1
-    assert {r["id"]: r["n_links"] for r in cells.class_link_counts(pairs, members).collect()} == links
+    assert {r["id"]: r["n_links"] for r in cells.link_counts(df, threshold, metric=metric, n_cells=9).collect()} == links
     assert pairs.count() <= len({tuple(x) for x in v}) ** 2 / 2
 
 
