@@ -8,10 +8,11 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.operators import detect, lifecycle, vectors
+from lumenfold.operators import detect, lifecycle, stored_index, vectors
 from lumenfold.sources import images, reports
 from lumenfold.sources.catalog import Catalog
 from lumenfold.sources.config import Settings
+from lumenfold.sources.tables import forget
 from lumenfold.streaming import incremental
 
 
@@ -27,7 +28,7 @@ def search(spark: SparkSession, args, settings: Settings):
     if settings.search.index_type == "flat":
         found = vectors.knn_join(known, query, args.k, id_col="id", vector="vector")
     else:
-        indexed, centres = vectors.read_index(spark, f"{settings.catalog_dir}/index")
+        indexed, centres = stored_index.read(spark, f"{settings.catalog_dir}/index")
         found = vectors.search_cells(indexed, centres, query, args.k, probes=settings.search.probes, id_col="id", vector="vector")
     paths = catalog.read("images").select("id", F.col("file_path").alias("path"))
     out = found.join(paths, "id").select("rank", "path", "similarity").orderBy("rank")
@@ -37,19 +38,13 @@ def search(spark: SparkSession, args, settings: Settings):
 
 
 def index(spark: SparkSession, args, settings: Settings):
+    """Index the files of a folder that aren't yet; a stored index grows by their features only."""
     catalog = Catalog(spark, settings.catalog_dir)
-    incremental.index_folder(spark, catalog, args.folder, settings.index.methods)
-    if settings.search.index_type != "flat":
-        store_index(catalog, settings)
+    stored = None if settings.search.index_type == "flat" else f"{settings.catalog_dir}/index"
+    incremental.index_folder(spark, catalog, args.folder, settings.index.methods, index=stored, n_cells=settings.search.cells)
     return catalog.read("images").agg(F.count("*").alias("indexed"))
 
 
-def store_index(catalog: Catalog, settings: Settings) -> None:
-    """The cells of the first method's features, beside the catalog's tables; search reads them."""
-    known = catalog.features(settings.index.methods[0]).select(F.col("image_id").alias("id"), F.col("feature_vector").alias("vector"))
-    vectors.write_index(known, f"{settings.catalog_dir}/index", n_cells=settings.search.cells, id_col="id", vector="vector")
-
-
 def duplicates(spark: SparkSession, args, settings: Settings):
     """Groups of duplicates in a folder: (leader, n, bytes_saved, size_text), and a report where asked for."""
     scanned = images.scan(spark, args.folder, extensions=settings.index.extensions)
@@ -67,9 +62,10 @@ def duplicates(spark: SparkSession, args, settings: Settings):
 def maintain(spark: SparkSession, args, settings: Settings):
     catalog = Catalog(spark, settings.catalog_dir)
     if args.task == "compact":
-        catalog.compact(args.files, backup=f"{settings.catalog_dir}/backups")
+        catalog.compact(backup=f"{settings.catalog_dir}/backups")
     if args.task == "rebuild":
         catalog.clear("images", "features")
+        forget(spark, f"{settings.catalog_dir}/index")
         index(spark, args, settings)
     if args.task == "clean":
         plan = lifecycle.expiry_plan(images.scan(spark, args.folder), args.as_of, args.days)
@@ -95,7 +91,6 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("maintain")
     p.add_argument("task", choices=("verify", "compact", "clean", "rebuild"))
     p.add_argument("--folder")
-    p.add_argument("--files", type=int, default=8)
     p.add_argument("--days", type=int, default=30)
     p.add_argument("--as-of", default="1970-01-01")
     p.add_argument("--yes", action="store_true")

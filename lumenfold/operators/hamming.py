@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,10 +13,14 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars as S
 
-#: Beyond this distance bands are too short to select anything, and blocks of hashes are compared instead.
+#: Up to this distance hashes meet by bands that are equal; beyond it by bands that are near, or by blocks.
 MAX_BAND_DISTANCE = 8
 #: Rows of a side of a block.
 SIDE = 4_000
+#: The widest band, and the most cells that a hash may visit.
+WIDEST, MOST_PROBES = 16, 4_096
+#: Seconds to send a hash to a cell or block, to compare a pair, and to open a cell: only their ratios matter.
+SEND, COMPARE, OPEN = 2e-6, 2.5e-9, 5e-5
 
 
 def classes(df: DataFrame, hash_col: str, id_col: str) -> DataFrame:
@@ -65,6 +73,103 @@ def block_pairs(df: DataFrame, distance: int, *, group: str = "g") -> DataFrame:
     return rows.groupBy("g", "a", "b").applyInPandas(compare, "i long, j long, distance int")
 
 
+def near_bands(distance: int, bits: int, n: int) -> list[tuple[int, int, int]]:
+    """(lowest bit, width, radius) of n bands: two hashes within the distance are within the radius in one of them.  Were
+    they further apart in all, their distance would be more than the sum of all radii and n - 1 more."""
+    edges, each, rest = [bits * k // n for k in range(n + 1)], distance // n, distance % n
+    radii = [each if k <= rest else each - 1 for k in range(n)]
+    return [(a, b - a, min(r, b - a)) for a, b, r in zip(edges[:-1], edges[1:], radii, strict=True) if r >= 0]
+
+
+def probes(width: int, radius: int) -> int:
+    return sum(math.comb(width, k) for k in range(radius + 1))
+
+
+def chosen_bands(n: int, distance: int, bits: int) -> list[tuple[int, int, int]] | None:
+    """The bands that promise least work for n hashes, None for blocks.  A hash never visits more than MOST_PROBES cells."""
+    best, least = None, n * n / SIDE * SEND + n * n / 2 * COMPARE
+    for count in range(-(-bits // WIDEST), distance + 2):
+        bands = near_bands(distance, bits, count)
+        visits = sum(probes(w, r) for _, w, r in bands)
+        cost = n * visits * SEND + n * n * sum(probes(w, r) / 2**w for _, w, r in bands) * COMPARE + sum(min(2**w, n) for _, w, _ in bands) * OPEN
+        if visits <= MOST_PROBES and cost < least:
+            best, least = bands, cost
+    return best
+
+
+def cell_pairs(reps: DataFrame, distance: int, bands: list[tuple[int, int, int]]) -> DataFrame:
+    """(i, j, distance) of classes within the distance, by multi-index hashing: a hash lives in a cell for each band, by
+    the band's bits, and visits the cells whose bits differ in `radius` places at most.  A pair is found in several bands
+    and kept in the first that it is near in.
+
+    Cells with more than SIDE hashes or visitors are dealt into blocks; small cells share a task.  The driver holds a
+    number for each cell, 2**WIDEST for a band at most.
+    """
+    spark = reps.sparkSession
+    value = [F.call_function("shiftrightunsigned", F.col("hash"), F.lit(a)).bitwiseAND(F.lit((1 << w) - 1)) for a, w, _ in bands]
+    counted = reps.select(F.posexplode(F.array(*value)).alias("band", "value")).groupBy("band", "value").agg(F.count("*").alias("n")).toPandas()
+    masks = [np.array([sum(1 << b for b in c) for k in range(r + 1) for c in combinations(range(w), k)], np.int64) for _, w, r in bands]
+    homes, guests = [], []
+    for k, (_, w, _) in enumerate(bands):
+        own = counted[counted["band"] == k]
+        n = np.zeros(1 << w, np.int64)
+        n[own["value"].to_numpy(np.int64)] = own["n"]
+        visitors = np.zeros_like(n)
+        for m in masks[k]:
+            visitors += n[np.arange(1 << w) ^ m]
+        homes.append(-(-n // SIDE))
+        guests.append(np.where(n > 0, -(-visitors // SIDE), 0))
+    rows = int(counted.groupby("band")["n"].sum().max() if len(counted) else 0) * sum(map(len, masks))
+    bins = max(1, -(-rows // 200_000))
+    shared = spark.sparkContext.broadcast((bands, masks, homes, guests))
+
+    def spread(batches: Iterator[pd.DataFrame], visiting: bool) -> Iterator[pd.DataFrame]:
+        """(bin, key, hash, representative): every hash in its cells, or in those that it visits; key is band, value and
+        both blocks."""
+        bands, masks, homes, guests = shared.value
+        step = max(1, 500_000 // max(len(m) for m in masks)) if visiting else 500_000
+        for batch in batches:
+            for a in range(0, len(batch), step):
+                h, ids = batch["hash"].to_numpy()[a : a + step].view(np.uint64), batch["representative"].to_numpy(np.int64)[a : a + step]
+                for k, (low, w, _) in enumerate(bands):
+                    cell = ((h >> np.uint64(low)) & np.uint64((1 << w) - 1)).astype(np.int64)
+                    at = np.arange(len(h))
+                    if visiting:
+                        cell, at = (cell[:, None] ^ masks[k][None, :]).ravel(), np.repeat(at, len(masks[k]))
+                    own, other = (guests[k][cell], homes[k][cell]) if visiting else (homes[k][cell], guests[k][cell])
+                    cell, at, own, other = (x[(own > 0) & (other > 0)] for x in (cell, at, own, other))
+                    mine, copies = (ids[at] * 0x9E3779B1 >> 7) % own, np.repeat(np.arange(len(cell)), other)
+                    far = np.arange(len(copies)) - np.repeat(np.cumsum(other) - other, other)
+                    mine, cell, at = mine[copies], cell[copies], at[copies]
+                    guest, home = (mine, far) if visiting else (far, mine)
+                    key = (np.int64(k) << 56) | (cell << 40) | (guest << 20) | home
+                    yield pd.DataFrame({"bin": (key ^ (key >> 20) * 31 ^ (key >> 40) * 1_000_003) % bins, "key": key, "hash": h[at].view(np.int64), "representative": ids[at]})
+
+    def compare(v: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"i": [], "j": [], "distance": []}).astype({"i": np.int64, "j": np.int64, "distance": np.int32})]
+        v, s = v.sort_values("key"), s.sort_values("key")
+        keys, first = np.unique(s["key"].to_numpy(), return_index=True)
+        ends = np.append(first[1:], len(s))
+        lo, hi = np.searchsorted(v["key"].to_numpy(), keys), np.searchsorted(v["key"].to_numpy(), keys, "right")
+        hv, iv, hs, js = v["hash"].to_numpy().view(np.uint64), v["representative"].to_numpy(), s["hash"].to_numpy().view(np.uint64), s["representative"].to_numpy()
+        for key, a, b, c, d in zip(keys.tolist(), lo.tolist(), hi.tolist(), first.tolist(), ends.tolist(), strict=True):
+            for e in range(a, b, 1_000):
+                x = hv[e : min(e + 1_000, b), None] ^ hs[None, c:d]
+                near = np.bitwise_count(x)
+                y, z = np.nonzero((near <= distance) & (iv[e : min(e + 1_000, b), None] < js[None, c:d]))
+                for low, w, r in bands[: key >> 56]:
+                    fresh = np.bitwise_count((x[y, z] >> np.uint64(low)) & np.uint64((1 << w) - 1)) > r
+                    y, z = y[fresh], z[fresh]
+                if len(y):
+                    out.append(pd.DataFrame({"i": iv[e:b][y], "j": js[c:d][z], "distance": near[y, z].astype(np.int32)}))
+        return pd.concat(out)
+
+    schema = "bin long, key long, hash long, representative long"
+    rows = reps.select("hash", "representative")
+    guests_of = rows.mapInPandas(lambda it: spread(it, True), schema).groupBy("bin")
+    return guests_of.cogroup(rows.mapInPandas(lambda it: spread(it, False), schema).groupBy("bin")).applyInPandas(compare, "i long, j long, distance int")
+
+
 def near_pairs(df: DataFrame, distance: int, *, hash_col: str = "hash", id_col: str = "id", bucket: str | None = None, bits: int = 64) -> DataFrame:
     """(i, j, distance) between classes of equal hashes (within a bucket, where one is given); ids must be numbers.
 
@@ -77,7 +182,8 @@ def near_pairs(df: DataFrame, distance: int, *, hash_col: str = "hash", id_col:
     reps = classes(df, hash_col, id_col)
     if distance <= MAX_BAND_DISTANCE * bits // 64:
         return band_pairs(reps, distance, bits)
-    return block_pairs(reps.withColumn("g", F.lit(0)), distance)
+    bands = chosen_bands(reps.count(), distance, bits)
+    return cell_pairs(reps, distance, bands) if bands else block_pairs(reps.withColumn("g", F.lit(0)), distance)
 
 
 def near_links(df: DataFrame, distance: int, *, hash_col: str = "hash", id_col: str = "id", bucket: str | None = None, bits: int = 64) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars as S
-from lumenfold.operators import cells, cluster, frames, groups, hamming, ordered, stats, vectors
+from lumenfold.operators import cells, cluster, frames, groups, hamming, ordered, stats, stored_index, vectors
+from lumenfold.sources.catalog import Catalog
+from lumenfold.sources.tables import working_folder
 
 AS_OF = "1999-01-01 00:00:00"
 REGISTERED: dict[str, tuple] = {}
@@ -115,6 +117,39 @@ def neighbour_paths(spark, sf_dir):
     return vectors.knn_join(*_queries(spark, sf_dir), 10).join(paths, "id").select("query_id", "rank", "id", "path")
 
 
+@register(_KNN.format(measure=_L2, which="q.vec_id % 100 = 0", similarity="1 / (1 + d)", k=5))
+def index_growth(spark, sf_dir):
+    """Search by an index that was stored of nine tenths of the vectors, with the others added, some of them in place of
+    former ones, and a cell split; all cells are looked into."""
+    v, queries = _queries(spark, sf_dir)
+    folder = working_folder(spark) + "/index"
+    former = v.where("vec_id % 10 = 4").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    stored_index.create(v.where("vec_id % 10 < 4 or vec_id % 10 > 5").unionByName(former, allowMissingColumns=True), folder, n_cells=8)
+    stored_index.add(v.where("vec_id % 10 = 4 or vec_id % 10 = 5"), folder, most=max(1, v.count() // 4))
+    indexed, centres = stored_index.read(spark, folder)
+    return _rounded(vectors.search_cells(indexed, centres, queries, 5, probes=len(centres)))
+
+
+@register()
+def index_codes_search(spark, sf_dir):
+    """Search by codes of a byte for two numbers; the best 100 of each query are measured exactly."""
+    v, queries = _queries(spark, sf_dir)
+    folder = working_folder(spark) + "/index"
+    stored_index.create(v, folder, n_cells=16, parts=32)
+    return _rounded(stored_index.search_codes(spark, folder, queries, 10, probes=14))
+
+
+@register("SELECT vec_id AS image_id, concat('label', label) AS feature_type, len(embedding) AS n, round(CASE WHEN vec_id % 10 = 0 THEN embedding[-1] ELSE embedding[1] END::DOUBLE, 6) AS first FROM embeddings")
+def catalog_upserts(spark, sf_dir):
+    """Features of the catalog after all vectors were put in, and every tenth once more with another value, twice."""
+    catalog = Catalog(spark, working_folder(spark))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.concat(F.lit("label"), "label").alias("feature_type"), F.col("embedding").alias("feature_vector"))
+    catalog.cache_features(rows)
+    for _ in range(2):
+        catalog.cache_features(rows.where("image_id % 10 = 0").withColumn("feature_vector", F.reverse("feature_vector")))
+    return catalog.read("features").select("image_id", "feature_type", F.size("feature_vector").cast("long").alias("n"), F.round(F.col("feature_vector")[0].cast("double"), 6).alias("first"))
+
+
 # ---- similarity joins and clusters
 
 _EDGES = "e AS (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {t})"
@@ -203,6 +238,13 @@ def blocked_hamming_pairs(spark, sf_dir):
     return hamming.near_links(_hashes(spark, sf_dir), 20, id_col="vec_id", bucket="label")
 
 
+@register(f"WITH h AS (SELECT vec_id, {_BITS} AS b FROM embeddings), c AS (SELECT b, min(vec_id) AS r FROM h GROUP BY b) SELECT x.r AS i, y.r AS j, hamming(x.b, y.b)::INT AS distance FROM c x JOIN c y ON x.r < y.r WHERE hamming(x.b, y.b) <= 16")
+def hamming_cell_pairs(spark, sf_dir):
+    """Classes of equal hashes that differ in 16 bits at most, by cells of six bands whose bits are near."""
+    reps = hamming.classes(_hashes(spark, sf_dir), "hash", "vec_id")
+    return hamming.cell_pairs(reps, 16, hamming.near_bands(16, 64, 6))
+
+
 _PREFIX = "('0x' || substr(md5(text), 1, 4))::INT"
 
 

@@ -1,17 +1,28 @@
-"""The image catalog: schemas, upserts by key, lookups, and what is new.  Tables are Parquet."""
+"""The image catalog: schemas, upserts by key, lookups, and what is new.
 
-from __future__ import annotations
+Tables are Parquet, partitioned by a hash of their key (features by type too), with Bloom filters on what is looked up.
+An upsert rewrites the partitions of its rows and no others; a lookup reads one.
+"""
 
-import uuid
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.sources.tables import exists, recover, replace_partitions, working_folder, written
+
 IMAGES_DDL = "id long, file_path string, file_name string, file_size long, width int, height int, format string, created_date timestamp, modified_date timestamp, indexed_date timestamp, perceptual_hash string, is_blurry boolean, blur_score double"
 FEATURES_DDL = "id long, image_id long, feature_type string, feature_vector array<float>, extraction_date timestamp"
 DUPLICATES_DDL = "id long, representative_image_id long, duplicate_image_id long, similarity_score double, detection_date timestamp"
 TABLES = {"images": IMAGES_DDL, "features": FEATURES_DDL, "duplicate_groups": DUPLICATES_DDL}
 KEYS = {"images": ["file_path"], "features": ["image_id", "feature_type"], "duplicate_groups": ["representative_image_id", "duplicate_image_id"]}
+#: What a table is partitioned by: `bucket`, the hash of the first key modulo BUCKETS, and more.
+PARTITIONS = {"images": ["bucket"], "features": ["feature_type", "bucket"], "duplicate_groups": ["bucket"]}
+BUCKETS = 64
+#: Columns with a Bloom filter for each row group.
+BLOOM = {"images": ["file_path", "id"], "features": ["image_id"], "duplicate_groups": ["representative_image_id"]}
+#: Columns that say when a row was written: a row that differs in nothing else is not written again.
+STAMPS = {"indexed_date", "extraction_date", "detection_date"}
 
 
 def latest(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
@@ -21,44 +32,78 @@ def latest(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
     return newest.select(*[F.col(c) if c in keys else F.col(f"__row.`{c}`").alias(c) for c in df.columns])
 
 
+def bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 class Catalog:
-    """Tables below a folder; each table's current version is named by a small pointer table, so a failed write leaves
-    the former version as it was."""
+    """Tables below a folder.  Writes replace partitions through rows that wait beside the table, see
+    tables.replace_partitions(); what was interrupted is finished by whoever opens the table next.  One writer at a time;
+    a reader may miss a partition for the moment in which it is replaced."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.folder}/{name}/current"
+    def _path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
 
-    def _version(self, name: str) -> str | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(name))
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        row = self.spark.read.schema("version string, at long").json(self._pointer(name)).orderBy(F.desc("at")).first()
-        return row["version"] if row else None
+    def _stored(self, name: str) -> DataFrame:
+        """The table with its bucket column."""
+        recover(self.spark, self._path(name))
+        schema = f"{TABLES[name]}, bucket int"
+        if not exists(self.spark, self._path(name)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._path(name))
+
+    def _fitted(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows with the table's columns and types; those that are missing are null."""
+        fields = self.spark.createDataFrame([], TABLES[name]).schema
+        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+    def _options(self, name: str) -> dict[str, str]:
+        return {f"parquet.bloom.filter.enabled#{c}": "true" for c in BLOOM[name]}
 
     def read(self, name: str) -> DataFrame:
         """The table; empty where nothing was written yet."""
-        version = self._version(name)
-        if version is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}/{version}")
-
-    def write(self, name: str, df: DataFrame, *, files: int | None = None) -> None:
-        """Replace the table; `files` compacts it to that many files."""
-        version, at = f"v-{uuid.uuid4().hex}", self.spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("at")).first()["at"]
-        fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], TABLES[name]).schema]
-        out = df.select(*fields)
-        (out.repartition(files) if files else out).write.parquet(f"{self.folder}/{name}/{version}")
-        self.spark.createDataFrame([(version, at)], "version string, at long").coalesce(1).write.mode("append").json(self._pointer(name))
-
-    def upsert(self, name: str, rows: DataFrame) -> None:
-        """Insert rows, or replace those with the same key; of several new rows of a key one stays."""
-        fields = self.spark.createDataFrame([], TABLES[name]).schema
-        new = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).withColumn("__v", F.lit(1))
-        both = self.read(name).withColumn("__v", F.lit(0)).unionByName(new)
-        self.write(name, latest(both, KEYS[name], ["__v"]).drop("__v"))
+        return self._stored(name).drop("bucket")
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """Replace the table."""
+        rows = self._fitted(name, df).withColumn("bucket", bucket(F.col(KEYS[name][0])))
+        replace_partitions(rows, self._path(name), PARTITIONS[name], whole=True, options=self._options(name))
+
+    def upsert(self, name: str, rows: DataFrame) -> list[tuple]:
+        """Insert rows, or replace those with the same key; of several new rows of a key one stays.  Rows that are there
+        already, but for the time they were written at, change nothing.  Returns the partitions that were rewritten."""
+        folder, by = working_folder(self.spark), PARTITIONS[name]
+        new = self._fitted(name, rows).withColumn("bucket", bucket(F.col(KEYS[name][0])))
+        new = written(latest(new, KEYS[name], [c for c in new.columns if c not in KEYS[name]]), f"{folder}/new")
+
+        def reached(df: DataFrame) -> list[tuple]:
+            """Partitions of df: BUCKETS for each type at most."""
+            return sorted((tuple(r) for r in df.select(*by).distinct().collect()), key=str)
+
+        def within(df: DataFrame, parts: list[tuple]) -> DataFrame:
+            """Pruned by every partition column, then exact."""
+            for k, c in enumerate(by):
+                values = {p[k] for p in parts}
+                df = df.where(F.col(c).isin([v for v in values if v is not None]) | (F.col(c).isNull() if None in values else F.lit(False)))
+            exact = self.spark.createDataFrame(parts, ", ".join(f"of_{c} {df.schema[c].dataType.simpleString()}" for c in by))
+            return df.join(F.broadcast(exact), [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by], "left_semi")
+
+        parts = reached(new)
+        if not parts:
+            return []
+        stored = self._stored(name)
+        content = [c for c in stored.columns if c not in STAMPS]
+        old = within(stored, parts).select(*[F.col(c).alias(f"was_{c}") for c in content])
+        changed = written(new.join(old, [F.col(c).eqNullSafe(F.col(f"was_{c}")) for c in content], "left_anti"), f"{folder}/changed")
+        parts = reached(changed)
+        if parts:
+            keys = changed.select(*[F.col(c).alias(f"is_{c}") for c in KEYS[name]])
+            rest = within(stored, parts).join(keys, [F.col(c).eqNullSafe(F.col(f"is_{c}")) for c in KEYS[name]], "left_anti")
+            replace_partitions(rest.unionByName(changed), self._path(name), by, options=self._options(name))
+        return parts
 
     def backup(self, folder: str) -> None:
         """Copy all tables as they are now below `folder`/time stamp."""
@@ -66,12 +111,12 @@ class Catalog:
         for name in TABLES:
             self.read(name).write.mode("errorifexists").parquet(f"{folder.rstrip('/')}/{stamp}/{name}")
 
-    def compact(self, files: int, *, backup: str | None = None) -> None:
-        """Rewrite all tables to `files` files each, after a backup where one is asked for."""
+    def compact(self, *, backup: str | None = None) -> None:
+        """Rewrite all tables to one file a partition, after a backup where one is asked for."""
         if backup:
             self.backup(backup)
         for name in TABLES:
-            self.write(name, self.read(name), files=files)
+            self.write(name, self.read(name))
 
     def clear(self, *names: str) -> None:
         """Empty the named tables (all where none is named), so that an index can be built anew."""
@@ -86,11 +131,15 @@ class Catalog:
         self.upsert("features", rows.withColumn("id", F.xxhash64("image_id", "feature_type")).withColumn("extraction_date", F.current_timestamp()))
 
     def image(self, path: str) -> DataFrame:
-        return self.read("images").where(F.col("file_path") == path)
+        """The row of a file: one partition is read, and in it row groups whose Bloom filter admits the path."""
+        return self._stored("images").where((F.col("bucket") == bucket(F.lit(path))) & (F.col("file_path") == path)).drop("bucket")
 
     def features(self, feature_type: str, image: int | None = None) -> DataFrame:
-        rows = self.read("features").where(F.col("feature_type") == feature_type)
-        return rows if image is None else rows.where(F.col("image_id") == image)
+        """The features of a type, or those of one image, which lie in one partition."""
+        rows = self._stored("features").where(F.col("feature_type") == feature_type)
+        if image is not None:
+            rows = rows.where((F.col("bucket") == bucket(F.lit(image).cast("long"))) & (F.col("image_id") == image))
+        return rows.drop("bucket")
 
     def new_files(self, scanned: DataFrame, path_col: str = "path") -> DataFrame:
         """Scanned files that the catalog doesn't have."""

@@ -84,7 +84,7 @@ def test_catalog_and_stream(spark, folder, tmp_path):
     best = vectors.knn_join(known, known.where(F.col("id") == path["id"]), 3, id_col="id", vector="vector").collect()
     assert path["id"] in [r["id"] for r in best if r["similarity"] > 0.999]
     assert catalog.image(path["file_path"]).count() == 1
-    catalog.write("images", catalog.read("images"), files=1)
+    catalog.write("images", catalog.read("images"))
     assert catalog.read("images").count() == 4
 
 
@@ -94,7 +94,7 @@ def test_command_line(spark, folder, tmp_path):
     assert cli.index(spark, args, settings).first()["indexed"] == 4
     args = cli.parser().parse_args(["search", f"{folder}/original.png", "-k", "2", "-o", f"{tmp_path}/out"])
     assert cli.search(spark, args, settings).count() == 2 and spark.read.json(f"{tmp_path}/out").count() == 2
-    args = cli.parser().parse_args(["maintain", "compact", "--files", "1"])
+    args = cli.parser().parse_args(["maintain", "compact"])
     cli.maintain(spark, args, settings)
     backups = list((tmp_path / "catalog/backups").iterdir())
     assert len(backups) == 1 and spark.read.parquet(f"file://{backups[0]}/images").count() == 4

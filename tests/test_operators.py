@@ -87,6 +87,30 @@ def test_near_hashes_equal_brute_force(spark, distance):
     assert sorted((r["i"], r["j"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize(("distance", "count"), [(3, 4), (12, 4), (12, 6), (18, 5), (24, 6), (24, 8)])
+def test_near_bands_equal_brute_force(spark, monkeypatch, distance, count):
+    """Multi-index hashing with small blocks, where a third of all hashes share a band's bits."""
+    monkeypatch.setattr(hamming, "SIDE", 20)
+    rng = np.random.default_rng(distance)
+    base = rng.integers(-(2**63), 2**63 - 1, 120)
+    planted = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, distance + 2), replace=False)) for b in base]
+    values = list(dict.fromkeys([int(b) for b in base] + planted + [(int(b) & ~0xFFFF) | 0x1234 for b in base]))
+    want = sorted((i, j, bin((v ^ w) & (2**64 - 1)).count("1")) for i, v in enumerate(values) for j, w in enumerate(values) if i < j and bin((v ^ w) & (2**64 - 1)).count("1") <= distance)
+    reps = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "hash long, representative long")
+    got = hamming.cell_pairs(reps, distance, hamming.near_bands(distance, 64, count))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_chosen_bands():
+    """Bands beat blocks for many hashes, and no hash visits more cells than the bound; radii cover the distance."""
+    assert hamming.chosen_bands(1_000, 12, 64) is None
+    for n, distance in ((3_000_000, 10), (10_000_000, 12), (100_000_000, 16)):
+        bands = hamming.chosen_bands(n, distance, 64)
+        assert bands and sum(hamming.probes(w, r) for _, w, r in bands) <= hamming.MOST_PROBES
+        assert sum(r + 1 for _, _, r in bands) > distance and sum(w for _, w, _ in bands) <= 64
+    assert hamming.near_bands(3, 64, 4) == [(0, 16, 0), (16, 16, 0), (32, 16, 0), (48, 16, 0)]
+
+
 def test_blocks_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SIDE", 7)
     monkeypatch.setattr(hamming, "SIDE", 7)
