@@ -2,14 +2,15 @@
 
 Vectors belong to the cell of their nearest pivot.  A cell knows how near and how far from its pivot its vectors are, so
 the triangle inequality bounds the distance of any vector to all of a cell, and a vector only travels to cells that may
-hold something near enough.  Cells may be of any size: the vectors of a cell, and what comes to visit it, are dealt into
-blocks, and a pair of blocks is one task's work.  The driver holds pivots and three numbers a cell.
+hold something near enough.  Cells may be of any size: what comes to visit a cell is dealt into blocks that fit into
+memory, and the vectors of the cell stream past each of them, in several tasks where they are many.  The driver holds
+pivots and three numbers a cell.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +22,8 @@ from lumenfold.operators import cluster
 from lumenfold.operators import vectors as V
 from lumenfold.sources.tables import forget, working_folder, written
 
-#: The most cells; rows of a block of a cell and of its visitors, and bytes of such a block's vectors.
-MOST_CELLS, SIDE, VISITORS, BLOCK_BYTES = 1_024, 8_192, 8_192, 16 << 20
+#: The most cells; rows of a block of visitors, and bytes of its vectors; rows that stream past it in one task.
+MOST_CELLS, VISITORS, BLOCK_BYTES, STREAM = 1_024, 8_192, 16 << 20, 1 << 20
 #: Vectors that pivots are fitted on, at most, and those of them that the number of cells is chosen by.
 SAMPLE, TRIED = 8_192, 1_000
 #: Seconds to send a vector to a block, and to measure a pair: only their ratio matters, for the number of cells.
@@ -118,9 +119,9 @@ def chosen_pivots(x: np.ndarray, n: int, within: float | None, k: int) -> np.nda
         sizes = np.bincount(own, minlength=m)
         cells = Cells.of(pivots, low, high, sizes)
         visited = cells.bounds(next(d for _, d in distances_in_pieces(probe, pivots, len(probe)))) <= within
-        share = sizes / len(x)
-        sent, pairs = (visited * np.ceil(n * share / SIDE)).sum(axis=1).mean(), (visited * n * share).sum(axis=1).mean()
-        cost = 2 * sent * SEND + pairs * MEASURE
+        share, pairs = sizes / len(x), (visited * n * sizes / len(x)).sum(axis=1).mean()
+        sent = (visited * np.ceil(n * share / STREAM)).sum(axis=1).mean() + (share * np.ceil(n * visited.mean(axis=0) / VISITORS)).sum()
+        cost = sent * SEND + pairs * MEASURE
         if cost < least:
             best, least = pivots, cost
         m *= 4
@@ -139,22 +140,130 @@ def dealt(vectors: DataFrame, metric: str, path: str, n_cells: int | None, withi
     return homed, Cells.of(pivots, low, high, sizes)
 
 
-def meet(visitors: DataFrame, homed: DataFrame, cells: Cells, work, schema: str, folder: str, name: str) -> tuple[DataFrame, int]:
-    """work(visitors, vectors) for each pair of blocks of each cell: visitors have id and cell; and how many pairs of
-    rows that are.  Both sides travel once for each block of the other in their cell."""
+def meet(visitors: DataFrame, homed: DataFrame, cells: Cells, work: Callable[[pd.DataFrame], Work], schema: str, folder: str, name: str) -> tuple[DataFrame, int]:
+    """What work(block of visitors) makes of the vectors of their cell, and how many pairs of rows meet.  visitors have id,
+    v and cell; both may have home and n.  A task holds a block of visitors and one batch of the cell."""
     visitors = written(visitors, f"{folder}/{name}")
     counts = visitors.groupBy("cell").agg(F.count("*").alias("n")).collect()  # a row for each pivot
     spark = homed.sparkSession
-    most = max(1, BLOCK_BYTES // (8 * cells.pivots.shape[1]))
-    table = [(r["cell"], -(-r["n"] // min(VISITORS, most)), -(-int(cells.sizes[r["cell"]]) // min(SIDE, most))) for r in counts]
-    grid = F.broadcast(spark.createDataFrame(table, "cell int, vb long, sb long"))
+    cores = spark.sparkContext.defaultParallelism
+    total = sum(r["n"] for r in counts)
+    most = max(1, min(VISITORS, BLOCK_BYTES // (8 * cells.pivots.shape[1]), max(500, total // (4 * cores))))
+    table, groups = [], 0
+    for r in counts:
+        blocks, streams = -(-r["n"] // most), -(-int(cells.sizes[r["cell"]]) // STREAM)
+        if streams:
+            table.append((r["cell"], blocks, streams, groups))
+            groups += blocks * streams
+    grid = F.broadcast(spark.createDataFrame(table, "cell int, blocks long, streams long, first long"))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = visitors.join(grid, "cell").withColumn("v_block", own("vb")).withColumn("s_block", every("sb")).drop("vb", "sb")
-    right = homed.join(grid, "cell").withColumn("s_block", own("sb")).withColumn("v_block", every("vb")).drop("vb", "sb")
-    keys = ["cell", "v_block", "s_block"]
-    out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, schema)
-    return out, sum(r["n"] * int(cells.sizes[r["cell"]]) for r in counts)
+
+    def side(rows: DataFrame, tag: int, block, stream) -> DataFrame:
+        more = [(F.col(c) if c in rows.columns else F.lit(None)).cast("long").alias(c) for c in ("home", "n")]
+        placed = rows.join(grid, "cell").withColumn("block", block).withColumn("stream", stream)
+        return placed.select((F.col("first") + F.col("block") * F.col("streams") + F.col("stream")).alias("g"), F.lit(tag).alias("tag"), "id", "v", "cell", *more)
+
+    both = side(visitors, 0, own("blocks"), every("streams")).unionByName(side(homed, 1, every("blocks"), own("streams")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, held, at_work = None, [], None
+        for batch in batches:
+            turns = np.flatnonzero(np.diff(batch["g"] * 2 + batch["tag"])) + 1
+            for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(batch)], strict=True):
+                piece = batch.iloc[a:b]
+                if not len(piece):
+                    continue
+                if piece["g"].iloc[0] != group:
+                    if at_work:
+                        yield from at_work.end()
+                    group, held, at_work = piece["g"].iloc[0], [], None
+                if piece["tag"].iloc[0] == 0:
+                    held.append(piece)
+                elif held:
+                    at_work = at_work or work(pd.concat(held, ignore_index=True))
+                    yield from at_work.feed(piece)
+        if at_work:
+            yield from at_work.end()
+
+    parts = max(1, min(groups, 64 * cores))
+    dealt_out = both.repartitionById(parts, F.pmod("g", F.lit(parts)).cast("int"))
+    return dealt_out.sortWithinPartitions("g", "tag").mapInPandas(run, schema), sum(r["n"] * int(cells.sizes[r["cell"]]) for r in counts)
+
+
+class Work:
+    """What a block of visitors makes of the vectors that stream past it."""
+
+    def __init__(self, visitors: pd.DataFrame):
+        self.visitors, self.points = visitors, V.stack(visitors["v"])
+
+    def feed(self, some: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def end(self) -> Iterator[pd.DataFrame]:
+        return iter(())
+
+
+class Nearest(Work):
+    """Keeps the k nearest of each visitor: (query_id, id, d)."""
+
+    def __init__(self, visitors: pd.DataFrame, k: int, metric: str):
+        super().__init__(visitors)
+        self.k, self.metric = k, metric
+        self.ids, self.d = np.zeros((len(visitors), 0), np.int64), np.zeros((len(visitors), 0))
+
+    def feed(self, some: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ids, d = V.nearest(self.points, V.stack(some["v"]), some["id"].to_numpy(np.int64), self.k, self.metric)
+        ids, d = np.hstack((self.ids, ids)), np.hstack((self.d, d))
+        order = np.lexsort((ids, d), axis=1)[:, : self.k]
+        self.ids, self.d = np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
+        return iter(())
+
+    def end(self) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"query_id": np.repeat(self.visitors["id"].to_numpy(np.int64), self.ids.shape[1]), "id": self.ids.ravel(), "d": self.d.ravel()})
+
+
+class Similar(Work):
+    """Finds what is similar enough: hits(rows of visitors, rows of `some`, scores)."""
+
+    def __init__(self, visitors: pd.DataFrame, threshold: float, metric: str):
+        super().__init__(visitors)
+        self.threshold, self.metric = threshold, metric
+
+    def hits(self, some: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        other, step = V.stack(some["v"]), max(1, V.CELLS // len(some))
+        for a in range(0, len(self.points), step):
+            scores = V.similarities(self.points[a : a + step], other, self.metric)
+            x, y = np.nonzero(scores >= self.threshold)
+            yield x + a, y, scores[x, y]
+
+
+class Pairs(Similar):
+    """(i, j, similarity), each pair once: within a cell from the smaller id's side."""
+
+    def feed(self, some: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for x, y, scores in self.hits(some):
+            i, j = self.visitors["id"].to_numpy(np.int64)[x], some["id"].to_numpy(np.int64)[y]
+            once = np.where(self.visitors["home"].to_numpy()[x] == some["cell"].to_numpy()[y], i < j, i != j)
+            yield pd.DataFrame({"i": np.minimum(i, j)[once], "j": np.maximum(i, j)[once], "similarity": scores[once]})
+
+
+class Counts(Similar):
+    """(rep, links): how many ids each visitor is similar to, itself excluded."""
+
+    def __init__(self, visitors: pd.DataFrame, threshold: float, metric: str):
+        super().__init__(visitors, threshold, metric)
+        self.links = np.zeros(len(visitors))
+
+    def feed(self, some: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        weights = some["n"].to_numpy()
+        for x, y, _ in self.hits(some):
+            other = self.visitors["id"].to_numpy(np.int64)[x] != some["id"].to_numpy(np.int64)[y]
+            self.links += np.bincount(x[other], weights=weights[y[other]], minlength=len(self.links))
+        return iter(())
+
+    def end(self) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"rep": self.visitors["id"].to_numpy(np.int64), "links": self.links.astype(np.int64)})
 
 
 # ---- nearest neighbours
@@ -176,44 +285,37 @@ def knn_cells(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "
     wanted = written(queries.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null"), f"{folder}/queries")
     shared = spark.sparkContext.broadcast(cells)
 
-    def first_cells(d: np.ndarray) -> np.ndarray:
-        """For each row (in order of distance) how many cells it takes to have k vectors."""
-        order = np.argsort(d, axis=1, kind="stable")
-        enough = np.cumsum(shared.value.sizes[order], axis=1) < k
-        return order, np.minimum(enough.sum(axis=1) + 1, d.shape[1])
-
     @F.pandas_udf("array<int>")
     def start(v: pd.Series) -> pd.Series:
+        """The nearest cells, as many as it takes to have k vectors."""
         out = []
         for _, d in shared.value.pieces(points(V.stack(v), metric, 1)):
-            order, n = first_cells(d)
+            order = np.argsort(d, axis=1, kind="stable")
+            n = np.minimum((np.cumsum(shared.value.sizes[order], axis=1) < k).sum(axis=1) + 1, d.shape[1])
             out += [o[:m].astype(np.int32) for o, m in zip(order, n, strict=True)]
         return pd.Series(out)
 
     @F.pandas_udf("array<int>")
-    def others(v: pd.Series, furthest: pd.Series) -> pd.Series:
+    def others(v: pd.Series, furthest: pd.Series, started: pd.Series) -> pd.Series:
         """Cells not visited yet whose bound does not exceed the k-th distance (all where there is none)."""
         out, far = [], reach(furthest.to_numpy(dtype=np.float64, na_value=np.inf), metric)
         for at, d in shared.value.pieces(points(V.stack(v), metric, 1)):
-            order, n = first_cells(d)
             near = (shared.value.bounds(d) <= far[at][:, None]) & (shared.value.sizes > 0)
-            for row, o, m in zip(near, order, n, strict=True):
-                row[o[:m]] = False
+            for row, done in zip(near, started[at], strict=True):
+                row[done] = False
                 out.append(np.flatnonzero(row).astype(np.int32))
         return pd.Series(out)
 
-    def search(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(s):
-            return pd.DataFrame({"query_id": [], "id": [], "d": []}).astype({"query_id": np.int64, "id": np.int64, "d": np.float64})
-        ids, d = V.nearest(V.stack(q["v"]), V.stack(s["v"]), s["id"].to_numpy(), k, metric)
-        return pd.DataFrame({"query_id": np.repeat(q["id"].to_numpy(), ids.shape[1]), "id": ids.ravel(), "d": d.ravel()})
+    def search(q: pd.DataFrame) -> Work:
+        return Nearest(q, k, metric)
 
     schema = "query_id long, id long, d double"
-    found, n = meet(wanted.withColumn("cell", F.explode(start("v"))), homed, cells, search, schema, folder, "start")
+    wanted = written(wanted.withColumn("started", start("v")), f"{folder}/started")
+    found, n = meet(wanted.select("id", "v", F.explode("started").alias("cell")), homed, cells, search, schema, folder, "start")
     found = written(found, f"{folder}/found")
     best = V.ranked(found, k).groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("d"))).alias("kth"))
     bounded = wanted.join(best, F.col("id") == F.col("query_id"), "left").drop("query_id")
-    more, m = meet(bounded.withColumn("cell", F.explode(others("v", "kth"))).drop("kth"), homed, cells, search, schema, folder, "others")
+    more, m = meet(bounded.select("id", "v", F.explode(others("v", "kth", "started")).alias("cell")), homed, cells, search, schema, folder, "others")
     if measured is not None:
         measured.append(n + m)
     return V.scored(V.ranked(found.unionByName(more), k), metric)
@@ -228,10 +330,9 @@ def distance_of(threshold: float, metric: str) -> float:
     return math.sqrt(max(0.0, 1 / threshold - 1)) if threshold > 0 else math.inf
 
 
-def _self_join(vectors: DataFrame, threshold: float, id_col: str, vector: str, metric: str, n_cells: int | None, measured: list[int] | None, keep, schema: str) -> tuple[DataFrame, DataFrame]:
-    """keep(visitors, vectors, rows of both that are similar, scores) for all blocks that meet; and the members of classes.
-    A vector visits those cells whose bound is within the threshold's distance; of two cells that would visit each other
-    one does."""
+def _self_join(vectors: DataFrame, threshold: float, id_col: str, vector: str, metric: str, n_cells: int | None, measured: list[int] | None, work, schema: str, *, once: bool) -> tuple[DataFrame, DataFrame]:
+    """What `work` makes of all vectors that may be similar, and the members of classes.  A vector visits those cells whose
+    bound is within the threshold's distance; with `once`, of two cells that would visit each other one does."""
     spark, folder = vectors.sparkSession, working_folder(vectors.sparkSession)
     given = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null")
     rows = written(given.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "v", "n"), f"{folder}/classes")
@@ -246,25 +347,13 @@ def _self_join(vectors: DataFrame, threshold: float, id_col: str, vector: str, m
             own, others = home[at][:, None], np.arange(d.shape[1])[None, :]
             # the cell with the smaller number visits if both numbers are odd or both even
             mine = np.where((own + others) % 2 == 0, own < others, own > others) | (own == others)
-            near = mine & (shared.value.bounds(d) <= within)
+            near = (mine if once else True) & (shared.value.bounds(d) <= within)
             near[np.arange(len(near)), home[at]] = True
             out += [np.flatnonzero(row).astype(np.int32) for row in near]
         return pd.Series(out)
 
-    def compare(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        out = [keep(q, s, np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
-        if len(q) and len(s):
-            mine, other, step = V.stack(q["v"]), V.stack(s["v"]), max(1, V.CELLS // len(s))
-            for a in range(0, len(q), step):
-                scores = V.similarities(mine[a : a + step], other, metric)
-                x, y = np.nonzero(scores >= threshold)
-                i, j = q["id"].to_numpy()[x + a], s["id"].to_numpy()[y]
-                once = np.where(q["home"].to_numpy()[x + a] == s["cell"].to_numpy()[y], i < j, i != j)
-                out.append(keep(q, s, x[once] + a, y[once], scores[x[once], y[once]]))
-        return pd.concat(out)
-
     visitors = homed.withColumn("home", F.col("cell")).withColumn("cell", F.explode(visits("v", "home"))).drop("dist")
-    found, n = meet(visitors, homed, cells, compare, schema, folder, "visitors")
+    found, n = meet(visitors, homed, cells, work, schema, folder, "visitors")
     if measured is not None:
         measured.append(n)
     zero = F.aggregate(F.transform("v", lambda x: F.abs(x).cast("double")), F.lit(0.0), lambda a, x: a + x) == 0
@@ -281,24 +370,15 @@ def similar_classes(vectors: DataFrame, threshold: float, *, id_col: str = "vec_
     Null vectors are left out.  The pairs that were measured are added to `measured`.
     """
 
-    def pairs(q: pd.DataFrame, s: pd.DataFrame, x: np.ndarray, y: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
-        i, j = q["id"].to_numpy(np.int64)[x], s["id"].to_numpy(np.int64)[y]
-        return pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "similarity": scores})
-
-    found, members = _self_join(vectors, threshold, id_col, vector, metric, n_cells, measured, pairs, "i long, j long, similarity double")
+    found, members = _self_join(vectors, threshold, id_col, vector, metric, n_cells, measured, lambda q: Pairs(q, threshold, metric), "i long, j long, similarity double", once=True)
     return written(found, f"{working_folder(vectors.sparkSession)}/pairs"), members
 
 
 def link_counts(vectors: DataFrame, threshold: float, *, id_col: str = "vec_id", vector: str = "embedding", metric: str = "cosine", n_cells: int | None = None) -> DataFrame:
-    """(id, n_links): for every id with a vector, how many others are similar.  Blocks count as they meet, so no pairs are
-    made; copies count by class."""
-
-    def sums(q: pd.DataFrame, s: pd.DataFrame, x: np.ndarray, y: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
-        there = np.bincount(x, weights=s["n"].to_numpy()[y], minlength=len(q)), np.bincount(y, weights=q["n"].to_numpy()[x], minlength=len(s))
-        out = pd.DataFrame({"rep": np.concatenate((q["id"].to_numpy(np.int64), s["id"].to_numpy(np.int64))), "links": np.concatenate(there).astype(np.int64)})
-        return out[out["links"] > 0]
+    """(id, n_links): for every id with a vector, how many others are similar.  Every vector counts what it meets,
+    so no pairs are made; copies count by class."""
 
-    found, members = _self_join(vectors, threshold, id_col, vector, metric, n_cells, None, sums, "rep long, links long")
+    found, members = _self_join(vectors, threshold, id_col, vector, metric, n_cells, None, lambda q: Counts(q, threshold, metric), "rep long, links long", once=False)
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     total = F.coalesce("links", F.lit(0)) + F.when(F.col("own"), F.col("n") - 1).otherwise(0)
     return members.join(linked, "rep", "left").select("id", total.alias("n_links"))

@@ -25,7 +25,7 @@ def clustered(rng, n, dim, centres, spread):
 @pytest.mark.parametrize("shape", ["clustered", "one point", "far away", "line", "zeros"])
 def test_knn_cells(spark, monkeypatch, metric, shape):
     """Small blocks and cells; a third of all rows at one point; points far from the origin; equal distances; zeros."""
-    monkeypatch.setattr(cells, "SIDE", 40)
+    monkeypatch.setattr(cells, "STREAM", 40)
     monkeypatch.setattr(cells, "VISITORS", 15)
     rng = np.random.default_rng(1)
     v = clustered(rng, 240, 5, 9, 0.1)
@@ -77,7 +77,7 @@ def brute_pairs(v, ids, threshold, metric):
 @pytest.mark.parametrize(("metric", "threshold"), [("cosine", 0.9), ("cosine", 0.2), ("cosine", -0.5), ("l2", 0.6)])
 @pytest.mark.parametrize("copies", [False, True])
 def test_similar_classes(spark, monkeypatch, metric, threshold, copies):
-    monkeypatch.setattr(cells, "SIDE", 30)
+    monkeypatch.setattr(cells, "STREAM", 30)
     monkeypatch.setattr(cells, "VISITORS", 30)
     rng = np.random.default_rng(3)
     v = np.round(clustered(rng, 150, 4, 8, 0.2), 6)
