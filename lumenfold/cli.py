@@ -69,8 +69,7 @@ def maintain(spark: SparkSession, args, settings: Settings):
         index(spark, args, settings)
     if args.task == "clean":
         plan = lifecycle.expiry_plan(images.scan(spark, args.folder), args.as_of, args.days)
-        for operation, source, outcome in lifecycle.apply(plan, dry_run=not args.yes):
-            print(operation, source, outcome)
+        return lifecycle.execute(plan, f"{settings.catalog_dir}/actions", dry_run=not args.yes).select("operation", "source", "outcome")
     return catalog.verify()
 
 

@@ -59,6 +59,14 @@ def resize(image: np.ndarray, height: int, width: int, method: str = "area") ->
     return np.einsum("ij,j...->i...", rows, np.einsum("kl,il...->ik...", cols, image.astype(np.float64)))
 
 
+def small(image: np.ndarray, side: int) -> np.ndarray:
+    """side x side x 3 floats from 0 to 1; gray pictures have three equal channels."""
+    colors = image[:, :, :3] if image.shape[2] >= 3 else np.repeat(image[:, :, :1], 3, axis=2)
+    rows, cols = (_axis_weights(n, side).astype(np.float32) for n in colors.shape[:2])
+    half = np.tensordot(rows, colors.astype(np.float32), axes=(1, 0))
+    return np.tensordot(half, cols, axes=(1, 1)).transpose(0, 2, 1) / np.float32(255)
+
+
 def hashes(image: np.ndarray, max_pixels: int, longest: int, method: str = "area") -> tuple[int, int, int]:
     """Perceptual, difference and wavelet hash of the gray image, with its longer side at `longest` if it has more than
     max_pixels: signs of the 8 x 8 lowest cosine coefficients of the 32 x 32 image against their median; whether a pixel

@@ -1,19 +1,23 @@
 """Action plans for files: delete to a trash folder, restore, empty, clear caches; and their execution.
 
-Operators return plans; nothing is touched until apply() runs one on the driver, dry by default.
+Operators return plans; nothing is touched until execute() runs one in tasks, or apply() a short one on the driver; both
+are dry by default.
 """
 
 from __future__ import annotations
 
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars as S
+from lumenfold.sources.tables import exists
 
 PLAN = "operation string, source string, destination string, timestamp timestamp"
 
@@ -59,6 +63,58 @@ def apply(plan: DataFrame, *, dry_run: bool = True) -> Iterator[tuple[str, str,
         yield row["operation"], row["source"], outcome
 
 
+LOG = PLAN + ", outcome string, run string"
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local, hdfs, s3, gs, abfs) and the path within it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), str(local(path)))
+
+
+def act(operation: str, source: str, destination: str | None) -> str:
+    """Do one row of a plan and say how it went.  What a task that was lost has done already is done."""
+    try:
+        at, path = file_system(source)
+        there = at.get_file_info(path).type != fs.FileType.NotFound
+        if operation == "remove":
+            if there:
+                at.delete_file(path)
+            return "done"
+        _, target = file_system(destination)
+        taken = at.get_file_info(target).type != fs.FileType.NotFound
+        if not there:
+            return "done" if taken else "error: no such file"
+        if taken:
+            return "error: the destination is taken"
+        at.create_dir(os.path.dirname(target), recursive=True)
+        at.move(path, target)
+        return "done"
+    except (OSError, ValueError) as error:
+        return f"error: {error}"
+
+
+def execute(plan: DataFrame, log: str, *, dry_run: bool = True, tasks: int | None = None) -> DataFrame:
+    """LOG rows of a plan that is carried out in tasks, wherever its files are.  Each row's outcome goes to the Parquet table
+    `log`; rows that are done there already are left out, so a second run of a plan does nothing, and a lost task's rows
+    may run again.  A destination that is taken is an error and nothing is overwritten.  Moves stay in one file system.
+    """
+    spark, run = plan.sparkSession, uuid.uuid4().hex
+    keys = ["operation", "source", "timestamp"]
+    rows = plan.select("operation", "source", "destination", "timestamp").dropDuplicates(keys)
+    if exists(spark, log):
+        done = spark.read.schema(LOG).parquet(log).where("outcome = 'done'").select(*[F.col(k).alias(f"of_{k}") for k in keys])
+        rows = rows.join(done, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys], "left_anti")
+    if dry_run:
+        return rows.withColumns({"outcome": F.lit("planned"), "run": F.lit(run)})
+
+    outcome = F.udf(act, "string", useArrow=False).asNondeterministic()
+    # files are moved while the log is written, once; what is returned reads the log
+    dealt = rows.repartition(tasks or spark.sparkContext.defaultParallelism * 4, "source")
+    found = dealt.withColumn("outcome", outcome("operation", "source", "destination")).withColumn("run", F.lit(run))
+    found.write.mode("append").parquet(log)
+    return spark.read.schema(LOG).parquet(log).where(F.col("run") == run)
+
+
 def is_allowed_folder(path: str, *, allow_system: bool = False) -> bool:
     """Whether a folder exists, can be read, and is no system folder."""
     full = os.path.realpath(local(path))

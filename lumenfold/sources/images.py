@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from lumenfold.functions import kernels as K
 from lumenfold.functions import pixels as P
@@ -140,9 +143,35 @@ def _descriptors():
     return column
 
 
+@dataclass(frozen=True)
+class BatchModel:
+    """A model that is loaded once in a Python worker and sees `batch` pictures at a time: load() returns a function of an
+    array (n, side, side, 3) of floats from 0 to 1 that returns n vectors."""
+
+    load: Callable[[], Callable[[np.ndarray], np.ndarray]]
+    side: int = 224
+    batch: int = 32
+
+
+def predicted(images: DataFrame, model: BatchModel) -> DataFrame:
+    """(path, vector) of a model.  Pictures are shrunk where they are decoded, so that what goes to the model has one
+    size; what can't be decoded has no row."""
+    side = model.side
+
+    @F.pandas_udf("array<float>")
+    def small(some: pd.DataFrame) -> pd.Series:
+        decoded = [K.decode(row) for row in some.to_dict("records")]
+        return pd.Series([None if x is None else K.small(x, side).ravel() for x in decoded], dtype=object)
+
+    predict = predict_batch_udf(model.load, return_type=ArrayType(FloatType()), batch_size=model.batch, input_tensor_shapes=[[side, side, 3]])
+    shrunk = images.select("path", small(F.col("image")).alias("small")).where("small is not null")
+    return shrunk.select("path", predict("small").alias("vector"))
+
+
 def extract_features(images: DataFrame, methods: tuple[str, ...] = ("embedding",), *, enhance: bool = True, extractors: dict | None = None) -> DataFrame:
     """(path, feature_type, vector): a row for each image and known method; unknown methods are skipped.
-    Blurred images are sharpened before.  A model of one's own, image array to vector, goes into `extractors`."""
+    Blurred images are sharpened before.  A model of one's own goes into `extractors`: a function of an image array, or
+    a BatchModel."""
     own = extractors or {}
     rows = images.select("path", "image").where(P.whole(F.col("image")))
     rows = sharpened(rows) if enhance else rows
@@ -155,7 +184,10 @@ def extract_features(images: DataFrame, methods: tuple[str, ...] = ("embedding",
         found.append(vectors.select("path", F.explode(F.array(*columns)).alias("f")).select("path", "f.feature_type", "f.vector"))
     if "histogram" in methods and "histogram" not in own:
         found.append(histograms(rows, ["path"]).select("path", F.lit("histogram").alias("feature_type"), "vector"))
-    chosen = [m for m in dict.fromkeys(methods) if m in own]
+    for m in dict.fromkeys(methods):
+        if m in own and isinstance(own[m], BatchModel):
+            found.append(predicted(rows, own[m]).select("path", F.lit(m).alias("feature_type"), "vector"))
+    chosen = [m for m in dict.fromkeys(methods) if m in own and not isinstance(own[m], BatchModel)]
     if chosen:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars as S
 from lumenfold.operators import stored_index
 from lumenfold.sources import images
 from lumenfold.sources.catalog import Catalog
+from lumenfold.sources.reports import MetricLog
 from lumenfold.sources.tables import exists
 
 IMAGE_STREAM = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
 
 
-def update(catalog: Catalog, new: DataFrame, methods: tuple[str, ...] = ("embedding",), *, index: str | None = None, n_cells: int = 16) -> None:
+def update(catalog: Catalog, new: DataFrame, methods: tuple[str, ...] = ("embedding",), *, index: str | None = None, n_cells: int = 16, log: MetricLog | None = None) -> None:
     """Extract features of new images (path, image) and write both tables: by key, so running twice changes nothing.  The
-    stored index at `index` takes the features of the first method; where there is none yet, it is made of all."""
-    loaded = new.where("image.height > 0")
-    rows = loaded.select(F.col("path").alias("file_path"), S.file_name("path").alias("file_name"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.upper(S.extension("path")).alias("format"))
+    stored index at `index` takes the features of the first method; where there is none yet, it is made of all.  `log`
+    gets a row with the time it took and what was seen on the way: files, decoded images and their bytes."""
+    whole, seen, began = F.col("image.height") > 0, Observation(), time.perf_counter()
+    loaded = new.where(whole)
+    # observed where the rows are read for the first table, which is once
+    observed = new.observe(seen, F.count("*").alias("files"), F.count_if(whole).alias("decoded"), F.coalesce(F.sum(F.when(whole, F.octet_length("image.data"))), F.lit(0)).alias("bytes"))
+    rows = observed.where(whole).select(F.col("path").alias("file_path"), S.file_name("path").alias("file_name"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.upper(S.extension("path")).alias("format"))
     catalog.add_images(rows)
     found = images.extract_features(loaded, methods)
     found = found.select(F.xxhash64("path").alias("image_id"), "feature_type", F.col("vector").alias("feature_vector"))
@@ -34,6 +40,8 @@ def update(catalog: Catalog, new: DataFrame, methods: tuple[str, ...] = ("embedd
         else:
             ids = loaded.select(F.xxhash64("path").alias("image_id")).distinct()
             stored_index.add(as_vectors(known.join(ids, "image_id", "left_semi")), index)
+    if log:
+        log.log("index_batch", time.perf_counter() - began, **seen.get)
 
 
 def index_folder(spark: SparkSession, catalog: Catalog, folder: str, methods: tuple[str, ...] = ("embedding",), **how) -> None:
@@ -44,7 +52,8 @@ def index_folder(spark: SparkSession, catalog: Catalog, folder: str, methods: tu
 
 def index_stream(spark: SparkSession, catalog: Catalog, folder: str, checkpoint: str, methods: tuple[str, ...] = ("embedding",), *, after: Callable[[DataFrame, int], None] | None = None, **how):
     """Index what has arrived since the last run (availableNow); returns the started query.  The checkpoint remembers
-    files, and a batch that runs again after a failure upserts the same rows."""
+    files, and a batch that runs again after a failure upserts the same rows.  `log` gets a row for
+    each batch, see update(); reports.StreamProgress adds how long its parts took."""
     source = spark.readStream.format("image").schema(IMAGE_STREAM).option("recursiveFileLookup", "true").load(folder)
 
     def one_batch(batch: DataFrame, number: int) -> None:
