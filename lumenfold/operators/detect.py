@@ -37,10 +37,19 @@ def with_group(found: DataFrame) -> DataFrame:
 
 
 def embedding_groups(candidates: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
-    """(leader, member) by cosine within candidate groups; features has id and vector."""
-    rows = candidates.join(features, "id")
-    pairs = vectors.similar_pairs(rows, threshold, id_col="id", vector="vector", group="group_id")
-    return cluster.leaders(pairs.select("i", "j"))
+    """(leader, member) by cosine within candidate groups; features has id and vector.
+
+    Equal vectors of a group are one class: classes are compared, and their members never paired, so a group of equal
+    pictures costs a row for each.  Zero vectors have cosine 0 with their like, too."""
+    rows = candidates.join(features, "id").where("vector is not null").select("group_id", "id", "vector")
+    name = lambda g, i: F.concat_ws(":", F.col(g).cast("string"), F.col(i).cast("string"))
+    classes = rows.groupBy("group_id", "vector").agg(F.min("id").alias("rep"))
+    alone = ~F.exists("vector", lambda x: x != 0) if threshold > 0 else F.lit(False)
+    of = classes.select(F.col("group_id").alias("g"), F.col("vector").alias("v"), "rep")
+    members = rows.join(of, (F.col("group_id") == F.col("g")) & (F.col("vector") == F.col("v")))
+    nodes = members.select("id", F.when(alone, F.concat_ws(":", name("group_id", "rep"), F.col("id").cast("string"))).otherwise(name("group_id", "rep")).alias("c"))
+    pairs = vectors.similar_pairs(classes, threshold, id_col="rep", vector="vector", group="group_id", with_group=True)
+    return cluster.leaders_of_classes(nodes, pairs.select(name("group_id", "i").alias("c"), name("group_id", "j").alias("d")))
 
 
 def structure_groups(found: DataFrame, pictures: DataFrame, threshold: float) -> DataFrame:

@@ -159,8 +159,8 @@ def above_threshold(neighbours: DataFrame, threshold: float = 0.7) -> DataFrame:
     return neighbours.where(F.col("similarity") >= threshold)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "vec_id", vector: str = "embedding", group: str | None = None, metric: str = "cosine") -> DataFrame:
-    """(i, j, similarity) with i < j and similarity >= threshold - within a group, or over all rows.
+def similar_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "vec_id", vector: str = "embedding", group: str | None = None, metric: str = "cosine", with_group: bool = False) -> DataFrame:
+    """(i, j, similarity), and the group where asked for, with i < j and similarity >= threshold - within a group, or over all rows.
 
     Exact.  Over all rows, vectors meet by cells and copies as classes, see cells.similar_classes(), which also gives
     the classes as they are.  A group is cut into blocks of about SIDE rows by hash, and every pair of its blocks is
@@ -184,9 +184,10 @@ def similar_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "vec_id
         x, y = np.nonzero(s >= threshold)
         i, j = first["id"].to_numpy()[x], second["id"].to_numpy()[y]
         keep = i < j if pdf["a"].iloc[0] == pdf["b"].iloc[0] else i != j
-        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "similarity": s[x, y][keep]})
+        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "similarity": s[x, y][keep]}).assign(g=pdf["g"].iloc[0])
 
-    return rows.groupBy("g", "a", "b").applyInPandas(product, "i long, j long, similarity double")
+    found = rows.groupBy("g", "a", "b").applyInPandas(product, f"i long, j long, similarity double, g {rows.schema['g'].dataType.simpleString()}")
+    return found.withColumnRenamed("g", group) if with_group else found.drop("g")
 
 
 def link_counts(vectors: DataFrame, pairs: DataFrame, *, id_col: str = "vec_id") -> DataFrame:

@@ -293,3 +293,16 @@ def test_stored_index(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, full.collect())) == sorted(map(tuple, vectors.knn_join(df, q, 5).collect()))
     one = vectors.search_cells(indexed, centres, df.where("vec_id = 0"), 5, probes=1)
     assert one.orderBy("rank").first()["id"] == 0
+
+
+def test_embedding_groups_without_pairs(spark):
+    """Groups with copies, zero vectors and ids in two groups, against the sequential rule over all pairs."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 3)).round(3)
+    v[::3], v[1::20] = v[0], 0
+    groups_of = [(int(g), i) for i in range(60) for g in {i % 4, (i // 7) % 4 if i % 5 == 0 else i % 4}]
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    edges = sorted({(i, j) for g, i in groups_of for h, j in groups_of if g == h and i < j and unit[i] @ unit[j] >= 0.7})
+    features = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(60)], "id long, vector array<double>")
+    got = detect.embedding_groups(spark.createDataFrame(groups_of, "group_id long, id long"), features, 0.7)
+    assert sorted(map(tuple, got.collect())) == greedy(edges)
