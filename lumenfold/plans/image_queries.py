@@ -14,6 +14,15 @@ from lumenfold.sources import images as I
 from lumenfold.sources.config import DuplicateSettings
 
 REGISTERED: dict[str, tuple] = {}
+#: Leader clustering of the rows of `embeddings` (vec_id) with edges e (i, j), in id order: m has (leader, member).
+LEADERS = """
+n AS (SELECT v.vec_id AS id, row_number() OVER (ORDER BY v.vec_id) AS rn, coalesce(list(e.i) FILTER (e.i IS NOT NULL), []::BIGINT[]) AS nb
+      FROM embeddings v LEFT JOIN e ON e.j = v.vec_id GROUP BY v.vec_id),
+r(rn, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+      SELECT r.rn + 1, CASE WHEN list_has_any(r.leaders, n.nb) THEN r.leaders ELSE list_append(r.leaders, n.id) END FROM r JOIN n ON n.rn = r.rn + 1),
+l AS (SELECT unnest(leaders) AS id FROM (SELECT leaders FROM r ORDER BY rn DESC LIMIT 1)),
+m AS (SELECT min(e.i) AS leader, e.j AS member FROM e JOIN l ON l.id = e.i WHERE e.j NOT IN (SELECT id FROM l) GROUP BY e.j)
+"""
 
 
 def register(sql: str | None = None):
@@ -158,7 +167,10 @@ def frame_differences(spark, sf_dir):
     return p.join(other, "id").select("id", F.round(S.mean_abs_difference("a", "b"), 6).alias("difference"))
 
 
-@register()
+@register(
+    "WITH RECURSIVE hs AS (" + _HASHES + "), f AS (SELECT doc_id AS id, strlen(text) // 1024 AS kb, phash AS h FROM documents JOIN hs ON hs.id = doc_id WHERE strlen(text) > 0), embeddings AS (SELECT id AS vec_id FROM f), "
+    + "e AS (SELECT a.id AS i, b.id AS j FROM f a JOIN f b ON a.kb = b.kb AND a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 5), " + LEADERS + " SELECT leader, member FROM m"
+)
 def image_duplicates_by_size(spark, sf_dir):
     """Duplicates by size bucket and perceptual hash."""
     return detect.by_size(text_pictures(spark, sf_dir), 5)

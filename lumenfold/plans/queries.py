@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars as S
 from lumenfold.operators import cells, cluster, frames, groups, hamming, ordered, stats, stored_index, vectors
+from lumenfold.plans.image_queries import LEADERS
 from lumenfold.sources.catalog import Catalog
 from lumenfold.sources.tables import working_folder
 
@@ -153,16 +154,6 @@ def catalog_upserts(spark, sf_dir):
 # ---- similarity joins and clusters
 
 _EDGES = "e AS (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {t})"
-_LEADERS = """
-n AS (SELECT v.vec_id AS id, row_number() OVER (ORDER BY v.vec_id) AS rn, coalesce(list(e.i) FILTER (e.i IS NOT NULL), []::BIGINT[]) AS nb
-      FROM embeddings v LEFT JOIN e ON e.j = v.vec_id GROUP BY v.vec_id),
-r(rn, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
-      SELECT r.rn + 1, CASE WHEN list_has_any(r.leaders, n.nb) THEN r.leaders ELSE list_append(r.leaders, n.id) END FROM r JOIN n ON n.rn = r.rn + 1),
-l AS (SELECT unnest(leaders) AS id FROM (SELECT leaders FROM r ORDER BY rn DESC LIMIT 1)),
-m AS (SELECT min(e.i) AS leader, e.j AS member FROM e JOIN l ON l.id = e.i WHERE e.j NOT IN (SELECT id FROM l) GROUP BY e.j)
-"""
-
-
 @register("WITH " + _EDGES.format(t=0.3) + " SELECT i, j, round(s, 6) AS similarity FROM e")
 def cosine_pairs(spark, sf_dir):
     """All pairs of vectors with a cosine of 0.3 or more."""
@@ -188,14 +179,14 @@ def cosine_pairs_in_group(spark, sf_dir):
     return vectors.similar_pairs(table(spark, sf_dir, "embeddings"), 0.25, group="label").withColumn("similarity", F.round("similarity", 6))
 
 
-@register("WITH RECURSIVE " + _EDGES.format(t=0.3) + ", " + _LEADERS + " SELECT v.vec_id, coalesce(m.leader, v.vec_id) AS leader FROM embeddings v LEFT JOIN m ON m.member = v.vec_id")
+@register("WITH RECURSIVE " + _EDGES.format(t=0.3) + ", " + LEADERS + " SELECT v.vec_id, coalesce(m.leader, v.vec_id) AS leader FROM embeddings v LEFT JOIN m ON m.member = v.vec_id")
 def leader_clusters(spark, sf_dir):
     """Greedy leader clustering by cosine: each vector's leader."""
     v = table(spark, sf_dir, "embeddings")
     return cluster.with_leaders(v.select("vec_id"), cells.class_leaders(*cells.similar_classes(v, 0.3)), id_col="vec_id")
 
 
-@register("WITH RECURSIVE " + _EDGES.format(t=0.3) + ", " + _LEADERS + " SELECT leader, count(*) + 1 AS size FROM m GROUP BY leader")
+@register("WITH RECURSIVE " + _EDGES.format(t=0.3) + ", " + LEADERS + " SELECT leader, count(*) + 1 AS size FROM m GROUP BY leader")
 def leader_clusters_min2(spark, sf_dir):
     """Sizes of the clusters that have two members or more."""
     return cluster.group_sizes(cells.class_leaders(*cells.similar_classes(table(spark, sf_dir, "embeddings"), 0.3)))
