@@ -67,6 +67,59 @@ def small(image: np.ndarray, side: int) -> np.ndarray:
     return np.tensordot(half, cols, axes=(1, 1)).transpose(0, 2, 1) / np.float32(255)
 
 
+def strips(image: np.ndarray, pixels: int = 1 << 16):
+    """(first row, last row) of parts of about so many pixels: what is computed in floats stays small."""
+    step = max(1, pixels // max(1, image.shape[1]))
+    for y in range(0, image.shape[0], step):
+        yield y, min(image.shape[0], y + step)
+
+
+def tone(image: np.ndarray) -> tuple[int, float, float, float, float, float]:
+    """Pixels, the first gray value, and the sums of what gray values differ from it by and of the 4-neighbour Laplacian
+    with mirrored borders, plain and squared."""
+    h, w = image.shape[:2]
+    back, base = (1 if min(h, w) > 1 else 0), float(gray(image[:1, :1])[0, 0])
+    out = np.zeros(4)
+    for a, b in strips(image):
+        g = gray(image[a:b])
+        up = np.vstack((gray(image[a - 1 : a] if a else image[back : back + 1]), g[:-1]))
+        down = np.vstack((g[1:], gray(image[b : b + 1] if b < h else image[h - 1 - back : h - back])))
+        left, right = np.hstack((g[:, back : back + 1], g[:, :-1])), np.hstack((g[:, 1:], g[:, w - 1 - back : w - back]))
+        bent, shifted = up + down + left + right - 4 * g, g - base
+        out += shifted.sum(), (shifted * shifted).sum(), bent.sum(), (bent * bent).sum()
+    return h * w, base, *out.tolist()
+
+
+def color_counts(image: np.ndarray, hsv: bool) -> np.ndarray:
+    """Pixels in each of 8 x 8 x 8 bins of hue (0 to 179), saturation and value, or of the channels."""
+    counts = np.zeros(512, np.int64)
+    for a, b in strips(image):
+        some = image[a:b]
+        b_, g_, r_ = (some[:, :, c if some.shape[2] > c else 0] for c in range(3))
+        if not hsv:
+            at = (b_ >> 5).astype(np.int32) * 64 + (g_ >> 5) * 8 + (r_ >> 5)
+        else:
+            blue, green, red = (x.astype(np.float64) for x in (b_, g_, r_))
+            v = np.maximum(np.maximum(blue, green), red)
+            span = v - np.minimum(np.minimum(blue, green), red)
+            part = np.where(span == 0, 1, span)
+            hue = np.where(span == 0, 0.0, np.where(v == red, (green - blue) / part * 30, np.where(v == green, 60 + (blue - red) / part * 30, 120 + (red - green) / part * 30)))
+            saturation = np.where(v > 0, span * 255 / np.where(v > 0, v, 1), 0)
+            at = (np.floor((hue + 180) % 180 / 32) * 64 + np.floor(saturation / 32) * 8 + np.floor(v / 32)).astype(np.int32)
+        counts += np.bincount(at.ravel(), minlength=512)
+    return counts
+
+
+def shrunk(image: np.ndarray, side: int) -> np.ndarray:
+    """side x side x 3 numbers; pictures of fewer channels have their first one in all places."""
+    rows, cols = _axis_weights(image.shape[0], side), _axis_weights(image.shape[1], side)
+    half = [np.zeros((side, image.shape[1])) for _ in range(3)]
+    for a, b in strips(image):
+        for c in range(3):
+            half[c] += rows[:, a:b] @ image[a:b, :, c if image.shape[2] > c else 0].astype(np.float64)
+    return np.stack([x @ cols.T for x in half], axis=2)
+
+
 def hashes(image: np.ndarray, max_pixels: int, longest: int, method: str = "area") -> tuple[int, int, int]:
     """Perceptual, difference and wavelet hash of the gray image, with its longer side at `longest` if it has more than
     max_pixels: signs of the 8 x 8 lowest cosine coefficients of the 32 x 32 image against their median; whether a pixel

@@ -1,5 +1,8 @@
 """Column functions over images: sharpness, color bins, resizing and thumbnails, as built-in expressions.
 
+They cost an interpreted step a pixel, so they are for small pictures; of pictures of any size, images.looked() makes the
+sums, counts and small pictures that measures() and unit() start from.
+
 An image is a struct (height, width, nChannels, data) of bytes by row, pixel and channel (blue, green, red).  Gray pictures
 are arrays of numbers by row.  What a lambda reads more than once is bound by let(), so that it is computed once a row.
 """
@@ -139,6 +142,18 @@ def sharpness(image: Column) -> Column:
     return F.when(whole(image), let(gray(image), measures))
 
 
+def measures(sums: Column) -> Column:
+    """(blur_score, brightness, contrast) from the sums of kernels.tone()."""
+    spread = lambda s, q: F.greatest(F.lit(0.0), (sums[q] - sums[s] * sums[s] / sums["n"]) / sums["n"])
+    return F.when(sums["n"] > 0, F.struct(spread("bent", "bent2").alias("blur_score"), (sums["base"] + sums["shifted"] / sums["n"]).alias("brightness"), F.sqrt(spread("shifted", "shifted2")).alias("contrast")))
+
+
+def unit(v: Column) -> Column:
+    """Numbers, centred and of length 1."""
+    centred = let(total(v) / F.size(v), lambda m: F.transform(v, lambda x: x - m))
+    return let(centred, lambda c: let(F.greatest(F.lit(1e-12), F.sqrt(total(F.transform(c, lambda x: x * x)))), lambda n: F.transform(c, lambda x: (x / n).cast("float"))))
+
+
 def color_bins(image: Column, *, hsv: bool = True) -> Column:
     """For each pixel its number among 8 x 8 x 8 bins of hue (0 to 179), saturation and value, or of the channels."""
     n = image["nChannels"]
@@ -167,10 +182,6 @@ def thumbnail(image: Column, side: int = 8) -> Column:
         small = F.array(*[let(channel(image, of, c), lambda one: F.flatten(resized(one, h, w, side, side))) for c in range(3)])
         return let(small, lambda s: F.flatten(F.transform(count_to(side * side), lambda i: F.array(*[F.get(F.get(s, F.lit(c)), i) for c in range(3)]))))
 
-    def unit(v: Column) -> Column:
-        centred = let(total(v) / F.size(v), lambda m: F.transform(v, lambda x: x - m))
-        return let(centred, lambda c: let(F.greatest(F.lit(1e-12), F.sqrt(total(F.transform(c, lambda x: x * x)))), lambda n: F.transform(c, lambda x: (x / n).cast("float"))))
-
     return F.when(whole(image), let(let(levels(image), joined), unit))
 
 

@@ -131,7 +131,7 @@ def image_histograms(spark, sf_dir):
 @register("WITH " + _PIXELS + ", c AS (SELECT id, avg(v) AS m, list(v ORDER BY y, x) AS g FROM px GROUP BY id), k AS (SELECT id, unnest(g) - m AS v, generate_subscripts(g, 1) - 1 AS p FROM c), n AS (SELECT id, sqrt(3 * sum(v * v)) AS n FROM k GROUP BY id) SELECT k.id, (3 * p + c.c)::INT AS place, round((v / greatest(n, 1e-12))::FLOAT::DOUBLE, 5) AS x FROM k JOIN n USING (id), range(0, 3) c(c)")
 def image_embeddings(spark, sf_dir):
     """Thumbnail embeddings, a row for each number."""
-    out = vector_pictures(spark, sf_dir).select("id", F.posexplode(P.thumbnail(F.col("image"))).alias("place", "x"))
+    out = vector_pictures(spark, sf_dir).select("id", F.posexplode(I.embedding(F.col("image"))).alias("place", "x"))
     return out.withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 

@@ -93,18 +93,48 @@ def hashes(images: DataFrame, *, max_pixels: int = 2_000_000, longest: int = 100
     return images.withColumn(name, three(F.col("image"))).select(*images.columns, f"{name}.*")
 
 
+def looked(what: str, **how):
+    """A column function over image structs that looks at each pixel once, strip by strip: "tone" (the sums that
+    P.measures() needs), "colors" (counts of 512 bins), "small" (side * side * 3 numbers), "mean" (of all bytes).  What
+    follows are expressions over those few numbers.  Null where there is no picture."""
+    kernels = {
+        "tone": (K.tone, "n long, base double, shifted double, shifted2 double, bent double, bent2 double"),
+        "colors": (lambda x: K.color_counts(x, how["hsv"]), "array<long>"),
+        "small": (lambda x: K.shrunk(x, how["side"]).ravel(), "array<double>"),
+        "mean": (lambda x: sum(int(x[a:b].sum()) for a, b in K.strips(x)) / x.size, "double"),
+    }
+    kernel, returns = kernels[what]
+    names = [part.split()[0] for part in returns.split(", ")]
+
+    @F.pandas_udf(returns)
+    def struct(some: pd.DataFrame) -> pd.DataFrame:
+        rows = [(None,) * len(names) if (x := K.decode(row)) is None else kernel(x) for row in some.to_dict("records")]
+        return pd.DataFrame(rows, columns=names, dtype=object).astype({"n": "Int64", **dict.fromkeys(names[1:], "Float64")})
+
+    @F.pandas_udf(returns if what != "tone" else "double")
+    def plain(some: pd.DataFrame) -> pd.Series:
+        return pd.Series([None if (x := K.decode(row)) is None else kernel(x) for row in some.to_dict("records")], dtype=object)
+
+    return struct if what == "tone" else plain
+
+
+def embedding(image: Column) -> Column:
+    """The stand-in for a neural embedding: the 8 x 8 color picture, centred and of length 1."""
+    small = looked("small", side=8)(image)
+    return F.when(small.isNotNull(), P.let(small, P.unit))
+
+
 def sharpness(images: DataFrame) -> DataFrame:
     """images plus blur_score (Laplacian variance), brightness and contrast of the gray image, and is_blurry."""
     (name,) = fresh(images, "measures")
-    out = images.withColumn(name, P.sharpness(F.col("image"))).select(*images.columns, f"{name}.*")
+    out = images.withColumn(name, looked("tone")(F.col("image"))).withColumn(name, P.measures(F.col(name))).select(*images.columns, f"{name}.*")
     return out.withColumn("is_blurry", F.col("blur_score") < P.BLUR_LIMIT)
 
 
 def histograms(images: DataFrame, keys: list[str], *, hsv: bool = True, name: str = "vector") -> DataFrame:
-    """(keys, vector): the 8 x 8 x 8 color histogram of each image, of length 1.  Pixels are counted by key and bin,
-    before the shuffle as well as after it."""
-    at = images.select(*keys, F.explode(P.color_bins(F.col("image"), hsv=hsv)).alias("bin"))
-    counts = at.groupBy(*keys, "bin").agg(F.count("*").cast("double").alias("n"))
+    """(keys, vector): the 8 x 8 x 8 color histogram of each image, of length 1; images of a key are counted together."""
+    at = images.select(*keys, F.posexplode(looked("colors", hsv=hsv)(F.col("image"))).alias("bin", "n")).where("n > 0")
+    counts = at.groupBy(*keys, "bin").agg(F.sum("n").cast("double").alias("n"))
     whole = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     dense = P.let(F.col("m"), lambda m: F.transform(P.count_to(512), lambda b: (F.coalesce(F.element_at(m, b), F.lit(0.0)) / F.col("norm")).cast("float")))
     return whole.select(*keys, dense.alias(name))
@@ -121,14 +151,14 @@ def sharpened(images: DataFrame) -> DataFrame:
 
     shape = ("height", "width", "nChannels", "data")
     plain = F.struct(*[F.col(f"image.{c}").alias(c) for c in shape])
-    rows = images.withColumn(blurred, P.sharpness(F.col("image"))["blur_score"] < P.BLUR_LIMIT).withColumn("image", plain)
+    rows = images.withColumn(blurred, P.measures(looked("tone")(F.col("image")))["blur_score"] < P.BLUR_LIMIT).withColumn("image", plain)
     done = enhance(F.when(F.col(blurred), F.col("image")))
     return rows.withColumn("image", F.when(F.col(blurred), done).otherwise(F.col("image"))).select(*images.columns)
 
 
 #: Features by name that are column functions, `hash` of the hashes' columns; `histogram` is counted, and models of one's own come as `extractors`.
 FEATURES: dict[str, Callable[[Column], Column]] = {
-    "embedding": P.thumbnail,
+    "embedding": embedding,
     "hash": lambda image: P.hash_vector(F.struct("phash", "dhash", "whash")),
     "keypoint": lambda image: P.pooled(_descriptors()(image), 64),
 }
@@ -211,5 +241,6 @@ def variations(pairs: DataFrame, first: str = "first", second: str = "second") -
     is_cropped = pair_column(K.is_cropped, "boolean")
     rows = pairs.withColumn(differ, (a["height"] != b["height"]) | (a["width"] != b["width"]))
     rows = rows.withColumn(crop, is_cropped(F.when(F.col(differ), a), F.when(F.col(differ), b)))
-    brightness = F.abs(P.brightness(a) - P.brightness(b))
+    mean = looked("mean")
+    brightness = F.abs(mean(a) - mean(b))
     return rows.select(*pairs.columns, F.col(differ).alias("size_diff"), F.coalesce(F.col(crop), F.lit(False)).alias("crop_detected"), brightness.alias("brightness_diff"), F.lit(False).alias("compression_diff"), F.lit(False).alias("format_diff"))

@@ -137,3 +137,40 @@ def test_metrics(spark, tmp_path):
         pass
     log.save(f"{tmp_path}/metrics")
     assert spark.read.json(f"{tmp_path}/metrics").count() == 1
+
+
+@pytest.mark.parametrize("shape", [(1, 1, 3), (1, 9, 1), (7, 1, 3), (40, 31, 3), (33, 70, 4), (64, 64, 1)])
+def test_looked_equals_expressions(spark, monkeypatch, shape):
+    """Sums, counts and small pictures, strip by strip, give what the expressions over all pixels give."""
+    from lumenfold.functions import pixels as P
+
+    monkeypatch.setattr(K, "strips", lambda x, pixels=0: ((y, min(x.shape[0], y + 7)) for y in range(0, x.shape[0], 7)))
+    x = np.random.default_rng(3).integers(0, 256, shape).astype(np.uint8)
+    row = spark.createDataFrame([(0, (*shape, bytearray(x.tobytes())))], "id long, image struct<height: int, width: int, nChannels: int, data: binary>")
+    want = row.select(P.sharpness(F.col("image")).alias("s"), P.thumbnail(F.col("image")).alias("t"), P.color_bins(F.col("image")).alias("b"), P.color_bins(F.col("image"), hsv=False).alias("c")).first()
+    n, base, s, q, bent, bent2 = K.tone(x)
+    got = (bent2 - bent * bent / n) / n, base + s / n, max(0, (q - s * s / n) / n) ** 0.5
+    assert np.allclose(got, want["s"], atol=1e-7)
+    small = K.shrunk(x, 8).ravel()
+    small = small - small.mean()
+    assert np.allclose(small / max(1e-12, np.sqrt((small * small).sum())), want["t"], atol=1e-6) or np.abs(small).max() < 1e-9
+    assert np.array_equal(K.color_counts(x, True), np.bincount(want["b"], minlength=512)) and np.array_equal(K.color_counts(x, False), np.bincount(want["c"], minlength=512))
+
+
+def test_large_picture(spark):
+    """Twelve megapixels: each look takes under two seconds and less than a gigabyte beside the picture."""
+    import time
+    import tracemalloc
+
+    x = np.random.default_rng(4).integers(0, 256, (3000, 4000, 3)).astype(np.uint8)
+    for look in (K.tone, lambda x: K.color_counts(x, True), lambda x: K.shrunk(x, 8), lambda x: K.small(x, 224)):
+        took = []
+        for _ in range(2):
+            began = time.thread_time()
+            look(x)
+            took.append(time.thread_time() - began)
+        tracemalloc.start()
+        look(x)
+        assert tracemalloc.get_traced_memory()[1] < 1e9
+        tracemalloc.stop()
+        assert min(took) < 2, took
