@@ -41,8 +41,9 @@ class Catalog:
     tables.replace_partitions(); what was interrupted is finished by whoever opens the table next.  One writer at a time;
     a reader may miss a partition for the moment in which it is replaced."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, *, keys: int = 10_000):
+        """keys: different values that a row group's Bloom filter is made for, ten bits each; with more it admits more."""
+        self.spark, self.folder, self.keys = spark, folder.rstrip("/"), keys
 
     def _path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -61,7 +62,10 @@ class Catalog:
         return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
     def _options(self, name: str) -> dict[str, str]:
-        return {f"parquet.bloom.filter.enabled#{c}": "true" for c in BLOOM[name]}
+        out = {}
+        for c in BLOOM[name]:
+            out |= {f"parquet.bloom.filter.enabled#{c}": "true", f"parquet.bloom.filter.expected.ndv#{c}": str(self.keys)}
+        return out
 
     def read(self, name: str) -> DataFrame:
         """The table; empty where nothing was written yet."""
