@@ -3,27 +3,31 @@
 A document's set is its distinct word shingles.  Documents with equal sets fall together first; what follows works
 on one representative of each set.
 
-1. Trees.  At the root of every tree members branch: the tree names minhash positions, and members with the same
-   minwise tokens there share a node.  One position makes 1 / threshold children on average, so that a pair at the
-   threshold keeps one common child; other pairs part.  Independent trees make up for pairs that part by chance; their
-   number follows from the target recall.
-2. Members of nodes with more than `small` members branch once more, all of them by the same bands of positions.  Bands
-   don't overlap, so a pair at the threshold parts in all of them with a chance of (1 - t ** width) ** bands, and
-   the width is the largest that keeps this to half of what the target recall leaves, whatever the trees have drawn.
-3. Small nodes are compared exhaustively by sketch; members that look alike form clusters, and a cluster found in
-   several nodes counts once.
-4. Clusters are compared exactly, on full sets; links that reach the threshold join components.
-A node that is still large (very many almost equal sets) isn't branched again.  Its members are first linked, exactly,
-within blocks that share some pivots, each member in one node only; then members outside the largest group of linked
-members are compared with all others in pairs of blocks.  Pairs that are linked already need no comparison.
+1. Trees.  A tree's root branches all members, and a node of more than `small` members branches again, up to
+`max_depth` times: each child names a minhash position, and members with the same minwise token there go into the same
+node below it.  A node has 1 / threshold children on average, so that a pair at the threshold keeps one common child;
+other pairs part.  Independent trees make up for pairs that part by chance; their number follows from the target recall
+and the depth.
+2. Small nodes are compared exhaustively by sketch; members that look alike form clusters, and a cluster found in
+several nodes counts once.
+3. A node whose parent has lost fewer members than a pair at the threshold would part by is a crowd: branching it again
+would make more rows, not smaller nodes.  So is one that is large at the last level.  Members of crowds are first linked,
+exactly, within blocks that share some pivots, each member in one node only.  What that leaves apart meets by prefixes
+of full sets: shingles ordered from rare to frequent, a pair at the threshold shares one of the first 15 % of one set
+and 8 % of the other (at 85 %).  Shingles of a template that most members share are the last in that order; they
+reach a prefix as an entry to be looked up only where a template makes 92 % of a set, and such sets link.  Shingles
+whose members are linked already are left out; positions and sizes rule out most of the other pairs.
+4. Clusters and pairs are compared exactly, on full sets; links that reach the threshold join components.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +37,11 @@ from lumenfold.llm.textnp import byte_codes, lower, mix, range_digests, ranges,
 
 #: Minhash positions, and how many must agree for an exact comparison (five deviations below 85 %).
 POSITIONS, AGREE = 64, 40
-#: Least chance that a pair at the threshold stays together at the root of one tree: the chance that one of 1 / t
-#: children keeps it is 1 - (1 - t) ** (1 / t) > 1 - 1 / e.
-TREE_RECALL = 0.63
-#: Members that meet all others of a crowded node, at most.
-PIVOTS = 8
+#: Members that meet all others of a crowded node, and members of a node that meet as pivots of any node, at most.
+#: Both only save comparisons: prefixes decide about all that is left apart.
+PIVOTS, MEETING = 8, 64
+#: Shingles whose frequency orders prefixes, at most (9 MB are broadcast); others count as rare.  Any order is right.
+FREQUENT = 1 << 20
 RESULT = ("n_shingles", "component_id", "kept")
 SIGNATURE = "id long, n_shingles long, s1 long, s2 long, mh array<int>"
 _MULTIPLY = byte_codes(11)[:POSITIONS] | np.uint64(1)
@@ -221,7 +225,7 @@ def all_stars(edges: DataFrame) -> bool:
 
 
 def branch(rows: DataFrame, threshold: float) -> DataFrame:
-    """(node, id, mh) to the children (node, id).
+    """(node, id, mh, was) to the children (node, id, was); `was` is the number of the node's members.
 
     A node has floor(1 / threshold) children, and one more with the probability of what is left; each child has its own
     position.  All members of a node choose alike, by hashes of the node's name.
@@ -229,24 +233,29 @@ def branch(rows: DataFrame, threshold: float) -> DataFrame:
     mean = 1 / threshold
     chance = F.pmod(F.xxhash64("node", F.lit(99)), F.lit(1_000_000)) / 1_000_000
     n = F.lit(math.floor(mean)) + F.when(chance < mean - math.floor(mean), 1).otherwise(0)
-    child = rows.select("node", "id", "mh", F.explode(F.sequence(F.lit(1), n)).alias("c"))
+    child = rows.select("node", "id", "mh", "was", F.explode(F.sequence(F.lit(1), n)).alias("c"))
     token = F.element_at("mh", F.pmod(F.xxhash64("node", "c", F.lit(1)), F.lit(POSITIONS)).cast("int") + 1)
-    return child.select(F.xxhash64("node", "c", F.array(token)).alias("node"), "id")
+    return child.select(F.xxhash64("node", "c", F.array(token)).alias("node"), "id", "was")
 
 
-def tree_count(recall: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - TREE_RECALL)))
+def parted(threshold: float, depth: int, agree: float) -> float:
+    """The chance that one tree has parted, after `depth` levels, a pair that agrees in a share `agree` of positions."""
+    mean, q = 1 / threshold, 0.0
+    more = mean - math.floor(mean)
+    for _ in range(depth):
+        lost = 1 - agree + agree * q
+        q = lost ** math.floor(mean) * (1 - more + more * lost)
+    return q
 
 
-def band_width(threshold: float, recall: float) -> int:
-    """Most positions a band, so that a pair at the threshold parts in all bands with at most half of 1 - recall."""
-    return max([w for w in range(1, POSITIONS + 1) if (1 - threshold**w) ** (POSITIONS // w) <= (1 - recall) / 2], default=1)
-
-
-def bands(rows: DataFrame, width: int) -> DataFrame:
-    """(id, mh) to (node, id), a node for each band of positions: rows grow by a fixed factor."""
-    nodes = [F.xxhash64(F.lit(a), F.slice("mh", a + 1, width)) for a in range(0, POSITIONS - width + 1, width)]
-    return rows.select(F.explode(F.array(*nodes)).alias("node"), "id")
+def tree_count(recall: float, threshold: float, depth: int) -> int:
+    """Fewest trees that keep a pair at the threshold together in one of them with a chance of `recall`, over what the
+    positions of such a pair may agree in: all trees draw from the same positions."""
+    k = np.arange(POSITIONS + 1)
+    ways = np.array([math.comb(POSITIONS, int(j)) for j in k], float)
+    weight = ways * threshold**k * (1 - threshold) ** (POSITIONS - k)
+    lost = np.array([parted(threshold, depth, j / POSITIONS) for j in k])
+    return next(n for n in range(1, 1000) if (weight * lost**n).sum() <= 1 - recall or n == 999)
 
 
 def sized(nodes: DataFrame, folder: str, name: str) -> DataFrame:
@@ -257,53 +266,156 @@ def sized(nodes: DataFrame, folder: str, name: str) -> DataFrame:
 
 def crowd_blocks(crowded: DataFrame, small: int) -> DataFrame:
     """(cluster, id): members in blocks of a quarter of `small`, each with the pivots of its node; a member goes with
-    its largest node only.  And the pivots of all nodes, by the nodes that they are in."""
+    its largest node only.  And pivots of all nodes, by the nodes that they are in."""
     own = crowded.groupBy("id").agg(F.max(F.struct("n", "node")).alias("o")).select("id", "o.node", F.ceil(F.col("o.n") * 4 / small).alias("blocks"))
     name = lambda b: F.xxhash64("node", b).alias("cluster")
     first = own.groupBy("node", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(7)), "id")).alias("p"), F.max("blocks").alias("blocks"))
     pivots = first.select("node", F.col("p.id").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"))
-    together = crowded.join(first.select("p.id").distinct(), "id").select(F.col("node").alias("cluster"), "id")
-    return own.select(name(F.pmod(F.xxhash64("id"), F.col("blocks"))), "id").union(pivots.select(name(F.col("b")), "id")).union(together).distinct()
+    slot = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(MEETING))
+    together = crowded.join(first.select("p.id").distinct(), "id").groupBy(F.col("node").alias("cluster"), slot.alias("slot")).agg(F.min("id").alias("id"))
+    return own.select(name(F.pmod(F.xxhash64("id"), F.col("blocks"))), "id").union(pivots.select(name(F.col("b")), "id")).union(together.select("cluster", "id")).distinct()
 
 
-def block_pairs(crowded: DataFrame, small: int) -> DataFrame:
-    """(node, id, label): pairs of blocks of a quarter of `small`, each a node.  crowded has node, id and label; of
-    a node's most frequent label no two members meet, all others meet everything."""
-    counts = crowded.groupBy("node", "label").agg(F.count("*").alias("c"))
-    main = counts.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("m")).where("n > m.c")
+def set_chunks(batches, entries: int = 1 << 22):
+    """(rows, shingles, bounds) of batches with a column `set`, some `entries` shingles (or one set) at a time."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index("set"))
+        size = np.asarray(pa.compute.binary_length(column)).astype(np.int64) // 8
+        a = 0
+        while a < len(size):
+            total = np.cumsum(size[a:])
+            b = a + max(1, int(np.searchsorted(total, entries, side="right")))
+            part = batch.slice(a, b - a)
+            yield part, np.frombuffer(b"".join(part.column("set").to_pylist()), np.uint64), np.concatenate(([0], total[: b - a]))
+            a = b
+
+
+def count_shingles(batches):
+    """mapInArrow: (id, set) to (shingle, c)."""
+    for _, flat, _ in set_chunks(batches):
+        value, c = np.unique(flat, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(c, pa.int64())], names=["shingle", "c"])
+
+
+def frequent_shingles(sets: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and the logarithms of their frequencies: whole classes of these, as many as
+    FREQUENT shingles allow."""
+    counts = sets.select("id", "set").mapInArrow(count_shingles, "shingle long, c long").groupBy("shingle").agg(F.floor(F.log2(F.sum("c"))).cast("int").alias("level"))
+    counts = stash(counts.where("level > 0"), folder, "crowd_counts")
+    total, least = 0, 64
+    for level, n in sorted(map(tuple, counts.groupBy("level").count().collect()), reverse=True):
+        total += n
+        if total > FREQUENT:
+            break
+        least = level
+    top = counts.where(F.col("level") >= least).toArrow()
+    shingle, level = top["shingle"].to_numpy().view(np.uint64), top["level"].to_numpy().astype(np.int8)
+    order = np.argsort(shingle)
+    return shingle[order], level[order]
+
+
+def prefixes(batches, percent: int, shingle: np.ndarray, level: np.ndarray):
+    """mapInArrow: (id, label, set) to (shingle, id, label, n, pos, entry): the rarest shingles of each set that a link
+    needs one of; entries are those that a larger set looks up."""
+    for part, flat, bounds in set_chunks(batches):
+        n = np.diff(bounds)
+        doc = np.repeat(np.arange(len(n)), n)
+        rank = np.zeros(len(flat), np.int8)
+        if len(shingle):
+            at = np.minimum(np.searchsorted(shingle, flat), len(shingle) - 1)
+            rank = np.where(shingle[at] == flat, level[at], 0)
+        order = np.lexsort((flat, rank, doc))
+        pos = np.arange(len(flat)) - bounds[doc]
+        take = np.flatnonzero(pos < (n + 1 + (-percent * n) // 100)[doc])
+        doc, pos = doc[take], pos[take]
+        entry = pos < (n + 1 + (-2 * percent * n) // (100 + percent))[doc]
+        of = pa.array(doc)
+        yield pa.RecordBatch.from_arrays([pa.array(flat[order][take].view(np.int64)), part.column("id").take(of), part.column("label").take(of), pa.array(n[doc], pa.int64()), pa.array(pos, pa.int64()), pa.array(entry)], names=["shingle", "id", "label", "n", "pos", "entry"])
+
+
+def prefix_nodes(rows: DataFrame, small: int) -> DataFrame:
+    """(node, id, label, n, pos, entry): entries of a shingle and its other rows, in pairs of blocks of a quarter of
+    `small`.  Shingles without entries, and those whose members are linked already, are left out."""
     blocks = lambda c: F.ceil(c * 4 / small)
-    rows = crowded.join(main.select("node", F.col("m.label").alias("main"), blocks(F.col("n") - F.col("m.c")).alias("k"), blocks(F.col("m.c")).alias("m")), "node")
-    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).alias("b")
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias("c")
-    inside, outside = rows.where("label = main"), rows.where("label <> main")
-    among = outside.select("node", "id", "label", own("k"), every("k")).select(F.xxhash64("node", F.lit(0), F.least("b", "c"), F.greatest("b", "c")).alias("node"), "id", "label")
-    across = outside.select("node", "id", "label", own("k"), every("m")).select(F.xxhash64("node", F.lit(1), "b", "c").alias("node"), "id", "label")
-    facing = inside.select("node", "id", "label", own("m"), every("k")).select(F.xxhash64("node", F.lit(1), "c", "b").alias("node"), "id", "label")
-    return among.union(across).union(facing)
-
-
-def find_clusters(reps: DataFrame, folder: str, threshold: float, recall: float, small: int, max_depth: int, agree: int, compare) -> tuple[DataFrame, DataFrame | None]:
-    """(cluster, id), groups of representatives that look alike and are to be compared exactly; and links that crowded
-    nodes have given already.  compare(clusters, folder) gives the exact links within clusters."""
-    roots = F.sequence(F.lit(1).cast("long"), F.lit(tree_count(recall)).cast("long"))
-    nodes = sized(branch(reps.select("id", "mh", F.explode(roots).alias("node")), threshold), folder, "nodes1")
-    found, crowded = nodes.where(F.col("n") <= small).select("node", "id"), nodes.where(F.col("n") > small)
-    if max_depth > 1 and not crowded.isEmpty():
-        again = reps.join(crowded.select("id").distinct(), "id", "left_semi")
-        nodes = sized(bands(again, band_width(threshold, recall)), folder, "nodes2")
-        found, crowded = found.union(nodes.where(F.col("n") <= small).select("node", "id")), nodes.where(F.col("n") > small)
-    found, links = found.withColumn("label", F.col("id")), None
+    counts = rows.groupBy("shingle").agg(F.count_if("entry").alias("e"), F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
+    both = rows.join(counts.where("e > 0 and low <> high").select("shingle", blocks(F.col("e")).alias("e"), blocks(F.col("c")).alias("c")), "shingle")
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias("b")
+    rest = ["id", "label", "n", "pos"]
+    entries = both.where("entry").select("shingle", *rest, own("e").alias("a"), every("c")).select(F.xxhash64("shingle", "a", "b").alias("node"), *rest, F.lit(True).alias("entry"))
+    looked = both.select("shingle", *rest, own("c").alias("a"), every("e")).select(F.xxhash64("shingle", "b", "a").alias("node"), *rest, F.lit(False).alias("entry"))
+    return entries.union(looked)
+
+
+def prefix_pairs(batches, percent: int, agree: int):
+    """mapInArrow over rows sorted by node: (node, id, label, n, pos, entry, mh) to pairs (u, v) of different labels
+    whose sizes and positions admit a link and that agree in `agree` minhashes."""
+    for table in whole_groups(batches, "node"):
+        node, ids, label, n, pos, entry = (table[c].to_numpy(zero_copy_only=False) for c in ("node", "id", "label", "n", "pos", "entry"))
+        mh = table["mh"].combine_chunks()
+        mh = (mh.chunk(0) if isinstance(mh, pa.ChunkedArray) else mh).flatten().to_numpy().reshape(len(ids), POSITIONS)
+        first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        size = np.diff(first, append=len(node))
+        group = np.repeat(np.arange(len(first)), size)
+        small = np.flatnonzero(entry)
+        stop = np.cumsum(size[group[small]])
+        a, done = 0, 0
+        while a < len(small):  # a million pairs at a time
+            b = max(a + 1, int(np.searchsorted(stop, done + (1 << 20), side="right")))
+            count = size[group[small[a:b]]]
+            x, y = np.repeat(small[a:b], count), ranges(first[group[small[a:b]]], count)
+            a, done = b, int(stop[b - 1])
+            least = np.minimum(n[x] - pos[x], n[y] - pos[y])
+            good = ~entry[y] & (label[x] != label[y]) & (n[x] <= n[y]) & (100 * n[x] >= percent * n[y]) & ((100 + percent) * least >= percent * (n[x] + n[y]))
+            x, y = x[good], y[good]
+            good = np.concatenate([(mh[x[k : k + 65536]] == mh[y[k : k + 65536]]).sum(axis=1) >= agree for k in range(0, len(x), 65536)] or [np.zeros(0, bool)])
+            u, v = np.minimum(ids[x], ids[y])[good], np.maximum(ids[x], ids[y])[good]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def crowd_clusters(crowded: DataFrame, reps: DataFrame, folder: str, percent: int, small: int, agree: int, sets_of, compare) -> tuple[DataFrame, DataFrame]:
+    """(cluster, id), pairs of members of crowds to be compared exactly, and the links within blocks."""
+    sets = stash(sets_of(crowded, folder), folder, "crowd_sets")
+    links = compare(stash(crowd_blocks(crowded, small), folder, "crowd_blocks"), f"{folder}/crowd", sets)
+    labels = components(links, f"{folder}/crowd").withColumnRenamed("component", "label")
+    labelled = sets.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "set")
+    shingle, level = frequent_shingles(sets, folder)
+    rows = labelled.mapInArrow(lambda it: prefixes(it, percent, shingle, level), "shingle long, id long, label long, n long, pos long, entry boolean")
+    nodes = stash(prefix_nodes(stash(rows, folder, "crowd_prefixes"), small), folder, "crowd_nodes")
+    pairs = nodes.join(reps, "id").repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: prefix_pairs(it, percent, agree), "u long, v long")
+    pairs = stash(pairs.distinct(), folder, "crowd_pairs")
+    return pairs.select(F.xxhash64("u", "v").alias("cluster"), F.explode(F.array("u", "v")).alias("id")), links
+
+
+def find_clusters(reps: DataFrame, folder: str, percent: int, recall: float, small: int, max_depth: int, agree: int, sets_of, compare) -> tuple[DataFrame, DataFrame | None]:
+    """(cluster, id), groups of representatives that look alike and are to be compared exactly; and links that crowds
+    have given already.  sets_of(ids, folder) gives full sets, compare(clusters, folder, sets) the exact links within
+    clusters."""
+    threshold = percent / 100
+    roots = F.sequence(F.lit(1).cast("long"), F.lit(tree_count(recall, threshold, max_depth)).cast("long"))
+    rows = reps.select("id", "mh", F.explode(roots).alias("node"), F.lit(None).cast("long").alias("was"))
+    found, crowded = [], []
+    for depth in range(1, max_depth + 1):
+        nodes = sized(branch(rows, threshold), folder, f"nodes{depth}")
+        found.append(nodes.where(F.col("n") <= small).select("node", "id"))
+        grows = F.coalesce(F.col("n") > threshold * F.col("was"), F.lit(False)) | F.lit(depth == max_depth)
+        large = nodes.where(F.col("n") > small)
+        crowded.append(large.where(grows).select("node", "id", "n"))
+        again = large.where(~grows)
+        if again.isEmpty():
+            break
+        again = again.groupBy("id").agg(F.collect_list(F.struct("node", F.col("n").alias("was"))).alias("at"))  # a few per tree
+        rows = again.join(reps, "id").select("id", "mh", F.inline("at"))
+    found, crowded = functools.reduce(DataFrame.union, found), functools.reduce(DataFrame.union, crowded)
+    members = found.withColumn("label", F.col("id")).join(reps, "id").select("node", "id", "label", "mh").repartition("node").sortWithinPartitions("node")
+    clusters, links = members.mapInArrow(lambda it: sketch_clusters(it, agree), "cluster long, id long").distinct(), None
     if not crowded.isEmpty():
-        links = compare(stash(crowd_blocks(crowded, small), folder, "crowd_blocks"), f"{folder}/crowd")
-        crowded = crowded.join(components(links, f"{folder}/crowd"), "id", "left").select("node", "id", F.coalesce("component", "id").alias("label"))
-        pairs = stash(block_pairs(stash(crowded, folder, "crowd_labels"), small), folder, "crowd_pairs")
-        found = found.union(pairs)
-    members = found.join(reps, "id").select("node", "id", "label", "mh").repartition("node").sortWithinPartitions("node")
-    clusters = members.mapInArrow(lambda it: sketch_clusters(it, agree), "cluster long, id long")
-    return stash(clusters.distinct(), folder, "clusters"), links
+        pairs, links = crowd_clusters(crowded, reps, folder, percent, small, agree, sets_of, compare)
+        clusters = clusters.union(pairs)
+    return stash(clusters, folder, "clusters"), links
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, recall: float = 0.9999, small: int = 1024, max_depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, recall: float = 0.9999, small: int = 1024, max_depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs plus n_shingles, component_id (the smallest id reachable by links, itself included) and kept.
 
     Sets link if 100 * intersection >= percent * union.  Null texts and texts without words have no shingles and link
@@ -318,20 +430,23 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, rec
     same = ["s1", "s2", "n_shingles"]
     reps = signs.where("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("id", "mh")).alias("r"))
     reps = stash(reps.select(*same, F.col("r.id").alias("id"), F.col("r.mh").alias("mh")), folder, "representatives")
-    threshold, agree = percent / 100, max(1, math.floor(POSITIONS * percent / 100 - 5 * math.sqrt(POSITIONS * percent / 100 * (1 - percent / 100))))
+    agree = max(1, math.floor(POSITIONS * percent / 100 - 5 * math.sqrt(POSITIONS * percent / 100 * (1 - percent / 100))))
+
+    def sets_of(ids: DataFrame, to: str) -> DataFrame:
+        wanted = small_side(stash(ids.select("id").distinct(), to, "wanted"))
+        return texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(lambda it: full_sets(it, shingle), "id long, set binary")
 
-    def compare(clusters: DataFrame, to: str) -> DataFrame:
-        wanted = small_side(stash(clusters.select("id").distinct(), to, "wanted"))
-        sets = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(lambda it: full_sets(it, shingle), "id long, set binary")
+    def compare(clusters: DataFrame, to: str, sets: DataFrame | None = None) -> DataFrame:
+        sets = sets_of(clusters, to) if sets is None else sets
         rows = clusters.join(sets, "id").select("cluster", "id", "set").repartition("cluster").sortWithinPartitions("cluster")
         return stash(rows.mapInArrow(lambda it: exact_links(it, percent), "u long, v long"), to, "links")
 
-    clusters, crowd_links = find_clusters(reps.select("id", "mh"), folder, threshold, recall, small, max_depth, agree, compare)
+    clusters, crowd_links = find_clusters(reps.select("id", "mh"), folder, percent, recall, small, max_depth, agree, sets_of, compare)
     links = compare(clusters, folder)
     links = links if crowd_links is None else links.union(crowd_links)
     release(spark)
     reached = components(links, folder)
-    forget(spark, *[f"{folder}/{name}" for name in ("nodes1", "nodes2", "crowd_blocks", "crowd_labels", "crowd_pairs", "clusters", "wanted", "links", "crowd")])
+    forget(spark, *[f"{folder}/{name}" for name in (*(f"nodes{k}" for k in range(1, max_depth + 1)), "crowd_sets", "crowd_counts", "crowd_blocks", "crowd_prefixes", "crowd_nodes", "crowd_pairs", "clusters", "wanted", "links", "crowd")])
     of_set = reps.select(*same, "id").join(reached, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     verdict = signs.select("id", *same).distinct().join(of_set, same, "left")
     real = lambda c: F.when(c != NO_ID, c)

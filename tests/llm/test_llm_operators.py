@@ -371,12 +371,51 @@ def test_minhash_crowds_do_not_multiply(spark, monkeypatch):
     assert rows_of(got) == sorted(minhash.brute_force(list(enumerate(texts))), key=lambda r: tuple(map(str, r)))
 
 
-@pytest.mark.parametrize("percent", [50, 80, 85, 95])
-def test_minhash_bands_keep_the_recall(percent):
-    t, w = percent / 100, minhash.band_width(percent / 100, 0.9999)
-    drawn = np.random.default_rng(percent).random((200_000, minhash.POSITIONS // w, w)) < t
-    assert (1 - t**w) ** (minhash.POSITIONS // w) <= 5e-5 or w == 1
-    assert (~drawn.all(axis=2).any(axis=1)).mean() <= 1e-4
+@pytest.mark.parametrize("percent", [80, 85, 95])
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 5])
+def test_minhash_trees_keep_the_recall(percent, depth):
+    """Trees played over random agreements of positions: pairs at the threshold part in all of them as seldom as told."""
+    rng, t, pairs = np.random.default_rng(percent + depth), percent / 100, 20_000
+    agree = rng.random((pairs, minhash.POSITIONS)) < t
+    together = np.zeros(pairs, bool)
+    for _ in range(minhash.tree_count(0.9999, t, depth)):
+        nodes = np.arange(pairs)
+        for _ in range(depth):  # each node has 1 or 2 children, each with a position of its own
+            child = np.repeat(nodes, 1 + (rng.random(len(nodes)) < 1 / t - 1))
+            nodes = child[agree[child, rng.integers(minhash.POSITIONS, size=len(child))]]
+        together[nodes] = True
+    assert (~together).mean() <= 5e-4
+
+
+def templates(n: int):
+    """Texts of 64 words, 44 of them a template: far from near copies; and every hundredth again with a word changed."""
+    rng, texts = np.random.default_rng(n), []
+    for i in range(n):
+        own = [f"t{k}" for k in range(44)] + [f"d{rng.integers(10**9)}" for _ in range(20)]
+        texts.append(" ".join(own))
+        if i % 100 == 0:
+            texts.append(" ".join([*own[:-1], "other"]))
+    return texts
+
+
+def test_minhash_templates_stay_linear(spark, monkeypatch):
+    """Texts that share a template and aren't near copies: rows a document stay below 24 in every step, whatever the
+    number of texts, and pairs inside the crowd are found."""
+    tables, stash = {}, minhash.stash
+
+    def counting(df, folder, name):
+        out = stash(df, folder, name)
+        tables[name] = max(tables.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "stash", counting)
+    for n in (500, 2000):
+        tables.clear()
+        texts = templates(n)
+        got = minhash.near_duplicates(docs_of(spark, texts), small=32).select("doc_id", *minhash.RESULT)
+        assert rows_of(got) == sorted(minhash.brute_force(list(enumerate(texts))), key=lambda r: tuple(map(str, r)))
+        assert tables["crowd_prefixes"] and max(tables.values()) <= 24 * len(texts), tables
+        assert tables["crowd_nodes"] <= len(texts), tables
 
 
 def test_minhash_odd_rows(odd):
