@@ -37,9 +37,11 @@ def motion_keyframes(frames: DataFrame, keys: list[str], order: list[str], bucke
 
 
 def extract(frames: DataFrame, method: str, keys: list[str], order: list[str], bucket: Column, **how) -> DataFrame:
-    """Key frames by the method's name: uniform (every n-th frame), scene (histograms) or motion."""
+    """Key frames by the method's name: uniform (every n-th frame), scene (histograms) or motion.  Frames that have a
+    column of numbers already, as those of video files, keep them."""
     if method == "uniform":
-        return uniform_keyframes(ordered.with_index(frames, keys, order, bucket), **how)
+        numbered = how.get("index", "frame_idx") in frames.columns
+        return uniform_keyframes(frames if numbered else ordered.with_index(frames, keys, order, bucket), **how)
     if method == "scene":
         return scene_keyframes(frames, keys, order, bucket, **how)
     if method == "motion":
