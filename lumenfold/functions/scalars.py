@@ -104,6 +104,12 @@ def human_size(size: Column | str) -> Column:
     return out
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """x to so many decimals, by the product as floating point has it: 100 * 0.0045 is 0.44999999999999996, ten times that
+    is 4.5, so it becomes 0.5.  (round() goes by the decimal digits of x and gives 0.4.)"""
+    return F.round(_col(x) * float(10**digits)) / float(10**digits)
+
+
 def percent(share: Column | str, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f%%", F.bround(_col(share) * 100, digits))
 

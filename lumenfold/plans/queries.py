@@ -49,7 +49,7 @@ _COS = "-list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
 
 
 def _rounded(neighbours: DataFrame) -> DataFrame:
-    return neighbours.withColumn("similarity", F.round("similarity", 6))
+    return neighbours.withColumn("similarity", S.rounded("similarity", 6))
 
 
 @register(_KNN.format(measure=_L2, which="q.vec_id = 0", similarity="1 / (1 + d)", k=10))
@@ -107,7 +107,7 @@ def ivf_search(spark, sf_dir):
 def ranked_lines(spark, sf_dir):
     """Search results as one line of text for each query."""
     near = _rounded(vectors.knn_join(*_queries(spark, sf_dir), 3))
-    line = F.format_string("%d. %d (%.1f%%)", "rank", "id", F.round(F.col("similarity") * 100, 1))
+    line = F.format_string("%d. %d (%.1f%%)", "rank", "id", S.rounded(F.col("similarity") * 100, 1))
     return near.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "; ").alias("lines"))
 
 

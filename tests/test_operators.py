@@ -306,3 +306,17 @@ def test_embedding_groups_without_pairs(spark):
     features = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(60)], "id long, vector array<double>")
     got = detect.embedding_groups(spark.createDataFrame(groups_of, "group_id long, id long"), features, 0.7)
     assert sorted(map(tuple, got.collect())) == greedy(edges)
+
+
+def test_ranked_lines_round_as_sql(spark, tmp_path):
+    """Similarities of 0.5135 and 0.5145 are halves of a tenth of a percent, which the product with 100 misses by its last bit."""
+    import duckdb
+
+    from lumenfold.plans import registry
+
+    rows = [(100 * i + k, [float(10 * i + (1 / s - 1) ** 0.5 * (k > 0))], 0) for i in range(2) for k, s in enumerate((1, 0.5135 + i / 1000, 0.3))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["ranked_lines"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLE_SQL["ranked_lines"]).fetchall())
