@@ -112,7 +112,8 @@ def leaders_of_classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     spark, folder = nodes.sparkSession, working_folder(nodes.sparkSession)
     nodes = written(nodes.select("id", "c").distinct(), f"{folder}/nodes")
-    links = links.select("c", "d").union(links.select("d", "c")).union(nodes.select("c", F.col("c").alias("d"))).distinct()
+    both = F.explode(F.array(F.struct("c", "d"), F.struct(F.col("d").alias("c"), F.col("c").alias("d"))))
+    links = links.select(both.alias("l")).select("l.*").union(nodes.select("c", F.col("c").alias("d"))).distinct()
     links = written(links, f"{folder}/links")
 
     def least_beside(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from lumenfold.functions import scalars as S
 from lumenfold.operators import cluster, groups, hamming, vectors
 from lumenfold.sources import images as I
 from lumenfold.sources.config import DuplicateSettings
+from lumenfold.sources.tables import working_folder, written
 
 #: How the detectors by size shrink images before hashing: more pixels than that, to this longest side, by method.
 DETECTORS = {"fast": (1_000_000, 1000, "area", False), "performance": (500_000, 800, "area", True), "memory": (200_000, 500, "nearest", True)}
@@ -41,14 +42,16 @@ def embedding_groups(candidates: DataFrame, features: DataFrame, threshold: floa
 
     Equal vectors of a group are one class: classes are compared, and their members never paired, so a group of equal
     pictures costs a row for each.  Zero vectors have cosine 0 with their like, too."""
-    rows = candidates.join(features, "id").where("vector is not null").select("group_id", "id", "vector")
+    rows = written(candidates.join(features, "id").where("vector is not null").select("group_id", "id", "vector"), f"{working_folder(features.sparkSession)}/vectors")
     name = lambda g, i: F.concat_ws(":", F.col(g).cast("string"), F.col(i).cast("string"))
     classes = rows.groupBy("group_id", "vector").agg(F.min("id").alias("rep"))
     alone = ~F.exists("vector", lambda x: x != 0) if threshold > 0 else F.lit(False)
     of = classes.select(F.col("group_id").alias("g"), F.col("vector").alias("v"), "rep")
     members = rows.join(of, (F.col("group_id") == F.col("g")) & (F.col("vector") == F.col("v")))
     nodes = members.select("id", F.when(alone, F.concat_ws(":", name("group_id", "rep"), F.col("id").cast("string"))).otherwise(name("group_id", "rep")).alias("c"))
-    pairs = vectors.similar_pairs(classes, threshold, id_col="rep", vector="vector", group="group_id", with_group=True)
+    several = classes.groupBy(F.col("group_id").alias("g")).agg(F.count("*").alias("n")).where("n > 1").select("g")
+    compared = classes.join(several, F.col("group_id") == F.col("g"), "left_semi")
+    pairs = vectors.similar_pairs(compared, threshold, id_col="rep", vector="vector", group="group_id", with_group=True)
     return cluster.leaders_of_classes(nodes, pairs.select(name("group_id", "i").alias("c"), name("group_id", "j").alias("d")))
 
 
@@ -65,10 +68,11 @@ def structure_groups(found: DataFrame, pictures: DataFrame, threshold: float) ->
 def staged(pictures: DataFrame, settings: DuplicateSettings | None = None) -> DataFrame:
     """(leader, member) after the stages that the settings enable; pictures has id and image.
     Each stage works on the groups that the one before has left."""
-    settings = settings or DuplicateSettings()
+    settings, folder = settings or DuplicateSettings(), working_folder(pictures.sparkSession)
     found = None
     if settings.enable_hash:
-        found = hash_groups(I.hashes(pictures).select("id", "phash", "dhash"), settings.hash_threshold)
+        # read several times: pixels are looked at once
+        found = written(hash_groups(written(I.hashes(pictures).select("id", "phash", "dhash"), f"{folder}/hashes"), settings.hash_threshold), f"{folder}/hash_groups")
     if settings.enable_embedding:
         candidates = with_group(found) if found is not None else pictures.select(F.lit(0).cast("long").alias("group_id"), "id")
         chosen = pictures.join(candidates.select("id").distinct(), "id", "left_semi")
@@ -86,7 +90,8 @@ def by_size(files: DataFrame, threshold: int = 5, detector: str = "memory") -> D
     Buckets of one file are dropped before anything is decoded."""
     max_pixels, longest, method, skip_empty = DETECTORS[detector]
     crowded = groups.size_blocks(files, "size", skip_empty=skip_empty)
-    hashed = I.hashes(crowded.select("id", "kb_bucket", "image"), max_pixels=max_pixels, longest=longest, method=method)
+    hashed = I.hashes(crowded.select("id", "kb_bucket", "image"), max_pixels=max_pixels, longest=longest, method=method).select("id", "kb_bucket", "phash")
+    hashed = written(hashed, f"{working_folder(files.sparkSession)}/hashes")  # read several times: pixels are looked at once
     same = hashed.groupBy("kb_bucket", "phash").agg(F.min("id").alias("i"))
     copies = hashed.join(same, ["kb_bucket", "phash"]).where("id <> i").select("i", F.col("id").alias("j"))
     near = hamming.near_pairs(hashed, threshold, hash_col="phash", bucket="kb_bucket").select("i", "j")

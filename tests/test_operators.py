@@ -320,3 +320,21 @@ def test_ranked_lines_round_as_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLE_SQL["ranked_lines"]).fetchall())
+
+
+
+def test_detectors_look_at_pictures_once(spark):
+    """Hashes are read several times, pixels are not: each stage looks at a picture once, and none at all for a hash again."""
+    from pyspark.sql import functions
+
+    looks, n = spark.sparkContext.accumulator(0), 40
+
+    @functions.udf("struct<height: int, width: int, nChannels: int, data: binary>")
+    def picture(i):
+        looks.add(1)
+        return (12, 32, 1, bytes(np.random.default_rng(i // 2).integers(0, 256, 384).astype(np.uint8)))
+
+    rows = spark.range(0, n, 1, 2).select("id", F.lit(5000).cast("long").alias("size"), picture("id").alias("image"))
+    assert detect.by_size(rows).count() == n // 2 and looks.value == n
+    looks.value = 0
+    assert detect.staged(rows.select("id", "image")).count() == n // 2 and looks.value <= 5 * n
