@@ -21,6 +21,9 @@ SIDE = 4_000
 WIDEST, MOST_PROBES = 16, 4_096
 #: Seconds to send a hash to a cell or block, to compare a pair, and to open a cell: only their ratios matter.
 SEND, COMPARE, OPEN = 2e-6, 2.5e-9, 5e-5
+#: The most cells that a hash visits in group_pairs(), and seconds to compare a pair that a join makes: bits of real
+#: hashes aren't even, so more pairs meet than even bits promise.
+MOST_VISITS, JOINED = 128, 1.2e-7
 
 
 def classes(df: DataFrame, hash_col: str, id_col: str) -> DataFrame:
@@ -38,19 +41,6 @@ def copies(df: DataFrame, hash_col: str, id_col: str, *, bucket: str | None = No
     return rows.join(firsts, on).where("i <> j").select("i", "j", F.lit(0).alias("distance"))
 
 
-def band_pairs(reps: DataFrame, distance: int, bits: int = 64) -> DataFrame:
-    """(i, j) of classes within the distance: two hashes of `bits` bits at distance d agree in one of d + 1 bands.  Only
-    bits that hashes use may be cut into bands, or all would meet in an empty one."""
-    n = distance + 1
-    edges = [bits * k // n for k in range(n + 1)]
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.call_function("shiftrightunsigned", F.col("hash"), F.lit(a)).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)).alias("bits")) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
-    rows = reps.select("hash", "representative", F.explode(bands).alias("band"))
-    a = rows.select("band", F.col("hash").alias("ha"), F.col("representative").alias("i"))
-    b = rows.select("band", F.col("hash").alias("hb"), F.col("representative").alias("j"))
-    close = a.join(b, "band").where((F.col("i") < F.col("j")) & (S.hamming("ha", "hb") <= distance))
-    return close.select("i", "j", S.hamming("ha", "hb").alias("distance")).distinct()
-
-
 def block_pairs(df: DataFrame, distance: int, *, group: str = "g") -> DataFrame:
     """(i, j, distance) within a group, exact for any distance: pairs of blocks of about SIDE hashes, each one task."""
     sizes = df.groupBy(F.col(group).alias("sg")).agg(F.ceil(F.count("*") / SIDE).cast("long").alias("blocks"))
@@ -170,6 +160,39 @@ def cell_pairs(reps: DataFrame, distance: int, bands: list[tuple[int, int, int]]
     return guests_of.cogroup(rows.mapInPandas(lambda it: spread(it, False), schema).groupBy("bin")).applyInPandas(compare, "i long, j long, distance int")
 
 
+def chosen_group_bands(n: int, pairs: float, distance: int, bits: int) -> list[tuple[int, int, int]]:
+    """The bands by which n hashes that make so many pairs within their groups meet with least work: more hashes are
+    dealt by fewer and wider bands, which a hash visits more cells of."""
+    def cost(bands: list[tuple[int, int, int]]) -> float:
+        visits = sum(probes(w, r) for _, w, r in bands)
+        return n * (visits + len(bands)) * SEND + pairs * sum(probes(w, r) / 2**w for _, w, r in bands) * JOINED
+
+    choices = [near_bands(distance, bits, k) for k in range(distance + 1, 0, -1)]
+    return min((bands for bands in choices if sum(probes(w, r) for _, w, r in bands) <= max(MOST_VISITS, distance + 1)), key=cost)
+
+
+def group_pairs(reps: DataFrame, distance: int, bands: list[tuple[int, int, int]]) -> DataFrame:
+    """(i, j, distance) of classes (hash, representative, g) of a group within the distance.  A hash lives in a cell of
+    its group for each band, by the band's bits, and visits the cells whose bits differ in `radius` places at most.
+    Cells with more than SIDE hashes are dealt into blocks, each of which all visitors of the cell come to."""
+    value = lambda a, w: F.call_function("shiftrightunsigned", F.col("hash"), F.lit(a)).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1))
+    masks = lambda w, r: [sum(1 << b for b in c) for k in range(r + 1) for c in combinations(range(w), k)]
+    lives = F.array(*[F.struct(F.lit(k).alias("band"), value(a, w).alias("value")) for k, (a, w, _) in enumerate(bands)])
+    visited = F.array(*[F.struct(F.lit(k).alias("band"), value(a, w).bitwiseXOR(F.lit(m).cast("long")).alias("value")) for k, (a, w, r) in enumerate(bands) for m in masks(w, r)])
+    cell = ["g", "band", "value"]
+    homes = reps.select("g", F.col("hash").alias("hb"), F.col("representative").alias("j"), F.explode(lives).alias("c")).select("g", "c.*", "hb", "j")
+    guests = reps.select("g", F.col("hash").alias("ha"), F.col("representative").alias("i"), F.explode(visited).alias("c")).select("g", "c.*", "ha", "i")
+    large = homes.groupBy(*cell).agg(F.ceil(F.count("*") / SIDE).cast("long").alias("blocks")).where("blocks > 1")
+    large = F.broadcast(large.select(*[F.col(c).alias(f"of_{c}") for c in cell], "blocks"))  # a row for SIDE hashes at most
+    blocks = lambda rows: rows.join(large, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in cell], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).drop(*[f"of_{c}" for c in cell])
+    homes = blocks(homes).withColumn("block", F.pmod(F.xxhash64("j"), F.col("blocks"))).drop("blocks")
+    guests = blocks(guests).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    homes = homes.select(*[F.col(c).alias(f"of_{c}") for c in (*cell, "block")], "hb", "j")
+    same = [F.col(c) == F.col(f"of_{c}") if c != "g" else F.col("g").eqNullSafe(F.col("of_g")) for c in (*cell, "block")]
+    close = guests.join(homes, [*same, F.col("i") < F.col("j"), S.hamming("ha", "hb") <= distance])
+    return close.select("i", "j", S.hamming("ha", "hb").cast("int").alias("distance")).distinct()
+
+
 def near_pairs(df: DataFrame, distance: int, *, hash_col: str = "hash", id_col: str = "id", bucket: str | None = None, bits: int = 64) -> DataFrame:
     """(i, j, distance) between classes of equal hashes (within a bucket, where one is given); ids must be numbers.
 
@@ -178,12 +201,15 @@ def near_pairs(df: DataFrame, distance: int, *, hash_col: str = "hash", id_col:
     """
     if bucket:
         reps = df.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("hash"), F.col(bucket).alias("g")).agg(F.min(id_col).alias("representative"))
-        return block_pairs(reps, distance)
-    reps = classes(df, hash_col, id_col)
+    else:
+        reps = classes(df, hash_col, id_col).select("hash", "representative", F.lit(0).alias("g"))
     if distance <= MAX_BAND_DISTANCE * bits // 64:
-        return band_pairs(reps, distance, bits)
+        n, pairs = reps.groupBy("g").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n").cast("double")) / 2).first()
+        return group_pairs(reps, distance, chosen_group_bands(n or 0, pairs or 0.0, distance, bits))
+    if bucket:
+        return block_pairs(reps, distance)
     bands = chosen_bands(reps.count(), distance, bits)
-    return cell_pairs(reps, distance, bands) if bands else block_pairs(reps.withColumn("g", F.lit(0)), distance)
+    return cell_pairs(reps, distance, bands) if bands else block_pairs(reps, distance)
 
 
 def near_links(df: DataFrame, distance: int, *, hash_col: str = "hash", id_col: str = "id", bucket: str | None = None, bits: int = 64) -> DataFrame:

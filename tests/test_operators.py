@@ -322,6 +322,28 @@ def test_ranked_lines_round_as_sql(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLE_SQL["ranked_lines"]).fetchall())
 
 
+@pytest.mark.parametrize(("distance", "count"), [(0, 1), (3, 2), (5, 3), (5, 4), (5, 6)])
+def test_group_pairs_equal_brute_force(spark, monkeypatch, distance, count):
+    """Bands within groups, one of them null, with cells of more hashes than a block has."""
+    monkeypatch.setattr(hamming, "SIDE", 10)
+    rng = np.random.default_rng(count)
+    base = rng.integers(-(2**63), 2**63 - 1, 60)
+    values = [int(b) for b in base] + [int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, distance + 2), replace=False)) for b in base] + [(int(b) & ~0xFFFFFF) | 0x1234 for b in base]
+    rows = [(v, i, (None, 1, 2)[i % 60 % 3]) for i, v in enumerate(dict.fromkeys(values))]
+    far = lambda v, w: bin((v ^ w) & (2**64 - 1)).count("1")
+    want = sorted((i, j, far(v, w)) for v, i, g in rows for w, j, h in rows if i < j and g == h and far(v, w) <= distance)
+    got = hamming.group_pairs(spark.createDataFrame(rows, "hash long, representative long, g int"), distance, hamming.near_bands(distance, 64, count))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_chosen_group_bands():
+    """Hashes in one group meet as many others as they are sent to cells, about, whatever their number; equal bands suffice for few."""
+    assert hamming.chosen_group_bands(1_000, 5e5, 5, 64) == hamming.near_bands(5, 64, 6)
+    for n in (1_000_000, 4_000_000):
+        bands = hamming.chosen_group_bands(n, n * n / 2, 5, 64)
+        assert sum(hamming.probes(w, r) for _, w, r in bands) <= hamming.MOST_VISITS
+        assert n / 2 * sum(hamming.probes(w, r) / 2**w for _, w, r in bands) < 1_000
+
 
 def test_detectors_look_at_pictures_once(spark):
     """Hashes are read several times, pixels are not: each stage looks at a picture once, and none at all for a hash again."""
