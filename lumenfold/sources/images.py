@@ -95,11 +95,11 @@ def hashes(images: DataFrame, *, max_pixels: int = 2_000_000, longest: int = 100
 
 def looked(what: str, **how):
     """A column function over image structs that looks at each pixel once, strip by strip: "tone" (the sums that
-    P.measures() needs), "colors" (counts of 512 bins), "small" (side * side * 3 numbers), "mean" (of all bytes).  What
+    P.measures() needs), "colors" (those of 512 bins that have pixels, and their counts), "small" (side * side * 3 numbers), "mean" (of all bytes).  What
     follows are expressions over those few numbers.  Null where there is no picture."""
     kernels = {
         "tone": (K.tone, "n long, base double, shifted double, shifted2 double, bent double, bent2 double"),
-        "colors": (lambda x: K.color_counts(x, how["hsv"]), "array<long>"),
+        "colors": (lambda x: (at := np.flatnonzero(n := K.color_counts(x, how["hsv"])), n[at]), "bins array<long>, counts array<long>"),
         "small": (lambda x: K.shrunk(x, how["side"]).ravel(), "array<double>"),
         "mean": (lambda x: sum(int(x[a:b].sum()) for a, b in K.strips(x)) / x.size, "double"),
     }
@@ -109,13 +109,14 @@ def looked(what: str, **how):
     @F.pandas_udf(returns)
     def struct(some: pd.DataFrame) -> pd.DataFrame:
         rows = [(None,) * len(names) if (x := K.decode(row)) is None else kernel(x) for row in some.to_dict("records")]
-        return pd.DataFrame(rows, columns=names, dtype=object).astype({"n": "Int64", **dict.fromkeys(names[1:], "Float64")})
+        out = pd.DataFrame(rows, columns=names, dtype=object)
+        return out.astype({"n": "Int64", **dict.fromkeys(names[1:], "Float64")}) if what == "tone" else out
 
-    @F.pandas_udf(returns if what != "tone" else "double")
+    @F.pandas_udf(returns if len(names) == 1 else "double")
     def plain(some: pd.DataFrame) -> pd.Series:
         return pd.Series([None if (x := K.decode(row)) is None else kernel(x) for row in some.to_dict("records")], dtype=object)
 
-    return struct if what == "tone" else plain
+    return struct if len(names) > 1 else plain
 
 
 def embedding(image: Column) -> Column:
@@ -133,7 +134,9 @@ def sharpness(images: DataFrame) -> DataFrame:
 
 def histograms(images: DataFrame, keys: list[str], *, hsv: bool = True, name: str = "vector") -> DataFrame:
     """(keys, vector): the 8 x 8 x 8 color histogram of each image, of length 1; images of a key are counted together."""
-    at = images.select(*keys, F.posexplode(looked("colors", hsv=hsv)(F.col("image"))).alias("bin", "n")).where("n > 0")
+    (seen,) = fresh(images, "seen")  # of small pictures, a few bins of 512 leave Python
+    found = images.select(*keys, looked("colors", hsv=hsv)(F.col("image")).alias(seen))
+    at = found.select(*keys, F.explode(F.arrays_zip(f"{seen}.bins", f"{seen}.counts")).alias(seen)).select(*keys, F.col(f"{seen}.bins").cast("int").alias("bin"), F.col(f"{seen}.counts").alias("n"))
     counts = at.groupBy(*keys, "bin").agg(F.sum("n").cast("double").alias("n"))
     whole = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     dense = P.let(F.col("m"), lambda m: F.transform(P.count_to(512), lambda b: (F.coalesce(F.element_at(m, b), F.lit(0.0)) / F.col("norm")).cast("float")))

@@ -390,3 +390,15 @@ def test_nearest_copies_few_candidates():
     vectors.nearest(q, v, np.arange(100), 3, "cosine")
     assert tracemalloc.get_traced_memory()[1] < 64 << 20
     tracemalloc.stop()
+
+
+def test_color_bins_leave_python_sparse(spark):
+    """A picture of 64 pixels hands on 64 bins at most, of 512."""
+    from lumenfold.sources import images
+
+    pixels = bytes(range(0, 256, 4))
+    one = spark.createDataFrame([(0, (8, 8, 1, bytearray(pixels))), (1, None)], "id long, image struct<height: int, width: int, nChannels: int, data: binary>")
+    seen = one.select("id", images.looked("colors", hsv=False)(F.col("image")).alias("c")).collect()
+    assert {r["id"]: len(r["c"]["bins"] or []) if r["c"] else 0 for r in seen} == {0: 8, 1: 0}
+    got = images.histograms(one, ["id"], hsv=False).collect()
+    assert len(got) == 1 and np.isclose(sum(x * x for x in got[0]["vector"]), 1)
