@@ -36,10 +36,10 @@ def _level(x: np.ndarray, steps: int) -> np.ndarray:
     return np.minimum((x * steps).astype(np.int64), steps)
 
 
-def meta_buckets(meta: list[pd.Series]) -> np.ndarray:
+def meta_buckets(meta: list[pa.Array]) -> np.ndarray:
     """Buckets (rows, k) of the metadata alone; missing values are values of their own."""
-    source, lang, size, url = meta
-    size = np.nan_to_num(pd.to_numeric(size, errors="coerce").to_numpy(dtype=float), nan=-1)
+    source, lang, size, url = (m.to_pylist() for m in meta)
+    size = np.nan_to_num(pd.to_numeric(pd.Series(size, dtype=object), errors="coerce").to_numpy(dtype=float), nan=-1)
     urls = [u.split("//", 1)[-1].split("/") if isinstance(u, str) else [None] for u in url]
     named = {
         "source": source, "lang": lang, "both": [f"{a}/{b}" for a, b in zip(source, lang, strict=True)], "size": [int(np.log2(x + 1) * 2) if x >= 0 else None for x in size],
@@ -49,11 +49,10 @@ def meta_buckets(meta: list[pd.Series]) -> np.ndarray:
     return (np.array(hashed, np.uint64).T.reshape(len(source), len(named)) % np.uint64(META_BUCKETS)).astype(np.int64)
 
 
-def features(texts: pd.Series):
+def features(texts: pa.Array):
     """Yields for chunks of texts: first row, number of rows, buckets of words, the row of each, and buckets (rows, k)
-    of the layout."""
-    column = pa.array([t if isinstance(t, str) else None for t in texts], pa.string())
-    for first, data, offsets in text_chunks(column):
+    of the layout.  The arrays of a chunk take some 40 times its bytes, so callers hold one at a time."""
+    for first, data, offsets in text_chunks(texts):
         rows = len(offsets) - 1
         starts, ends, of = words(data, offsets)
         n = np.diff(of)
@@ -93,15 +92,17 @@ class Model:
             self.odds.append(np.where(c.sum(axis=0) > 0, p[1] - p[0], 0.0))
         self.calibration = [np.array([0.0, 0.0]), np.array([0.0, 0.0]), np.array([0.0, 0.0, 0.0])]
 
-    def raw(self, found: list, meta: np.ndarray) -> np.ndarray:
-        """Log odds of both views for each row, from features() and meta_buckets(); those of a text's words are divided
-        by the root of their number."""
-        out = np.zeros((len(meta), 2))
-        for first, rows, at, owner, layout in found:
-            total = np.bincount(owner, self.odds[0][at], rows)
-            out[first : first + rows, 0] = total / np.sqrt(np.maximum(np.bincount(owner, minlength=rows), 1)) + self.odds[0][layout].sum(axis=1)
-        out[:, 1] = self.odds[1][meta].sum(axis=1)
-        return out
+    def raw(self, at: np.ndarray, owner: np.ndarray, layout: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        """Log odds of both views for each row of a chunk, from features() and meta_buckets(); those of a text's words
+        are divided by the root of their number."""
+        total = np.bincount(owner, self.odds[0][at], len(meta))
+        text = total / np.sqrt(np.maximum(np.bincount(owner, minlength=len(meta)), 1)) + self.odds[0][layout].sum(axis=1)
+        return np.column_stack((text, self.odds[1][meta].sum(axis=1)))
+
+    def raw_of(self, text: pa.Array, meta: list[pa.Array]) -> np.ndarray:
+        """raw() of all rows of a batch, a chunk at a time."""
+        buckets = meta_buckets(meta)
+        return np.concatenate([np.zeros((0, 2)), *(self.raw(at, owner, layout, buckets[first : first + rows]) for first, rows, at, owner, layout in features(text))])
 
     def scores(self, raw: np.ndarray) -> np.ndarray:
         """Calibrated probabilities of label 1: text view, metadata view, both together."""
@@ -128,52 +129,54 @@ def joined(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     """(id, text, META, label, fold): label null where there is none; the mean of several, rounded."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     meta = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in META]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *meta)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *meta)
     return rows.join(small_side(known), "id", "left").withColumn("fold", F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)))
 
 
-def count_pass(rows: DataFrame, model: Model | None, sure: float) -> pd.DataFrame:
-    """Counts of one round: labelled rows (outside the calibration fold) for both views; with a model, other rows for
-    the view whose counterpart is sure about them."""
-    used = rows.where("label is not null and fold <> 0" if model is None else "label is null or fold <> 0")
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = [np.zeros((2, TEXT_BUCKETS)), np.zeros((2, META_BUCKETS))]
-        for pdf in batches:
-            found, meta = list(features(pdf["text"])), meta_buckets([pdf[c] for c in META])
-            label = pdf["label"].to_numpy(dtype=float, na_value=np.nan)
+def count_batches(batches: Iterator[pa.RecordBatch], model: Model | None, sure: float) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (text, META, label) to COUNTS, a chunk of texts at a time."""
+    sums = [np.zeros((2, TEXT_BUCKETS)), np.zeros((2, META_BUCKETS))]
+    for batch in batches:
+        buckets = meta_buckets([batch[c] for c in META])
+        labels = batch["label"].cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+        for first, rows_, at, owner, layout in features(batch["text"]):
+            meta, label = buckets[first : first + rows_], labels[first : first + rows_]
             says = np.column_stack((label, label))
-            if shared.value is not None:
-                p = shared.value.scores(shared.value.raw(found, meta))[:, :2]
+            if model is not None:
+                p = model.scores(model.raw(at, owner, layout, meta))[:, :2]
                 told = np.where(p >= sure, 1.0, np.where(p <= 1 - sure, 0.0, np.nan))
                 says = np.where(np.isnan(says), told[:, ::-1], says)  # each view learns what the other is sure of
-            for first, rows_, at, owner, layout in found:
-                own = says[first : first + rows_, 0]
-                for y in (0, 1):
-                    sums[0][y] += np.bincount(at[own[owner] == y], minlength=TEXT_BUCKETS) + np.bincount(layout[own == y].reshape(-1), minlength=TEXT_BUCKETS)
             for y in (0, 1):
+                own = says[:, 0] == y
+                sums[0][y] += np.bincount(at[own[owner]], minlength=TEXT_BUCKETS) + np.bincount(layout[own].reshape(-1), minlength=TEXT_BUCKETS)
                 sums[1][y] += np.bincount(meta[says[:, 1] == y].reshape(-1), minlength=META_BUCKETS)
-        for view, c in enumerate(sums):
-            for y in (0, 1):
-                full = np.flatnonzero(c[y])
-                yield pd.DataFrame({"view": view, "label": y, "bucket": full, "n": c[y][full]})
+    for view, c in enumerate(sums):
+        for y in (0, 1):
+            full = np.flatnonzero(c[y])
+            own = [np.full(len(full), view), np.full(len(full), y), full]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in own), pa.array(c[y][full])], names=["view", "label", "bucket", "n"])
+
 
-    return used.select("text", *META, "label").mapInPandas(count, COUNTS).groupBy("view", "label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+def count_pass(rows: DataFrame, model: Model | None, sure: float) -> pd.DataFrame:
+    """Counts of one round: labelled rows (outside the calibration fold) for both views; with a model, other rows for
+    the view whose counterpart is sure about them."""
+    used = rows.where("label is not null and fold <> 0" if model is None else "label is null or fold <> 0")
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    return used.select("text", *META, "label").mapInArrow(lambda it: count_batches(it, shared.value, sure), COUNTS).groupBy("view", "label", "bucket").agg(F.sum("n").alias("n")).toPandas()
 
 
 def calibrate(rows: DataFrame, model: Model) -> None:
     """Fit the calibration on the labelled rows of fold 0, which arrive as counts by score bins."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            raw = shared.value.raw(list(features(pdf["text"])), meta_buckets([pdf[c] for c in META]))
-            at = np.clip((raw / BIN + BINS / 2).astype(int), 0, BINS - 1)
-            yield pd.DataFrame({"t": at[:, 0], "m": at[:, 1], "label": pdf["label"], "n": 1})
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = shared.value.raw_of(batch["text"], [batch[c] for c in META])
+            at = np.clip((raw / BIN + BINS / 2).astype(np.int32), 0, BINS - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), batch["label"]], names=["t", "m", "label"])
 
     own = rows.where("label is not null and fold = 0").select("text", *META, "label")
-    bins = own.mapInPandas(binned, "t int, m int, label int, n long").groupBy("t", "m", "label").agg(F.sum("n").alias("n")).toPandas()
+    bins = own.mapInArrow(binned, "t int, m int, label int").groupBy("t", "m", "label").agg(F.count("*").alias("n")).toPandas()
     if bins["label"].nunique() < 2:  # nothing to tell apart
         share = np.log(9) if not len(bins) or bins["label"].iloc[0] else -np.log(9)
         model.calibration = [np.array([share, 0.0]), np.array([share, 0.0]), np.array([share, 0.0, 0.0])]
@@ -207,10 +210,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0
     model = model or train(docs, labels, rounds=rounds, sure=sure, id_col=id_col, text_col=text_col, label_col=label_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("text_score double, meta_score double, quality_score double")
-    def score(text: pd.Series, *meta: pd.Series) -> pd.DataFrame:
-        p = shared.value.scores(shared.value.raw(list(features(text)), meta_buckets(list(meta))))
-        return pd.DataFrame(p, columns=["text_score", "meta_score", "quality_score"])
+    @F.arrow_udf("text_score double, meta_score double, quality_score double")
+    def score(text: pa.Array, *meta: pa.Array) -> pa.Array:
+        p = shared.value.scores(shared.value.raw_of(text, list(meta)))
+        return pa.StructArray.from_arrays([pa.array(p[:, k]) for k in range(3)], names=["text_score", "meta_score", "quality_score"])
 
     meta = [F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in META]
     (said,) = fresh(docs, "said")

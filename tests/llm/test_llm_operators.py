@@ -2,11 +2,14 @@
 
 import hashlib
 import math
+import tracemalloc
 from zlib import crc32
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -110,6 +113,28 @@ def test_quality_odd_rows(spark, odd):
     assert cotrain.classify_quality(odd.select("doc_id", "text").limit(0), labels.limit(0), rounds=1).count() == 0
 
 
+def test_quality_holds_one_chunk_of_a_batch(monkeypatch):
+    """A batch of twelve chunks takes little more memory than a batch of one, in training and in scoring."""
+    monkeypatch.setattr(textnp, "CHUNK", 1 << 18)
+    rng = np.random.default_rng(2)
+    text = " ".join(f"w{k}" for k in rng.integers(9999, size=8000))
+
+    def peak(work) -> int:
+        tracemalloc.start()
+        work()
+        found = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found
+
+    none = cotrain.Model(pd.DataFrame({"view": [], "label": [], "bucket": [], "n": []}).astype(int))
+    batches = [pa.RecordBatch.from_pydict({"text": [text] * n, **dict.fromkeys(cotrain.META, ["7"] * n), "label": [k % 2 for k in range(n)]}) for n in (5, 60)]
+    for work in (lambda b: list(cotrain.count_batches([b], none, 0.9)), lambda b: none.raw_of(b["text"], [b[c] for c in cotrain.META])):
+        one, twelve = (peak(lambda b=b, work=work: work(b)) for b in batches)
+        assert twelve < 1.5 * one, (one, twelve)
+    raw = none.raw_of(batches[1]["text"], [batches[1][c] for c in cotrain.META])
+    assert raw.shape == (60, 2)
+
+
 # ---- 3 and 6
 
 def test_suffix_dedup_equals_brute_force(spark, sf_dir, pairs):
