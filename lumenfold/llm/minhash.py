@@ -42,12 +42,20 @@ POSITIONS, AGREE = 64, 40
 PIVOTS, MEETING = 8, 64
 #: Shingles whose frequency orders prefixes, at most (9 MB are broadcast); others count as rare.  Any order is right.
 FREQUENT = 1 << 20
+#: Rows of crowds, clusters and links that are broadcast to spare a shuffle of what they are joined with, at most (some
+#: 25 MB); more are shuffled.
+FEW = 250_000
 RESULT = ("n_shingles", "component_id", "kept")
 SIGNATURE = "id long, n_shingles long, s1 long, s2 long, mh array<int>"
 _MULTIPLY = byte_codes(11)[:POSITIONS] | np.uint64(1)
 _ADD = byte_codes(12)[:POSITIONS]
 
 
+def near(df: DataFrame, rows: int) -> DataFrame:
+    """Hint a broadcast of df, which has at most `rows` rows, if these are few."""
+    return F.broadcast(df) if rows <= FEW else df
+
+
 def shingle_sets(batch, shingle: int):
     """For each chunk of (id, text): ids, distinct shingles as two 64-bit hashes, sorted by the first within each
     text, and the texts' bounds."""
@@ -175,24 +183,40 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def linked_pairs(sets: list[np.ndarray], size: np.ndarray, a: np.ndarray, percent: int, entries: int = 1 << 22) -> np.ndarray:
+    """Those a for which the sets a and a + 1 link: all pairs are sorted at once, some `entries` shingles at a time."""
+    least, most = np.minimum(size[a], size[a + 1]), np.maximum(size[a], size[a + 1])
+    a = a[100 * least >= percent * most]
+    stop = np.cumsum(size[a] + size[a + 1])
+    found, k, done = [a[:0]], 0, 0
+    while k < len(a):
+        end = max(k + 1, int(np.searchsorted(stop, done + entries, side="right")))
+        own = a[k:end]
+        total = size[own] + size[own + 1]
+        flat, pair = np.concatenate([sets[i] for j in own.tolist() for i in (j, j + 1)]), np.repeat(np.arange(len(own)), total)
+        order = np.lexsort((flat, pair))
+        flat, pair = flat[order], pair[order]
+        both = np.bincount(pair[1:][(flat[1:] == flat[:-1]) & (pair[1:] == pair[:-1])], minlength=len(own))
+        found.append(own[100 * both >= percent * (total - both)])
+        k, done = end, int(stop[end - 1])
+    return np.concatenate(found)
+
+
 def exact_links(batches, percent: int):
     """mapInArrow over rows sorted by cluster: (cluster, id, set) to links (u, v): for each component of a cluster
     its smallest id with each other one."""
     for table in whole_groups(batches, "cluster"):
         cluster, ids = table["cluster"].to_numpy(), table["id"].to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]
+        sizes = np.array([len(s) for s in sets])
         first = np.flatnonzero(np.concatenate(([True], cluster[1:] != cluster[:-1])))
-        u, v = [], []
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
-            own = sets[a:b]
-            size = np.array([len(s) for s in own])
-            if len(own) == 2:
-                both = np.zeros((2, 2))
-                both[0, 1] = both[1, 0] = len(np.intersect1d(own[0], own[1], assume_unique=True)) if 100 * size.min() >= percent * size.max() else 0
-            else:
-                both = common(own)
-            near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-            root = roots_of(near)
+        members = np.diff(first, append=len(ids))
+        pairs = linked_pairs(sets, sizes, first[members == 2], percent)
+        u, v = np.minimum(ids[pairs], ids[pairs + 1]).tolist(), np.maximum(ids[pairs], ids[pairs + 1]).tolist()
+        for a, n in zip(first[members > 2].tolist(), members[members > 2].tolist(), strict=True):
+            b, size = a + n, sizes[a : a + n]
+            both = common(sets[a:b])
+            root = roots_of(100 * both >= percent * (size[:, None] + size[None, :] - both))
             for r in np.flatnonzero(np.bincount(root) > 1):
                 member = np.sort(ids[a:b][root == r])
                 u += [int(member[0])] * (len(member) - 1)
@@ -202,25 +226,27 @@ def exact_links(batches, percent: int):
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
-    """(id, component): the smallest id that each linked id can reach, by alternating large and small stars."""
-    edges = stash(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), folder, "star0")
-    k = 0
+    """(id, component): the smallest id that each linked id can reach, by alternating large and small stars.  A star
+    turns each edge into one edge, so their number never grows."""
+    edges = stash(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), folder, "star0")
+    n, k = edges.count(), 0
     while not all_stars(edges):
         k += 1
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = both.where("v > u").join(near(least, 2 * n), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stash(large, folder, f"large{k}")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
-        edges = stash(small, folder, f"star{k}")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        # an id's edge to its least one stays, its others lead from there
+        small = large.join(near(least, n), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = stash(small if n <= FEW else small.distinct(), folder, f"star{k}")
+    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
 
 def all_stars(edges: DataFrame) -> bool:
-    """Whether every id has one centre, and no centre has one itself: then all components are found."""
-    seen = edges.select(F.col("u").alias("x"), F.lit(1).alias("ends"), F.lit(0).alias("centre")).union(edges.select("v", F.lit(0), F.lit(1)))
-    bad = seen.groupBy("x").agg(F.sum("ends").alias("ends"), F.max("centre").alias("centre")).where("ends > 1 or ends > 0 and centre > 0")
+    """Whether every id has one centre, and no centre has one itself: then all components are found.  Edges may repeat."""
+    seen = edges.select(F.col("u").alias("x"), F.col("v").alias("of"), F.lit(0).alias("centre")).union(edges.select("v", F.lit(None), F.lit(1)))
+    bad = seen.groupBy("x").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.max("centre").alias("centre")).where("low <> high or low is not null and centre > 0")
     return bad.isEmpty()
 
 
@@ -264,15 +290,16 @@ def sized(nodes: DataFrame, folder: str, name: str) -> DataFrame:
     return stash(nodes.join(counts, "node"), folder, name)
 
 
-def crowd_blocks(crowded: DataFrame, small: int) -> DataFrame:
+def crowd_blocks(crowded: DataFrame, small: int, total: int) -> DataFrame:
     """(cluster, id): members in blocks of a quarter of `small`, each with the pivots of its node; a member goes with
-    its largest node only.  And pivots of all nodes, by the nodes that they are in."""
+    its largest node only.  And pivots of all nodes, by the nodes that they are in.  `total` is the number of rows of
+    crowded."""
     own = crowded.groupBy("id").agg(F.max(F.struct("n", "node")).alias("o")).select("id", "o.node", F.ceil(F.col("o.n") * 4 / small).alias("blocks"))
     name = lambda b: F.xxhash64("node", b).alias("cluster")
     first = own.groupBy("node", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(7)), "id")).alias("p"), F.max("blocks").alias("blocks"))
     pivots = first.select("node", F.col("p.id").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"))
     slot = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(MEETING))
-    together = crowded.join(first.select("p.id").distinct(), "id").groupBy(F.col("node").alias("cluster"), slot.alias("slot")).agg(F.min("id").alias("id"))
+    together = crowded.join(near(first.select("p.id").distinct(), total), "id").groupBy(F.col("node").alias("cluster"), slot.alias("slot")).agg(F.min("id").alias("id"))
     return own.select(name(F.pmod(F.xxhash64("id"), F.col("blocks"))), "id").union(pivots.select(name(F.col("b")), "id")).union(together.select("cluster", "id")).distinct()
 
 
@@ -338,7 +365,8 @@ def prefix_nodes(rows: DataFrame, small: int) -> DataFrame:
     `small`.  Shingles without entries, and those whose members are linked already, are left out."""
     blocks = lambda c: F.ceil(c * 4 / small)
     counts = rows.groupBy("shingle").agg(F.count_if("entry").alias("e"), F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
-    both = rows.join(counts.where("e > 0 and low <> high").select("shingle", blocks(F.col("e")).alias("e"), blocks(F.col("c")).alias("c")), "shingle")
+    counts = counts.where("e > 0 and low <> high").select("shingle", blocks(F.col("e")).alias("e"), blocks(F.col("c")).alias("c"))
+    both = rows.join(near(counts, rows.count() // 2), "shingle")
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias("b")
     rest = ["id", "label", "n", "pos"]
@@ -373,24 +401,25 @@ def prefix_pairs(batches, percent: int, agree: int):
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def crowd_clusters(crowded: DataFrame, reps: DataFrame, folder: str, percent: int, small: int, agree: int, sets_of, compare) -> tuple[DataFrame, DataFrame]:
-    """(cluster, id), pairs of members of crowds to be compared exactly, and the links within blocks."""
-    sets = stash(sets_of(crowded, folder), folder, "crowd_sets")
-    links = compare(stash(crowd_blocks(crowded, small), folder, "crowd_blocks"), f"{folder}/crowd", sets)
+def crowd_clusters(crowded: DataFrame, total: int, reps: DataFrame, folder: str, percent: int, small: int, agree: int, sets_of, compare) -> tuple[DataFrame, DataFrame]:
+    """(cluster, id), pairs of members of crowds to be compared exactly, and the links within blocks.  `total` is the
+    number of rows of crowded."""
+    sets = stash(sets_of(crowded, total, folder), folder, "crowd_sets")
+    blocks, most = crowd_blocks(crowded, small, total), total * (2 + 128 // small)
+    links = compare(blocks if most <= FEW else stash(blocks, folder, "crowd_blocks"), most, f"{folder}/crowd", sets)
     labels = components(links, f"{folder}/crowd").withColumnRenamed("component", "label")
-    labelled = sets.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "set")
+    labelled = sets.join(near(labels, links.count()), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "set")
     shingle, level = frequent_shingles(sets, folder)
     rows = labelled.mapInArrow(lambda it: prefixes(it, percent, shingle, level), "shingle long, id long, label long, n long, pos long, entry boolean")
     nodes = stash(prefix_nodes(stash(rows, folder, "crowd_prefixes"), small), folder, "crowd_nodes")
-    pairs = nodes.join(reps, "id").repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: prefix_pairs(it, percent, agree), "u long, v long")
-    pairs = stash(pairs.distinct(), folder, "crowd_pairs")
+    pairs = reps.join(near(nodes, nodes.count()), "id").repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: prefix_pairs(it, percent, agree), "u long, v long").distinct()
     return pairs.select(F.xxhash64("u", "v").alias("cluster"), F.explode(F.array("u", "v")).alias("id")), links
 
 
 def find_clusters(reps: DataFrame, folder: str, percent: int, recall: float, small: int, max_depth: int, agree: int, sets_of, compare) -> tuple[DataFrame, DataFrame | None]:
     """(cluster, id), groups of representatives that look alike and are to be compared exactly; and links that crowds
-    have given already.  sets_of(ids, folder) gives full sets, compare(clusters, folder, sets) the exact links within
-    clusters."""
+    have given already.  sets_of(ids, number of ids, folder) gives full sets, compare(clusters, their number of rows,
+    folder, sets) the exact links within clusters."""
     threshold = percent / 100
     roots = F.sequence(F.lit(1).cast("long"), F.lit(tree_count(recall, threshold, max_depth)).cast("long"))
     rows = reps.select("id", "mh", F.explode(roots).alias("node"), F.lit(None).cast("long").alias("was"))
@@ -402,15 +431,17 @@ def find_clusters(reps: DataFrame, folder: str, percent: int, recall: float, sma
         large = nodes.where(F.col("n") > small)
         crowded.append(large.where(grows).select("node", "id", "n"))
         again = large.where(~grows)
-        if again.isEmpty():
+        n = again.count()
+        if not n:
             break
         again = again.groupBy("id").agg(F.collect_list(F.struct("node", F.col("n").alias("was"))).alias("at"))  # a few per tree
-        rows = again.join(reps, "id").select("id", "mh", F.inline("at"))
+        rows = reps.join(near(again, n), "id").select("id", "mh", F.inline("at"))
     found, crowded = functools.reduce(DataFrame.union, found), functools.reduce(DataFrame.union, crowded)
     members = found.withColumn("label", F.col("id")).join(reps, "id").select("node", "id", "label", "mh").repartition("node").sortWithinPartitions("node")
     clusters, links = members.mapInArrow(lambda it: sketch_clusters(it, agree), "cluster long, id long").distinct(), None
-    if not crowded.isEmpty():
-        pairs, links = crowd_clusters(crowded, reps, folder, percent, small, agree, sets_of, compare)
+    total = crowded.count()
+    if total:
+        pairs, links = crowd_clusters(crowded, total, reps, folder, percent, small, agree, sets_of, compare)
         clusters = clusters.union(pairs)
     return stash(clusters, folder, "clusters"), links
 
@@ -432,22 +463,24 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, rec
     reps = stash(reps.select(*same, F.col("r.id").alias("id"), F.col("r.mh").alias("mh")), folder, "representatives")
     agree = max(1, math.floor(POSITIONS * percent / 100 - 5 * math.sqrt(POSITIONS * percent / 100 * (1 - percent / 100))))
 
-    def sets_of(ids: DataFrame, to: str) -> DataFrame:
-        wanted = small_side(stash(ids.select("id").distinct(), to, "wanted"))
-        return texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(lambda it: full_sets(it, shingle), "id long, set binary")
+    def sets_of(ids: DataFrame, n: int, to: str) -> DataFrame:
+        wanted = ids.select("id").distinct()
+        wanted = near(wanted, n) if n <= FEW else small_side(stash(wanted, to, "wanted"))
+        return texts.join(wanted, "id", "left_semi").mapInArrow(lambda it: full_sets(it, shingle), "id long, set binary").dropDuplicates(["id"])
 
-    def compare(clusters: DataFrame, to: str, sets: DataFrame | None = None) -> DataFrame:
-        sets = sets_of(clusters, to) if sets is None else sets
-        rows = clusters.join(sets, "id").select("cluster", "id", "set").repartition("cluster").sortWithinPartitions("cluster")
+    def compare(clusters: DataFrame, n: int, to: str, sets: DataFrame | None = None) -> DataFrame:
+        sets = sets_of(clusters, n, to) if sets is None else sets
+        rows = sets.join(near(clusters, n), "id").select("cluster", "id", "set").repartition("cluster").sortWithinPartitions("cluster")
         return stash(rows.mapInArrow(lambda it: exact_links(it, percent), "u long, v long"), to, "links")
 
     clusters, crowd_links = find_clusters(reps.select("id", "mh"), folder, percent, recall, small, max_depth, agree, sets_of, compare)
-    links = compare(clusters, folder)
+    links = compare(clusters, clusters.count(), folder)
     links = links if crowd_links is None else links.union(crowd_links)
+    n_links = links.count()
     release(spark)
     reached = components(links, folder)
-    forget(spark, *[f"{folder}/{name}" for name in (*(f"nodes{k}" for k in range(1, max_depth + 1)), "crowd_sets", "crowd_counts", "crowd_blocks", "crowd_prefixes", "crowd_nodes", "crowd_pairs", "clusters", "wanted", "links", "crowd")])
-    of_set = reps.select(*same, "id").join(reached, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
+    forget(spark, *[f"{folder}/{name}" for name in (*(f"nodes{k}" for k in range(1, max_depth + 1)), "crowd_sets", "crowd_counts", "crowd_blocks", "crowd_prefixes", "crowd_nodes", "clusters", "wanted", "links", "crowd")])
+    of_set = reps.select(*same, "id").join(near(reached, n_links), "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     verdict = signs.select("id", *same).distinct().join(of_set, same, "left")
     real = lambda c: F.when(c != NO_ID, c)
     verdict = verdict.select("id", "n_shingles", real(F.coalesce("component", "id")).alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept"))

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -412,6 +413,40 @@ def test_minhash_trees_keep_the_recall(percent, depth):
     assert (~together).mean() <= 5e-4
 
 
+def test_minhash_of_few_rows_takes_few_tasks(spark):
+    """Where AQE doesn't combine partitions each shuffle costs a task for each of them: in a small crowd most joins
+    broadcast instead."""
+
+    def next_task() -> int:
+        return spark.sparkContext.parallelize([0], 1).map(lambda _: TaskContext.get().taskAttemptId()).first()
+
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        docs = docs_of(spark, crowd()).coalesce(1)
+        began = next_task()
+        got = rows_of(minhash.near_duplicates(docs, small=8, max_depth=1).select("doc_id", *minhash.RESULT))
+        tasks = next_task() - began
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == sorted(minhash.brute_force(list(enumerate(crowd()))), key=lambda r: tuple(map(str, r)))
+    assert tasks <= 1250, tasks
+
+
+def test_minhash_pairs_link_as_sets_do():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(30, size=rng.integers(1, 40)).astype(np.uint64)) for _ in range(400)]
+    size, a = np.array([len(x) for x in sets]), np.arange(0, 400, 2)
+    want = [i for i in a.tolist() if 100 * len(np.intersect1d(sets[i], sets[i + 1])) >= 60 * len(np.union1d(sets[i], sets[i + 1]))]
+    assert want and len(want) < 200
+    for entries in (1, 100, 1 << 20):
+        assert minhash.linked_pairs(sets, size, a, 60, entries).tolist() == want
+    assert minhash.linked_pairs(sets, size, a[:0], 60).tolist() == []
+
+
 def templates(n: int):
     """Texts of 64 words, 44 of them a template: far from near copies; and every hundredth again with a word changed."""
     rng, texts = np.random.default_rng(n), []
