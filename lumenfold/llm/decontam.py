@@ -16,6 +16,8 @@ from lumenfold.llm.exact_dedup import ascii_lower
 from lumenfold.llm.shared import shared_dir, small_side, stash
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: One character of what separates words.
+QUIET = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: Windows that may be broadcast, and their bytes (words and what Spark keeps beside them); beyond either, windows meet
 #: by a shuffle.
 BROADCAST_WINDOWS, BROADCAST_BYTES = 1_000_000, 64 << 20
@@ -29,8 +31,14 @@ def window_key(words: Column, first: Column, size: int) -> Column:
     return F.xxhash64(F.lit(size), *[F.element_at(words, first + k + 1) for k in at])
 
 
+def loud(low: Column) -> Column:
+    """The words of lower-cased text: every WORD, found as what QUIET separates.  Java matches WORD, a negated
+    class, at a cost that grows with the threads of an executor (four: 2.5 times the CPU seconds of one)."""
+    return F.array_remove(F.split(low, f"{QUIET}+"), "")
+
+
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return loud(ascii_lower(F.coalesce(text, F.lit(""))))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int, item_col: str, text_col: str, folder: str) -> tuple[DataFrame, DataFrame]:

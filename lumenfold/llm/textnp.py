@@ -72,10 +72,10 @@ def text_chunks(column: pa.Array):
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (runs of anything but the six ASCII spaces), and for each text its first word's
-    number, with the number of words at the end."""
-    space = _SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (runs of anything but the six ASCII spaces, or the bytes that `between` has as true),
+    and for each text its first word's number, with the number of words at the end."""
+    space = between[data]
     before, after = np.ones(len(data), bool), np.ones(len(data), bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     inner = offsets[:-1][offsets[:-1] < len(data)]

@@ -72,3 +72,42 @@ def test_blocks_of_one_document(spark):
     got = licenses.found_blocks(df).select("line", "label", "containment").distinct().collect()
     assert [tuple(r) for r in got] == [(1, "mit", 1.0)]
     assert licenses.found_blocks(df, templates=(("none", "..."),)).count() == 0
+
+
+def windows(text, window):
+    """(line, words) of every block of a text."""
+    for line, body in enumerate(low(text).split("\n")):
+        own = WORD.findall(body)
+        yield from ((line, cut) for cut in ([own] if len(own) <= window else [own[s : s + window] for s in range(0, len(own) - window // 2, window // 2)]))
+
+
+@pytest.mark.parametrize(("threshold", "window"), [(0.9, 64), (0.6, 10), (1.0, 7)])
+def test_only_blocks_that_can_hold_a_template_are_joined(spark, threshold, window):
+    """Of the blocks those travel that have as many words of templates as any template needs, with these words alone."""
+    rng = random.Random(5)
+    sets = [(label, licenses.template_words(text)) for label, text in licenses.TEMPLATES]
+    known, least = {w for _, s in sets for w in s}, min(licenses.needed(len(s), threshold) for _, s in sets)
+    filler = sorted(known)[:40] + "é É日本 x1 thé a\x00b _ gplé mit the MIT 😀the \x7fthe".split(" ")
+    texts = [" ".join(rng.choices(filler, k=rng.choice([0, 3, 9, 30, 200]))) + rng.choice(["", "\n", "\n\nmore the of\n"]) for _ in range(60)]
+    texts += [None, "", "\n", "lorem ipsum\n" * 500, "lorem " * 3000 + "Licensed under CC BY-NC " + "ipsum " * 100]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.candidates(df, sets, threshold, "doc_id", "text", "\n", window, True).collect()
+    want = [(i, line, sorted(known & {*cut}), cut) for i, t in enumerate(texts) for line, cut in windows(t, window) if len(known & {*cut}) >= least]
+    assert sorted((r["id"], r["line"], sorted(r["own"]), WORD.findall(r["piece"])) for r in got) == sorted(want)
+
+
+def test_scan_matches_no_negated_class(spark):
+    """Java matches negated classes at a cost that grows with the threads of an executor: no step over texts does so."""
+    df = spark.createDataFrame([(1, "a"), (2, "Released under the MIT License")], "doc_id long, text string")
+    for plan in (licenses.scan(df), licenses.found_blocks(df), df.select(licenses.words_of(df["text"]))):
+        assert "[^" not in plan._jdf.queryExecution().toString()
+
+
+def test_words_of_odd_texts(spark):
+    rng = random.Random(6)
+    texts = ["", None, " ", "a", "..A..b", "É.é", "\x00a\x7fb\x80c d", "😀 x😀y", "a\r\nb\tC"] + ["".join(rng.choices("aZ9 .\n\x00\x7f\u0080é日😀", k=30)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = df.select("i", licenses.words_of(df["t"]).alias("w")).collect()
+    assert {r["i"]: r["w"] for r in got} == {i: WORD.findall(low(t)) for i, t in enumerate(texts)}
+    n = df.where("t is not null").select("i", licenses.word_counts(licenses.PHRASES)("t")["n"].alias("n")).collect()
+    assert {r["i"]: r["n"] for r in n} == {i: len(WORD.findall(low(t))) for i, t in enumerate(texts) if t is not None}
